@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, language, licenses, pii, urls
+from . import decontaminate, fingerprint, language, licenses, packing, pii, urls
 from .session import ship, table
 
 
@@ -24,12 +24,21 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), F.col("lang_distance").alias("distance"), F.col("lang_rejected").alias("rejected"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.find_pii(docs, pii.fit(docs))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hash")
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
@@ -43,9 +52,11 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_language_id": op2_language_id,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op7_pii": op7_pii,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_url_filters": op9_url_filters,
     "op10_license_scans": op10_license_scans,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op8_benchmark_decontamination": decontaminate.ORACLE_SQL}
