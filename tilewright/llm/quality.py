@@ -33,9 +33,11 @@ ROUNDS = 3
 
 _CLASSES = [byte_class([(65, 90)]), byte_class([(97, 122)]), byte_class([(48, 57)]), byte_class([(33, 47), (58, 64), (91, 96), (123, 126)]), byte_class([(32, 32)]), byte_class([(10, 10)]), byte_class([(128, 255)]), byte_class([(33, 33)]), byte_class([(124, 124)])]
 
+_STEPS = np.array([0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])
+
 
 def text_view(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """Distinct buckets of each row's words, of the shapes of its tokens, and of word pairs' signs."""
+    """Distinct buckets of each row's words, of the shapes of its tokens, and of how much it repeats itself."""
     low = lower_ascii(data)
     s, e, row = words(low, offsets, ALNUM)
     h = span_hashes(low, s, e)
@@ -45,13 +47,19 @@ def text_view(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     shape = (part @ np.array([1, 2, 4, 8])).astype(np.int64)
     n = len(offsets) - 1
     at, at2 = row_bounds(row, n), row_bounds(row2, n)
-    h = (h >> np.uint64(40)).astype(np.int64) % (TEXT_DIMS - 64) + 64
+    h = (h >> np.uint64(40)).astype(np.int64) % (TEXT_DIMS - 128) + 128
+    again = np.zeros(len(h) + 1, np.int64)
+    if len(h):
+        again[2:] = np.cumsum((h[1:] == h[:-1]) & (row[1:] == row[:-1]))
     out = []
     for i in range(n):
         w = np.unique(h[at[i] : at[i + 1]])
         c = np.bincount(shape[at2[i] : at2[i + 1]], minlength=16)[:16]
         share = np.minimum(3, (c * 4 // max(1, c.sum())))
-        out.append(np.concatenate([np.flatnonzero(c) * 4 + share[c > 0], w]))
+        size = max(1, at[i + 1] - at[i])
+        repeats = (again[at[i + 1]] - again[at[i]]) / size
+        rest = [64 + int(np.digitize(repeats, _STEPS)), 80 + int(np.digitize(len(w) / size, _STEPS))]
+        out.append(np.concatenate([np.flatnonzero(c) * 4 + share[c > 0], rest, w]))
     return out
 
 
@@ -71,10 +79,23 @@ def meta_view(data: np.ndarray, offsets: np.ndarray, source: list, lang: list) -
     return out
 
 
-def _scale(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     n = np.array([len(r) for r in rows], np.int64)
-    row = np.repeat(np.arange(len(rows)), n)
-    return row, np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64), (1 / np.sqrt(np.maximum(1, n)))[row]
+    return np.repeat(np.arange(len(rows)), n), np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
+
+
+def telling(row: np.ndarray, col: np.ndarray, y: np.ndarray, dims: int, most: int = 3_000, least: int = 4, sure: float = 12.0) -> np.ndarray:
+    """The buckets that tell the classes apart best, by chi-squared, among those of at least ``least`` rows.
+
+    ``sure`` is about the largest value that chance gives among so many buckets.
+    """
+    n, pos = np.bincount(col, minlength=dims).astype(float), np.bincount(col, y[row], dims)
+    all_n, all_pos = float(len(y)), float(y.sum())
+    expected = n * all_pos / all_n
+    chi = (pos - expected) ** 2 / np.maximum(expected * (1 - all_pos / all_n) * np.maximum(1e-9, 1 - n / (all_n + 1)), 1e-9)
+    chi[n < least] = 0
+    best = np.argsort(-chi, kind="stable")[:most]
+    return np.sort(best[chi[best] > sure])
 
 
 @dataclass
@@ -85,28 +106,34 @@ class Linear:
     shift: float = 0.0
 
     def raw(self, rows: list[np.ndarray]) -> np.ndarray:
-        row, col, val = _scale(rows)
-        return np.bincount(row, self.weights[col] * val, len(rows)) + self.bias
+        row, col = _flat(rows)
+        return np.bincount(row, self.weights[col], len(rows)) + self.bias
 
     def calibrated(self, rows: list[np.ndarray]) -> np.ndarray:
         return self.slope * self.raw(rows) + self.shift
 
 
-def fit_linear(rows: list[np.ndarray], y: np.ndarray, dims: int, steps: int = 120, ridge: float = 1e-5) -> Linear:
-    """Balanced logistic regression by gradient steps with per-weight rates."""
-    row, col, val = _scale(rows)
+def fit_linear(rows: list[np.ndarray], y: np.ndarray, dims: int, steps: int = 120, ridge: float = 2e-4) -> Linear:
+    """Balanced logistic regression on the telling buckets, by gradient steps with per-weight rates."""
+    row, col = _flat(rows)
+    chosen = telling(row, col, y, dims)
+    place = np.full(dims, -1)
+    place[chosen] = np.arange(len(chosen))
+    row, col = row[place[col] >= 0], place[col[place[col] >= 0]]
     each = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-    w, b = np.zeros(dims), 0.0
-    seen, seen_b = np.full(dims, 1e-8), 1e-8
+    w, b = np.zeros(len(chosen)), 0.0
+    seen, seen_b = np.full(len(chosen), 1e-8), 1e-8
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[col] * val, len(rows)) + b, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[col], len(rows)) + b, -30, 30)))
         g = (p - y) * each
-        d = np.bincount(col, g[row] * val, dims) + ridge * w
+        d = np.bincount(col, g[row], len(chosen)) + ridge * w
         seen += d * d
-        w -= 0.5 * d / np.sqrt(seen)
+        w -= 0.3 * d / np.sqrt(seen)
         seen_b += g.sum() ** 2
-        b -= 0.5 * g.sum() / np.sqrt(seen_b)
-    return Linear(w, float(b))
+        b -= 0.3 * g.sum() / np.sqrt(seen_b)
+    out = np.zeros(dims)
+    out[chosen] = w
+    return Linear(out, float(b))
 
 
 def calibrate(model: Linear, rows: list[np.ndarray], y: np.ndarray) -> None:

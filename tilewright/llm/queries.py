@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, html_text, language, licenses, packing, pii, quality, urls
+from . import decontaminate, fingerprint, html_text, jaccard_join, language, licenses, packing, pii, quality, urls
 from .session import ship, table
 
 
@@ -40,6 +40,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).drop("hash", "stands")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -66,10 +71,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html_extraction": op3_html_extraction,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_pii": op7_pii,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_url_filters": op9_url_filters,
     "op10_license_scans": op10_license_scans,
 }
 
-ORACLE: dict[str, str] = {"op8_benchmark_decontamination": decontaminate.ORACLE_SQL}
+ORACLE: dict[str, str] = {"op6_ngram_jaccard_join": jaccard_join.ORACLE_SQL, "op8_benchmark_decontamination": decontaminate.ORACLE_SQL}
