@@ -13,8 +13,8 @@ them must match. A set with fewer such parts also emits the first x - ceil(3x /
 covers the pairs of two such sets.
 
 Work. Equal sets are one class, so copies cost nothing. Signatures are sent in packed form, by ranges of their hash.
-Classes that share a signature are candidates: all pairs where few share one, else pairs with three pivots. Exact
-intersections decide. Then connected components are found, and only classes that share a signature but are still in
+Classes that share a signature are candidates: all pairs where few share one, else pairs with three pivots. Sketches of parities
+rule out what differs too much, and exact intersections of the sets, read again from the texts, decide. Then connected components are found, and only classes that share a signature but are still in
 different components are compared further, with growing numbers of partners and at last with all, so no link between
 components is lost while a large group of near copies costs about one comparison a member.
 
@@ -39,7 +39,9 @@ WIDTH = 5
 FEW = 4
 PIVOTS = 3
 #: Partners per class in the later rounds; None is all.
-LATER = (8, 64, None)
+LATER = (16, None)
+#: Members of a signature that one task compares; larger groups are dealt over pairs of blocks.
+RUN_BLOCK = 4096
 SIGNATURES_PER_TASK = 3_000_000
 BROADCAST_ROWS = 500_000  # of 24 bytes each
 
@@ -70,11 +72,32 @@ def shingle_sets(column: pa.Array) -> list[np.ndarray]:
     return out
 
 
+
 def set_key(s: np.ndarray) -> int:
     """A 64-bit name of a set, as Spark's long."""
     return int(mix(np.array([mix(s).sum() + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of a set's elements over a power of two of bits, at least two an element.
+
+    Each element that two sets do not share changes one parity at most, so the bits that differ are no more than the
+    elements that differ: a lower bound that rules out most candidates at a thirtieth of their sets' bytes.
+    """
+    bits = 1 << max(6, int(2 * len(s) - 1).bit_length()) if len(s) else 64
+    return np.packbits(np.bincount(((s >> np.uint64(9)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8).tobytes()
+
+
+def _folded(x: bytes, size: int) -> np.ndarray:
+    """A sketch at a smaller power of two of bytes; index bits are dropped from above, so blocks are added."""
+    return np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, size), axis=0)
+
+
+def _differ(a: bytes, b: bytes) -> int:
+    size = min(len(a), len(b))
+    return int(np.bitwise_count(_folded(a, size) ^ _folded(b, size)).sum())
+
+
 def _band_tops(most: int = 1 << 40) -> np.ndarray:
     """The last size of each band: 1, 2, 4, 6, ...; from l to floor(4 l / 3)."""
     out, low = [], 1
@@ -192,15 +215,15 @@ def _candidates(sig: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
 
 
 def document_sets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, hash, n_shingles, set_key) of each row; hash is of the text, set_key is null for the empty set."""
+    """(key, hash, n_shingles, set_key, sketch) of each row; hash is of the text, the last two are null for the empty set."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(batch.column(2))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())], [key, "hash", "n_shingles", "set_key"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())], [key, "hash", "n_shingles", "set_key", "sketch"])
 
-    return docs.select(key, F.xxhash64(text).alias("hash"), text).mapInArrow(run, f"`{key}` {kind}, hash long, n_shingles long, set_key long")
+    return docs.select(key, F.xxhash64(text).alias("hash"), text).mapInArrow(run, f"`{key}` {kind}, hash long, n_shingles long, set_key long, sketch binary")
 
 
 def candidates(docs: DataFrame, tasks: int, text: str = "text") -> DataFrame:
@@ -215,26 +238,29 @@ def candidates(docs: DataFrame, tasks: int, text: str = "text") -> DataFrame:
                     if len(s) and (k := set_key(s)) not in sets:
                         sets[k] = s
                         size += len(s) + 20
-                if size > 1_000_000 or len(sets) > 50_000:
+                if size > 600_000 or len(sets) > 50_000:
                     yield _packed(list(sets.values()), list(sets), tasks)
                     sets, size = {}, 0
         if sets:
             yield _packed(list(sets.values()), list(sets), tasks)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_part: dict[int, list] = {}
+        by_part: dict[int, list[tuple[bytes, ...]]] = {}
         for batch in batches:
-            for part, low, high, own, names in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                sig = np.frombuffer(low, "<u4").astype(np.uint64) | (np.frombuffer(high, np.uint8).astype(np.uint64) << np.uint64(32))
-                by_part.setdefault(part, []).append((sig, np.frombuffer(names, "<i8")[np.frombuffer(own, "<u2")]))
+            for part, *blobs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                by_part.setdefault(part, []).append(tuple(blobs))
         for part in sorted(by_part):
-            some = by_part.pop(part)
-            out = _candidates(np.concatenate([x for x, _ in some]), np.concatenate([x for _, x in some]))
+            blobs = by_part.pop(part)
+            sig = np.frombuffer(b"".join(x[0] for x in blobs), "<u4").astype(np.uint64)
+            sig |= np.frombuffer(b"".join(x[1] for x in blobs), np.uint8).astype(np.uint64) << np.uint64(32)
+            key = np.concatenate([np.frombuffer(x[3], "<i8")[np.frombuffer(x[2], "<u2")] for x in blobs])
+            del blobs
+            out = _candidates(sig, key)
             for a in range(0, out.num_rows, 50_000):
                 yield out.slice(a, 50_000)
 
     packed = docs.select(text).mapInArrow(emit, "part int, low binary, high binary, own binary, names binary")
-    return packed.repartition(tasks, "part").mapInArrow(meet, "kind int, a long, b long")
+    return packed.repartitionById(tasks, "part").mapInArrow(meet, "kind int, a long, b long")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
@@ -298,31 +324,55 @@ def components(links: DataFrame) -> DataFrame:
         edges = new
 
 
-def _crossing(runs: DataFrame, known: DataFrame, sizes: DataFrame, most: int | None) -> DataFrame:
-    """Pairs (a, b) of classes of a run and of different components, for all but each run's largest component.
+def _plausible(pairs: DataFrame, info: DataFrame) -> DataFrame:
+    """Those of ``pairs`` whose sizes and sketches allow a link."""
+    one, two = (info.select(F.col("set_key").alias(x), F.col("n_shingles").alias("n" + x), F.col("sketch").alias("s" + x)) for x in "ab")
+    both = pairs.join(one, "a").join(two, "b").where("4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b", ((F.col("na") + F.col("nb")) / 7).cast("long").alias("most"), "sa", "sb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                ok = [_differ(x, y) <= most for most, x, y in zip(*(c.to_pylist() for c in part.columns[2:]), strict=True)]
+                yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _crossing(runs: DataFrame, known: DataFrame, info: DataFrame, most: int | None) -> DataFrame:
+    """Plausible pairs (a, b) of classes of a run and of different components, for all but each run's largest component.
 
-    A run is sent whole to a task: its rows are numbers, not sets. Sizes that cannot link are left out.
+    A run's rows are numbers and sketches, not sets; runs of more than ``RUN_BLOCK`` rows are dealt over pairs of blocks.
     """
     rows = runs.join(known, F.col("b") == F.col("node"), "left").select("a", "b", F.coalesce("component", "b").alias("c"))
-    open_runs = rows.groupBy("a").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("a")
-    rows = rows.join(open_runs, "a").join(sizes, F.col("b") == F.col("set_key")).select("a", "b", "c", "n_shingles")
+    size = rows.groupBy("a").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.mode("c", True).alias("main"), F.count("*").alias("n")).where("low < high")
+    rows = rows.join(size.select("a", "main", F.ceil(F.col("n") / RUN_BLOCK).cast("int").alias("blocks")), "a").join(info, F.col("b") == F.col("set_key"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("own")).alias("x"), F.greatest(i, F.col("own")).alias("y")))
+    rows = rows.select("a", F.explode(pairs).alias("p"), "b", "c", "main", "n_shingles", "sketch", "own").select("a", "p.x", "p.y", "b", "c", "main", "n_shingles", "sketch", "own")
 
     def run(k: tuple, t: pa.Table) -> pa.Table:
-        key, c, n = (t.column(x).to_numpy() for x in ("b", "c", "n_shingles"))
-        names, inverse, count = np.unique(c, return_inverse=True, return_counts=True)
+        x, y = k[1].as_py(), k[2].as_py()
+        key, c, main, n, own = (t.column(i).to_numpy() for i in ("b", "c", "main", "n_shingles", "own"))
+        sketches_ = t.column("sketch").to_pylist()
+        least = min(map(len, sketches_))
+        flat = np.stack([_folded(z, least) for z in sketches_]).view(np.uint64)
         out = []
-        largest = int(count.argmax())
-        for i in np.flatnonzero(inverse != largest):
-            # a pair of two smaller components is taken once
-            other = (inverse != inverse[i]) & ((inverse == largest) | (key > key[i])) & (4 * np.minimum(n, n[i]) >= 3 * np.maximum(n, n[i]))
-            partners = key[other]
+        for i in np.flatnonzero(c != main):
+            # two smaller components: once; a block pair: only across its blocks
+            other = (c != c[i]) & ((c == main) | (key > key[i])) & (4 * np.minimum(n, n[i]) >= 3 * np.maximum(n, n[i]))
+            if x != y:
+                other &= own != own[i]
+            at = np.flatnonzero(other)
+            at = at[np.bitwise_count(flat[at] ^ flat[i]).sum(1) <= (n[at] + n[i]) // 7]
+            partners = key[at]
             if most is not None and len(partners) > most:
                 partners = partners[np.argsort(mix(partners.astype(np.uint64) ^ np.uint64(int(key[i]) & (2**64 - 1))), kind="stable")[:most]]
             out.append(np.stack([np.full(len(partners), key[i]), partners], 1))
         pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
         return pa.table({"a": pa.array(pairs.min(1)), "b": pa.array(pairs.max(1))})
 
-    return rows.groupBy("a").applyInArrow(run, "a long, b long").distinct()
+    return rows.groupBy("a", "x", "y").applyInArrow(run, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -334,26 +384,24 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     found = cut(candidates(docs, tasks, text))
     pairs = cut(found.where("kind = 0").select("a", "b").distinct())
     runs = cut(found.where("kind = 1").select("a", "b").distinct())
-    classes = rows.where("set_key is not null").groupBy("set_key").agg(F.min(key).alias("rep"), F.first("n_shingles").alias("n_shingles"))
+    classes = rows.where("set_key is not null").groupBy("set_key").agg(F.min(key).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     met = pairs.select("a").unionAll(pairs.select("b")).unionAll(runs.select("b")).distinct().withColumnRenamed("a", "set_key")
-    wanted = cut(classes.join(met, "set_key", "left_semi"))
-    sizes = wanted.select("set_key", "n_shingles")
-    sets = cut(_sets_of(docs, wanted.select("rep", "set_key"), key, text))
-    near = pairs.join(sizes.select(F.col("set_key").alias("a"), F.col("n_shingles").alias("n")), "a").join(sizes.select(F.col("set_key").alias("b"), F.col("n_shingles").alias("m")), "b")
-    near = near.where("4 * least(n, m) >= 3 * greatest(n, m)").select("a", "b")
-    links = cut(_verified(near, sets))
-    known = components(links)
+    info = cut(classes.join(met, "set_key", "left_semi"))
+    links, known = None, None
     tried = pairs
-    for most in LATER:
-        more = cut(_crossing(runs, known, sizes, most).join(tried, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            if most is None:
-                break
+    for most in (0, *LATER):
+        if most == 0:
+            more = cut(_plausible(pairs, info))
+        else:
+            more = cut(_crossing(runs, known, info, most).join(tried, ["a", "b"], "left_anti"))
+            tried = tried.unionAll(more)
+        if links is not None and more.isEmpty():
             continue
-        new = cut(_verified(more, sets))
-        tried = tried.unionAll(more)
-        if not new.isEmpty():
-            links = links.unionAll(new)
+        wanted = more.select(F.col("a").alias("set_key")).unionAll(more.select("b")).distinct()
+        wanted = cut(info.join(wanted, "set_key", "left_semi").select("rep", "set_key"))
+        new = cut(_verified(more, _sets_of(docs, wanted, key, text)))
+        if links is None or not new.isEmpty():
+            links = new if links is None else links.unionAll(new)
             known = components(links)
     return _labelled(rows, classes, known, key)
 

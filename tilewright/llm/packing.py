@@ -26,8 +26,9 @@ from .session import cut
 CAPACITY = 4096
 END_ID = 1
 GROUP = 20_000
-#: Words that a worker keeps with their ids; beyond, it begins anew.
+#: Words, and parts of words, that a worker keeps with their ids; beyond, it begins anew.
 MOST_WORDS = 400_000
+SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 _loaded: dict[str, WordIds] = {}
 
@@ -39,9 +40,10 @@ def public_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class WordIds:
-    """A tokenizer that drops white space, with the ids of the words it has met.
+    """A tokenizer that drops white space and case, with the ids of the words it has met.
 
-    Texts are split at blanks and line ends only; no merge crosses these, so a text's ids are its words' in turn.
+    Texts are split at blanks and line ends only; no merge crosses these, so a text's ids are its words' in turn. Nor
+    does one cross from letters to signs, so a word of letters with ASCII signs behind is the ids of both parts.
     """
 
     def __init__(self, path: str):
@@ -49,23 +51,60 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[v for k, v in vocabulary.items() if k.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {"": b""}
+
+    def _learn(self, words: list[str]) -> None:
+        split = []
+        single, whole = set(), set()
+        for w in words:
+            letters = w.rstrip(SIGNS)
+            low = letters.lower()
+            if not letters or low.isalpha():
+                split.append((low if letters.isascii() else letters, w[len(letters) :]))
+                single.update(split[-1])
+            else:
+                split.append((w, ""))
+                whole.add(w)
+        parts = self.parts
+        new = list(single.difference(parts))
+        for i in range(0, len(new), 512):
+            # runs of letters, or of signs, end in one id of a word's end each
+            some = new[i : i + 512]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            cut = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            if len(cut) == len(some) + 1:
+                ids = ids.tobytes()
+                parts.update((w, ids[a:b]) for w, a, b in zip(some, cut, cut[1:], strict=False))
+            else:
+                whole.update(some)
+        rest = list(whole.difference(parts))
+        for i in range(0, len(rest), 4096):
+            some = rest[i : i + 4096]
+            for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
+                parts[w] = np.array(e.ids, "<u4").tobytes()
+        for w, (a, b) in zip(words, split, strict=True):
+            self.known[w] = parts[a] + parts[b]
+        for w in new + rest:
+            if len(w) > 64:
+                parts.pop(w, None)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > MOST_WORDS:
             self.known = {"": b""}
-        known = self.known
-        new = list(set().union(*split).difference(known)) if split else []
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join(map(known.__getitem__, s)) for s in split]
+        if len(self.parts) > MOST_WORDS:
+            self.parts = {"": b""}
+        new = list(set().union(*split).difference(self.known))
+        self._learn(new)
+        out = [b"".join(map(self.known.__getitem__, s)) for s in split]
         for w in new:
             if len(w) > 64:
-                del known[w]
+                del self.known[w]
         return out
 
 

@@ -6,11 +6,24 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ship, table
+from ..session import ship as ship_package
+from ..session import table
 
 __all__ = ["cut", "free_name", "shared_dir", "ship", "shuffle_partitions", "table"]
 
 
+#: Rows of an Arrow batch: whole texts go to Python workers, so the default of 10,000 would hold much at once.
+BATCH_ROWS = 1_000
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """The package on the workers, and small Arrow batches unless the session has a number of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+    return ship_package(spark)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
