@@ -50,8 +50,8 @@ def test_fingerprints(spark, tables):
 
 def test_fingerprint_estimates():
     r = np.random.default_rng(1)
-    a, b = r.integers(0, 1 << 63, 4000, np.uint64), None
-    b = np.concatenate([a[:3000], r.integers(0, 1 << 63, 1000, np.uint64)])
+    a, b = r.integers(0, 1 << 64, 4000, np.uint64), None
+    b = np.concatenate([a[:3000], r.integers(0, 1 << 64, 1000, np.uint64)])
     x, y = fingerprint.smallest(a), fingerprint.smallest(b)
     assert abs(fingerprint.resemblance(x, y) - 0.6) < 0.15
     assert abs(fingerprint.containment(x, y) - 0.75) < 0.15

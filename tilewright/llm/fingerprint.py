@@ -132,10 +132,11 @@ def neighbour_fingerprints(docs: DataFrame, k: int = K, per_bucket: int = 2) ->
     ids = docs.select(F.col("doc_id").cast("double").alias("x"), F.col("doc_id").cast("long").alias("doc_id"))
     probs = [i / (n * per_bucket) for i in range(1, n * per_bucket)]
     bounds = sorted(set(ids.where("x is not null").approxQuantile("x", probs, 0.2 / (n * per_bucket))))
-    spread = Bucketizer(splits=[-float("inf"), *bounds, float("inf")], inputCol="x", outputCol="b", handleInvalid="keep")
     lowest = -(1 << 63)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("doc_id").cast("double"), F.lit(float(lowest))).alias("x"))
-    rows = spread.transform(rows).withColumn("b", (-F.col("b")).cast("int"))
+    if bounds:
+        rows = Bucketizer(splits=[-float("inf"), *bounds, float("inf")], inputCol="x", outputCol="b", handleInvalid="keep").transform(rows)
+    rows = rows.withColumn("b", (-F.col("b")).cast("int") if bounds else F.lit(0))
     heads = {r["b"]: r["top"] for r in rows.groupBy("b").agg(F.max(F.coalesce("doc_id", F.lit(lowest))).alias("top")).collect()}
     order = sorted(heads)
     before = {b: order[i - 1] for i, b in enumerate(order)}

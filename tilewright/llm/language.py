@@ -25,6 +25,9 @@ DIMS = 1 << 13
 #: The fit's bound: about so many labelled rows a language, those with the smallest hashes.
 TRAIN_ROWS = 1_500
 CENTROIDS = 4
+#: The largest distance that any centroid accepts; one of fewer than FEW rows has no tail to learn from and takes it.
+LARGEST = 0.995
+FEW = 20
 LETTER = byte_class([(0x61, 0x7A), (0x80, 0xFF)])
 UNDEFINED = "und"
 
@@ -141,7 +144,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int =
         cosine = v @ c.T
         labels += [k] * len(c)
         centres += list(c)
-        limits += [min(0.995, slack * float(np.quantile(1 - cosine.max(1), quantile)))] * len(c)
+        tail = slack * float(np.quantile(1 - cosine.max(1), quantile)) if len(v) >= FEW else LARGEST
+        limits += [min(LARGEST, tail)] * len(c)
     return LanguageModel(idf, labels, np.array(centres), np.array(limits))
 
 

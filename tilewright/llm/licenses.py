@@ -13,6 +13,7 @@ repeated rows stay, an empty table gives an empty one. Whole texts are read, wha
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -124,11 +125,12 @@ def detections(text: str) -> list[tuple[int, int, str, int]]:
         if there.setdefault(r.keyword, r.keyword in text):
             found += [(m.start(), m.end(), f"spdx-{m['id'].replace(' ', '-')}" if r.label == "spdx" else r.label, r.priority, i) for m in r.pattern.finditer(text)]
     found.sort(key=lambda x: (-x[3], x[0] - x[1], x[4], x[0]))
-    kept: list[tuple[int, int, str, int]] = []
+    kept: list[tuple[int, int, str, int]] = []  # disjoint, by place
     for a, b, label, n, _ in found:
-        if not any(a < d and c < b for c, d, _, _ in kept):
-            kept.append((a, b, label, n))
-    return sorted(kept)
+        i = bisect_left(kept, (b,))
+        if not i or kept[i - 1][1] <= a:
+            kept.insert(i, (a, b, label, n))
+    return kept
 
 
 def _base_places(text: str) -> list[tuple[int, str]]:
@@ -152,7 +154,7 @@ def scan(text: str) -> tuple:
     if not GATE.search(text):
         return 0, None, None, "", "", 0.0
     base, more = _base_places(text), detections(text)
-    at = sorted(text.count(" ", 0, a) for a, _ in base)
+    at = [text.count(" ", 0, a) for a in (min(x[0] for x in base), max(x[0] for x in base))] if base else []
     labels = {label for _, label in base}
     score = max([1.0 * bool(base), *(min(1.0, n / 100) for *_, n in more)])
     return len(base), (at[0] if at else None), (at[-1] if at else None), ",".join(sorted(labels)), ",".join(sorted(labels | {x[2] for x in more})), score

@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -200,7 +201,7 @@ class Field:
     def added(self, text: str, base: list[Span]) -> list[Span]:
         """Spans that the field adds: runs of tokens of one kind, all sure, bare of outer punctuation."""
         segments = _near_tokens(text)
-        taken = sorted((a, b) for _, a, b in base)
+        taken = disjoint(base)
         out: list[Span] = []
         for spans, p in zip(segments, self.marginals([[text[a:b] for a, b in s] for s in segments]), strict=True):
             best, top = p.argmax(1), p.max(1)
@@ -215,12 +216,24 @@ class Field:
                         a += 1
                     while a < b and text[b - 1] in ".,;:!?[]{}\"'<>(":
                         b -= 1
-                    if a < b and not any(c < b and a < d for c, d in taken):
+                    at = bisect_left(taken, (b,))
+                    if a < b and (not at or taken[at - 1][1] <= a):
                         out.append((KINDS[best[i] - 1], a, b))
                 i = j
         return out
 
 
+def disjoint(spans: list[Span]) -> list[tuple[int, int]]:
+    """The places that any span covers, in order, overlaps joined."""
+    out: list[tuple[int, int]] = []
+    for _, a, b in sorted(spans, key=lambda s: s[1]):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
 def _token_labels(spans: list[tuple[int, int]], base: list[Span]) -> list[int]:
     return [next((1 + KINDS.index(k) for k, c, d in base if c < b and a < d), 0) for a, b in spans]
 
