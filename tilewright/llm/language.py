@@ -100,7 +100,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int =
     """Learn from the rows with a language and a letter, at most about ``rows`` a language.
 
     The bound: languages are counted over all rows, and of each about ``rows`` texts with the smallest hashes
-    are taken. Their hashed counts go to the driver: ``rows`` sparse vectors a language.
+    are taken. The logarithms of their hashed counts go to the driver as sparse vectors of four bytes a value and
+    stay sparse there.
     """
     some = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l")).where(F.col("l").isNotNull() & has_letter(F.col("t"))).withColumn("h", F.pmod(F.xxhash64("t"), F.lit(1_000_000)))
     sizes = {r["l"]: r["count"] for r in some.groupBy("l").count().collect()}
@@ -116,49 +117,53 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int =
             for c in _rows_counts(batch.column(0)):
                 for v in c:
                     nz = np.flatnonzero(v)
-                    at.append(nz.astype(np.int32))
-                    val.append(v[nz].astype(np.float32))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(at, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float32()))], ["l", "at", "val"])
-
-    got = some.where(take).select("t", "l").mapInArrow(sparse, "l string, at array<int>, val array<float>").toArrow()
-    names = got.column("l").to_pylist()
-    at, val = got.column("at").combine_chunks(), got.column("val").combine_chunks()
-    bounds = at.offsets.to_numpy()
-    flat_at, flat_val = at.values.to_numpy(), val.values.to_numpy()
-    order = sorted(range(len(names)), key=lambda i: (names[i], flat_at[bounds[i] : bounds[i + 1]].tobytes(), flat_val[bounds[i] : bounds[i + 1]].tobytes()))
-    seen = np.bincount(flat_at, minlength=DIMS)
-    idf = np.log((1 + len(names)) / (1 + seen)).astype(np.float32) + 0.1
+                    at.append(nz.astype("<u2").tobytes())
+                    val.append(np.log1p(v[nz]).astype("<f2").tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(at, pa.binary()), pa.array(val, pa.binary())], ["l", "x", "at", "val"])
+
+    got = some.where(take).select("t", "l", F.xxhash64("t").alias("x")).mapInArrow(sparse, "l string, x long, at binary, val binary").toArrow().sort_by([("l", "ascending"), ("x", "ascending")])
+    names = np.array(got.column("l").to_pylist(), object)
 
-    def dense(some: list[int]) -> np.ndarray:
-        out = np.zeros((len(some), DIMS), np.float32)
-        for r, i in enumerate(some):
-            out[r, flat_at[bounds[i] : bounds[i + 1]]] = flat_val[bounds[i] : bounds[i + 1]]
-        return _weighted(out, idf)
+    def column(name: str, kind: str, rows: np.ndarray) -> list[np.ndarray]:
+        return [np.frombuffer(x, kind) for x in got.column(name).take(pa.array(rows)).to_pylist()]
 
+    langs = [k for k in sorted(sizes) if (names == k).any()]
+    seen = sum(np.bincount(np.concatenate(column("at", "<u2", np.flatnonzero(names == k))), minlength=DIMS) for k in langs)
+    idf = np.log((1 + len(names)) / (1 + seen)).astype(np.float32) + 0.1
     labels, centres, limits = [], [], []
-    for k in sorted(sizes):
-        v = dense([i for i in order if names[i] == k])
-        if not len(v):
-            continue
-        c = _spherical_kmeans(v, min(centroids, len(v)))
-        cosine = v @ c.T
+    for k in langs:
+        at = column("at", "<u2", np.flatnonzero(names == k))
+        row = np.repeat(np.arange(len(at)), [len(x) for x in at])
+        n, at = len(at), np.concatenate(at)
+        val = np.concatenate(column("val", "<f2", np.flatnonzero(names == k))).astype(np.float32) * idf[at]
+        size = np.sqrt(np.bincount(row, val * val, n))
+        val /= np.where(size == 0, 1, size)[row]
+        c, cosine = _spherical_kmeans(row, at, val, n, min(centroids, n))
         labels += [k] * len(c)
         centres += list(c)
-        tail = slack * float(np.quantile(1 - cosine.max(1), quantile)) if len(v) >= FEW else LARGEST
+        tail = slack * float(np.quantile(1 - cosine.max(1), quantile)) if n >= FEW else LARGEST
         limits += [min(LARGEST, tail)] * len(c)
     return LanguageModel(idf, labels, np.array(centres), np.array(limits))
 
 
-def _spherical_kmeans(v: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
-    """Centres of length one, begun with evenly spaced rows."""
-    c = v[np.linspace(0, len(v) - 1, k).astype(int)].copy()
+def _spherical_kmeans(row: np.ndarray, at: np.ndarray, val: np.ndarray, n: int, k: int, rounds: int = 15) -> tuple[np.ndarray, np.ndarray]:
+    """Centres of length one, begun with evenly spaced rows, and the rows' cosines with them.
+
+    The n rows of length one are sparse: the values ``val`` stand in ``row`` at ``at``.
+    """
+
+    def centre(mine: np.ndarray) -> np.ndarray:
+        c = np.bincount(at[mine], val[mine], DIMS).astype(np.float32)
+        return c / (np.linalg.norm(c) or 1)
+
+    def cosines() -> np.ndarray:
+        return np.stack([np.bincount(row, val * x[at], n) for x in c], 1)
+
+    c = [centre(row == i) for i in np.linspace(0, n - 1, k).astype(int)]
     for _ in range(rounds):
-        own = (v @ c.T).argmax(1)
-        for j in range(k):
-            if (own == j).any():
-                c[j] = v[own == j].sum(0)
-                c[j] /= np.linalg.norm(c[j])
-    return c
+        own = cosines().argmax(1)
+        c = [centre(own[row] == j) if (own == j).any() else x for j, x in enumerate(c)]
+    return np.array(c), cosines()
 
 
 def identify(df: DataFrame, model: LanguageModel, text: str = "text", prefix: str = "lang_") -> DataFrame:

@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
@@ -243,23 +244,27 @@ def train(texts: list[str], steps: int = 150, rate: float = 0.5, ridge: float =
 
     The skip potential rewards a shared label by ``agreement``, for kinds only. Without any text nothing is learned and all is outside.
     """
-    feats, labels, pairs = [], [], np.ones((len(LABELS), len(LABELS)))
+    feats, many, labels, pairs = array("i"), [], [], np.ones((len(LABELS), len(LABELS)))
     for text in texts:
         base = base_spans(text)
         for spans in _near_tokens(text):
             tokens = [text[a:b] for a, b in spans]
             y = _token_labels(spans, base)
-            feats += [_features(tokens, i) for i in range(len(tokens))]
+            for i in range(len(tokens)):
+                f = _features(tokens, i)
+                feats.extend(f)
+                many.append(len(f))
             labels += y
             np.add.at(pairs, (y[:-1], y[1:]), 1)
     unary = np.zeros((BUCKETS, len(LABELS)))
     if feats:
-        row = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
-        col = np.concatenate([np.array(f) for f in feats])
+        n = len(many)
+        row = np.repeat(np.arange(n), many)
+        col = np.frombuffer(feats, np.int32)
         y = np.eye(len(LABELS))[labels]
         scale = 1 / np.maximum(1, np.bincount(col, minlength=BUCKETS)) ** 0.5
         for _ in range(steps):
-            z = np.stack([np.bincount(row, unary[col, k], len(feats)) for k in range(len(LABELS))], 1)
+            z = np.stack([np.bincount(row, unary[col, k], n) for k in range(len(LABELS))], 1)
             p = np.exp(z - np.logaddexp.reduce(z, axis=1)[:, None])
             for k in range(len(LABELS)):
                 unary[:, k] -= rate * (np.bincount(col, (p - y)[row, k], BUCKETS) * scale / 4 + ridge * unary[:, k])
