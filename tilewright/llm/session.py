@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,8 +41,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder; a lost executor loses none of it."""
+    """``df`` computed once and kept in the shared folder; a lost executor loses none of it.
+
+    Spark removes the shuffle files of plans that are gone only when the driver collects its garbage, which may be
+    half an hour later; operators of many steps ask for it at each, so that earlier steps' files do not pile up.
+    """
     shared_dir(df.sparkSession)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.checkpoint()
 
 
