@@ -339,6 +339,29 @@ def test_skip_edges_carry_labels():
     assert not alone and with_edge[1][1][4] > without[1][1][4]
 
 
+def test_one_sure_mention_reaches_all_others():
+    """Dozens of mentions in another format follow a full one; the last hears of it too."""
+    sure, weak, kind = ["call", "+14555552199", "now"], ["or", "14555552199", "then"], 1 + pii.KINDS.index("phone")
+    other = ["call", "nobody", "now"]
+    own = lambda s: set(pii._features(s, 1)) - {f for x in (sure, weak, other) for i in range(3) if (x, i) != (s, 1) for f in pii._features(x, i)}
+    model = pii.train([])
+    model.unary[:] = 0
+    model.unary[zlib.crc32(b"b") % pii.BUCKETS, 1:] = -20
+    model.unary[min(own(sure)), kind] = 28
+    model.unary[min(own(weak)), kind] = 14
+    for n in (3, 40, 1000):
+        heard, alone = (model.marginals([first, *[weak] * n]) for first in (sure, other))
+        # the last has a tie on one side only
+        assert alone[n][1][kind] < 0.1 and heard[n][1][kind] > 0.8 and all(h[1][kind] > 0.9 for h in heard[1:n])
+
+
+def test_fit_reads_whole_texts(spark, monkeypatch):
+    monkeypatch.setattr(pii, "train", lambda texts: texts)
+    far = " ".join(f"room {i} and then some more words" for i in range(60)) + " call 5552199 now"
+    wide = " ".join(str(i) for i in range(2000)) + " 5552199"
+    assert all("5552199" in t for t in pii.fit(spark.createDataFrame([(1, far), (2, wide)], DOCS)))
+
+
 def test_redaction_of_hard_rows(hard, empty, spark):
     model = pii.fit(hard)
     assert len(pii.find_pii(hard, model).toPandas()) == len(HARD)

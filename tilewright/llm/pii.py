@@ -4,8 +4,8 @@ Base kinds, each leftmost and non-overlapping: email, ip (parts at most 255), ca
 Luhn) and phone (8 to 15 digits); a match that fails its check is dropped. The field labels the tokens (runs
 without white space) near a digit or an ``@``: a linear chain over neighbours, and skip edges between distant
 tokens of a document that are equal or share a long run of digits or an address. Their shared potentials and
-loopy message passing let one sure mention decide the others. What it labels with enough certainty, and no base
-span overlaps, is added; base spans always stay.
+loopy message passing, run until it settles, let one sure mention decide the others however many lie between. What
+it labels with enough certainty, and no base span overlaps, is added; base spans always stay.
 
 Offsets count code points, ends are exclusive. Null is the empty text and has no spans. Rows are independent:
 repeated rows stay, an empty table gives an empty one. Tokens without digit or ``@`` and more than two tokens
@@ -91,6 +91,7 @@ def spelled(spans: list[Span]) -> str:
 
 LABELS = ("O", *KINDS)
 BUCKETS = 1 << 14
+ROUNDS_A_NODE = 10
 _TRIGGER = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"\S+")
 _SHAPE = [(re.compile(r"[0-9]"), "d"), (re.compile(r"[a-z]+"), "a"), (re.compile(r"[A-Z]+"), "A"), (re.compile(r"[^\x00-\x7F]+"), "u")]
@@ -159,10 +160,11 @@ class Field:
     chain: np.ndarray
     skip: np.ndarray
     sure: float = 0.9
-    rounds: int = 8
+    settled: float = 1e-4
+    damping: float = 0.5
 
     def marginals(self, segments: list[list[str]]) -> list[np.ndarray]:
-        """Loopy sum-product over a document's segments, joined by skip edges."""
+        """Loopy sum-product over a document's segments, joined by skip edges, until no message changes."""
         tokens = [t for s in segments for t in s]
         if not tokens:
             return []
@@ -182,23 +184,36 @@ class Field:
                     seen[k] = n
                 n += 1
         if edges:
-            e = np.array(edges)
-            pots = np.stack([self.chain, self.skip])[kinds]
-            forth, back = np.zeros((len(e), len(LABELS))), np.zeros((len(e), len(LABELS)))
-            for _ in range(min(self.rounds, 2 * n)):
-                belief = local.copy()
-                np.add.at(belief, e[:, 1], forth)
-                np.add.at(belief, e[:, 0], back)
-                a = (belief[e[:, 0]] - back)[:, :, None] + pots
-                b = (belief[e[:, 1]] - forth)[:, None, :] + pots
-                forth, back = np.logaddexp.reduce(a, axis=1), np.logaddexp.reduce(b, axis=2)
-                forth -= np.logaddexp.reduce(forth, axis=1)[:, None]
-                back -= np.logaddexp.reduce(back, axis=1)[:, None]
-            np.add.at(local, e[:, 1], forth)
-            np.add.at(local, e[:, 0], back)
+            self._pass_messages(local, np.array(edges), np.array(kinds))
         p = np.exp(local - np.logaddexp.reduce(local, axis=1)[:, None])
         return list(np.split(p, np.cumsum([len(s) for s in segments])[:-1]))
 
+    def _pass_messages(self, belief: np.ndarray, e: np.ndarray, kinds: np.ndarray) -> None:
+        """Add to each node what its edges say, until no message changes; only edges at nodes that changed are done again.
+
+        Damped, as loops can make messages swing; those that never settle end after ROUNDS_A_NODE rounds a node, when
+        evidence has long crossed the graph.
+        """
+        both = np.stack([self.chain, self.skip])
+        forth, back = np.zeros((len(e), len(LABELS))), np.zeros((len(e), len(LABELS)))
+        live = np.arange(len(e))
+        for _ in range(ROUNDS_A_NODE * (len(belief) + 20)):
+            u, v, pots = e[live, 0], e[live, 1], both[kinds[live]]
+            f = np.logaddexp.reduce((belief[u] - back[live])[:, :, None] + pots, axis=1)
+            b = np.logaddexp.reduce((belief[v] - forth[live])[:, None, :] + pots, axis=2)
+            f = (f - np.logaddexp.reduce(f, axis=1)[:, None] - forth[live]) * (1 - self.damping)
+            b = (b - np.logaddexp.reduce(b, axis=1)[:, None] - back[live]) * (1 - self.damping)
+            forth[live] += f
+            back[live] += b
+            np.add.at(belief, v, f)
+            np.add.at(belief, u, b)
+            changed = np.zeros(len(belief), bool)
+            changed[v[np.abs(f).max(1) > self.settled]] = True
+            changed[u[np.abs(b).max(1) > self.settled]] = True
+            live = np.flatnonzero(changed[e[:, 0]] | changed[e[:, 1]])
+            if not len(live):
+                break
+
     def added(self, text: str, base: list[Span]) -> list[Span]:
         """Spans that the field adds: runs of tokens of one kind, all sure, bare of outer punctuation."""
         segments = _near_tokens(text)
@@ -281,15 +296,14 @@ MOST_TRAINING_TEXTS = 3_000
 def fit(docs: DataFrame, text: str = "text", most: int = MOST_TRAINING_TEXTS) -> Field:
     """Train on at most ``most`` texts that hold a digit or an ``@``, those with the smallest hashes.
 
-    Only the windows around marks of each text (see ``_near_tokens``) go to the driver.
+    Only the windows around marks of each text (see ``_near_tokens``) go to the driver, all of them and whole.
     """
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for t in batch.column(0).to_pylist():
-                parts = [t[s[0][0] : s[-1][1]] for s in _near_tokens(t)][:40]
-                out.append("\n\n\n".join(p[:2000] for p in parts))
+                out.append("\n\n\n".join(t[s[0][0] : s[-1][1]] for s in _near_tokens(t)))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["w"])
 
     some = docs.select(F.col(text).alias("t")).where(F.col("t").rlike("[0-9@]")).withColumn("h", F.xxhash64("t"))
