@@ -106,6 +106,19 @@ def test_other_scripts_are_rejected(spark):
     assert got.lang_rejected[1] and not got.lang_rejected[2]
 
 
+def test_languages_of_copies_are_learned(spark):
+    """Each language is many copies of one text; none may be missed, and all rows count for document frequencies."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    rows = [(i, t, f"l{j:02d}") for j in range(10) for t in [" ".join(word() for _ in range(12))] for i in range(40)]
+    rows += [(i, " ".join(word() for _ in range(12)), "many") for i in range(300)]
+    model = language.fit(spark.createDataFrame(rows, DOCS + ", lang string").repartition(3), rows=10)
+    assert set(model.names) == {x[2] for x in rows}
+    data = [np.frombuffer(x[1].encode(), np.uint8) for x in rows]
+    df = (language.counts(np.concatenate(data), np.cumsum([0, *map(len, data)])) > 0).sum(0)
+    assert np.allclose(model.idf, np.log((1 + len(rows)) / (1 + df)) + 0.1, atol=1e-5)
+
+
 # --- 3
 
 PAGE = """<html><head><title>T</title></head><body><header class="site-header"><a href=/>Home</a><p>A line about us</p></header>

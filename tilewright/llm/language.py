@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .vectors import byte_class, chunks, lower_ascii
 
 DIMS = 1 << 13
-#: The fit's bound: about so many labelled rows a language, those with the smallest hashes.
+#: The fit's bound: so many distinct labelled texts a language, those with the smallest hashes.
 TRAIN_ROWS = 1_500
 CENTROIDS = 4
 #: The largest distance that any centroid accepts; one of fewer than FEW rows has no tail to learn from and takes it.
@@ -97,19 +97,41 @@ def _rows_counts(column: pa.Array, dims: int = DIMS) -> Iterator[np.ndarray]:
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS, centroids: int = CENTROIDS, quantile: float = 0.999, slack: float = 1.25) -> LanguageModel:
-    """Learn from the rows with a language and a letter, at most about ``rows`` a language.
+    """Learn from the rows with a language and a letter: document frequencies from all, centroids from a sample.
 
-    The bound: languages are counted over all rows, and of each about ``rows`` texts with the smallest hashes
-    are taken. The logarithms of their hashed counts go to the driver as sparse vectors of four bytes a value and
-    stay sparse there.
+    The bound: of each language the ``rows`` distinct texts with the smallest hashes are taken. Copies of a text are one,
+    with a weight that grows as the logarithm of their number, so that no text swamps a centroid; each counts once for
+    the limits. The logarithms of their hashed counts go to the driver as sparse vectors of four bytes a value and stay
+    sparse there.
     """
-    some = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l")).where(F.col("l").isNotNull() & has_letter(F.col("t"))).withColumn("h", F.pmod(F.xxhash64("t"), F.lit(1_000_000)))
-    sizes = {r["l"]: r["count"] for r in some.groupBy("l").count().collect()}
+    some = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l")).where(F.col("l").isNotNull() & has_letter(F.col("t"))).withColumn("x", F.xxhash64("t"))
+    texts = some.groupBy("l", "x").agg(F.count("*").alias("n"))
+    sizes = {r["l"]: r["n"] for r in texts.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return LanguageModel(np.zeros(DIMS), [], np.zeros((0, DIMS)), np.zeros(0))
-    take = F.lit(False)
-    for k, n in sizes.items():
-        take = take | ((F.col("l") == k) & (F.col("h") < int(1_000_000 * min(1.0, rows / n)) + 1))
+
+    def below(edges: dict[str, int]) -> Column:
+        take = F.lit(False)
+        for k, edge in edges.items():
+            take = take | ((F.col("l") == k) & (F.col("x") <= edge))
+        return take
+
+    # hashes are even over 64 bits: below twice the wanted share there are enough
+    near = below({k: min((1 << 63) - 1, int((1 << 64) * (2 * rows + 100) / n) - (1 << 63)) for k, n in sizes.items()})
+    copies: dict[str, dict[int, int]] = {k: {} for k in sizes}
+    for r in texts.where(near).orderBy("x").collect():
+        if len(copies[r["l"]]) < rows:
+            copies[r["l"]][r["x"]] = r["n"]
+
+    def document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, docs = np.zeros(DIMS + 1, np.int64), 0
+        for batch in batches:
+            for c in _rows_counts(batch.column(0)):
+                n[:DIMS] += np.count_nonzero(c, axis=0)
+                docs += len(c)
+        n[DIMS] = docs
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["at", "n"])
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,24 +143,27 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int =
                     val.append(np.log1p(v[nz]).astype("<f2").tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(at, pa.binary()), pa.array(val, pa.binary())], ["l", "x", "at", "val"])
 
-    got = some.where(take).select("t", "l", F.xxhash64("t").alias("x")).mapInArrow(sparse, "l string, x long, at binary, val binary").toArrow().sort_by([("l", "ascending"), ("x", "ascending")])
+    seen = np.zeros(DIMS + 1, np.int64)
+    for r in some.select("t").mapInArrow(document_counts, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        seen[r["at"]] = r["n"]
+    drawn = some.where(below({k: max(x) for k, x in copies.items()})).dropDuplicates(["l", "x"])
+    got = drawn.select("t", "l", "x").mapInArrow(sparse, "l string, x long, at binary, val binary").toArrow().sort_by([("l", "ascending"), ("x", "ascending")])
     names = np.array(got.column("l").to_pylist(), object)
 
     def column(name: str, kind: str, rows: np.ndarray) -> list[np.ndarray]:
         return [np.frombuffer(x, kind) for x in got.column(name).take(pa.array(rows)).to_pylist()]
 
-    langs = [k for k in sorted(sizes) if (names == k).any()]
-    seen = sum(np.bincount(np.concatenate(column("at", "<u2", np.flatnonzero(names == k))), minlength=DIMS) for k in langs)
-    idf = np.log((1 + len(names)) / (1 + seen)).astype(np.float32) + 0.1
+    idf = np.log((1 + seen[DIMS]) / (1 + seen[:DIMS])).astype(np.float32) + 0.1
     labels, centres, limits = [], [], []
-    for k in langs:
+    for k in sorted(sizes):
+        weight = 1 + np.log([copies[k][x] for x in np.array(got.column("x"))[names == k].tolist()])
         at = column("at", "<u2", np.flatnonzero(names == k))
         row = np.repeat(np.arange(len(at)), [len(x) for x in at])
         n, at = len(at), np.concatenate(at)
         val = np.concatenate(column("val", "<f2", np.flatnonzero(names == k))).astype(np.float32) * idf[at]
         size = np.sqrt(np.bincount(row, val * val, n))
         val /= np.where(size == 0, 1, size)[row]
-        c, cosine = _spherical_kmeans(row, at, val, n, min(centroids, n))
+        c, cosine = _spherical_kmeans(row, at, val, weight, min(centroids, n))
         labels += [k] * len(c)
         centres += list(c)
         tail = slack * float(np.quantile(1 - cosine.max(1), quantile)) if n >= FEW else LARGEST
@@ -146,14 +171,15 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int =
     return LanguageModel(idf, labels, np.array(centres), np.array(limits))
 
 
-def _spherical_kmeans(row: np.ndarray, at: np.ndarray, val: np.ndarray, n: int, k: int, rounds: int = 15) -> tuple[np.ndarray, np.ndarray]:
+def _spherical_kmeans(row: np.ndarray, at: np.ndarray, val: np.ndarray, weight: np.ndarray, k: int, rounds: int = 15) -> tuple[np.ndarray, np.ndarray]:
     """Centres of length one, begun with evenly spaced rows, and the rows' cosines with them.
 
-    The n rows of length one are sparse: the values ``val`` stand in ``row`` at ``at``.
+    The rows of length one are sparse: the values ``val`` stand in ``row`` at ``at``. Each counts by its weight.
     """
+    n = len(weight)
 
     def centre(mine: np.ndarray) -> np.ndarray:
-        c = np.bincount(at[mine], val[mine], DIMS).astype(np.float32)
+        c = np.bincount(at[mine], val[mine] * weight[row[mine]], DIMS).astype(np.float32)
         return c / (np.linalg.norm(c) or 1)
 
     def cosines() -> np.ndarray:
