@@ -140,6 +140,20 @@ def test_extraction(spark):
     assert html_text.extract(pages.limit(0), model).count() == 0
 
 
+def test_open_elements_do_not_swallow_the_page():
+    model = html_text.train()
+    article = "<article><h1>A title here</h1><p>One sentence, with some words in it.</p><p>Another one follows, it is as long.</p></article>"
+    want = "A title here\n\nOne sentence, with some words in it.\n\nAnother one follows, it is as long."
+    assert model.text(f"<html><head><title>T</title></head><body>{article}</body></html>") == want
+    for start in ("<head><title>T</title><body>", "<head><meta charset=x><link href=y>", "<head><title>T<body>", "<head></head><body>"):
+        assert model.text(f"<html>{start}{article}</html>") == want, start
+    assert model.text("<head><title>T</title>Bare text, as long as a sentence is, with no element around it.") == "Bare text, as long as a sentence is, with no element around it."
+    for name in ("video", "audio", "canvas", "svg", "iframe", "textarea", "object", "math", "noscript", "template"):
+        assert model.text(f"<body>{article.replace('<p>Another', f'<{name} src=x><p>Another')}</body>") == want, name
+    assert model.text("<article><p>Let <math><mi>x</mi></math> be a number, and <object data=y>so on</object> for all.</p></article>") == "Let x be a number, and so on for all."
+    assert model.text(f"<body>{article}<style>p {{") == model.text(f"<body>{article}<script>x<p>") == model.text(f"<body>{article}<!-- <p>x") == want
+
+
 def test_extraction_of_all_pages(spark, tables):
     got = queries.op3_html_extraction(spark, tables).toPandas()
     pages = spark.read.parquet(f"{tables}/pages.parquet").toPandas().set_index("page_id")

@@ -6,8 +6,9 @@ block a cost of being content and of being boilerplate; these are the terminal c
 and blocks close in the tree are tied by smoothness edges. The maximum flow from content to boilerplate finds the
 cheapest cut; the blocks on the content side are the text, in page order, joined by two line ends.
 
-Scripts, styles, comments, templates and the head are no blocks. Unclosed ones reach to the end. Null html is the
-empty page; a page without content has the empty text. Rows are independent: repeated rows stay, an empty table
+Scripts, styles, comments, templates, the head and what RAW_TAGS names are no blocks. Unclosed scripts, styles and
+comments reach to the end; of others of RAW_TAGS only the tag is left out where nothing closes it, and an open head ends
+at the first element or text that cannot stand in it. Null html is the empty page; a page without content has the empty text. Rows are independent: repeated rows stay, an empty table
 gives an empty one. The classifier is trained on a small set of labelled pages that ``training_blocks`` makes.
 """
 
@@ -27,7 +28,8 @@ from pyspark.sql import DataFrame
 
 #: Names of elements.
 BLOCK_TAGS = frozenset("address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
-RAW_TAGS = frozenset("script style noscript template svg textarea title iframe object math canvas audio video".split())
+RAW_TAGS = frozenset("script style noscript template svg textarea title iframe canvas audio video".split())
+HEAD_TAGS = frozenset("html head base basefont bgsound link meta title script style noscript noframes template".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCK_TAGS - {"button"}
 #: Words in classes, ids and roles.
@@ -81,6 +83,15 @@ def blocks(page: str) -> list[Block]:
     parts: list[str] = []
     linked, in_link, serial, at, n = 0, 0, 0, 0, len(page)
     where: tuple | None = None
+    never_closed: set[str] = set()
+
+    def end_head() -> None:
+        i = len(stack)
+        while i and stack[i - 1][0] in HEAD_TAGS:  # nothing else stands in an open head
+            i -= 1
+            if stack[i][0] == "head":
+                end_block()
+                del stack[i:]
 
     def end_block() -> None:
         nonlocal linked, where
@@ -99,6 +110,8 @@ def blocks(page: str) -> list[Block]:
             text = page[at:lt]
             if not text.isspace() or parts:
                 if where is None and not text.isspace():
+                    if stack and stack[-1][0] == "head":
+                        end_head()
                     where = tuple(stack)
                 text = html.unescape(text) if "&" in text else text
                 parts.append(text)
@@ -148,10 +161,14 @@ def blocks(page: str) -> list[Block]:
                     break
             in_link = sum(s[0] == "a" for s in stack)
             continue
-        if name in RAW_TAGS and not attributes.endswith("/"):
+        if name not in HEAD_TAGS:
+            end_head()
+        if name in RAW_TAGS and not attributes.endswith("/") and name not in never_closed:
             close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else n
-            continue
+            if close or name in ("script", "style"):
+                at = close.end() if close else n
+                continue
+            never_closed.add(name)
         if name in BLOCK_TAGS:
             end_block()
             if name in CLOSES_P:
