@@ -502,6 +502,14 @@ def test_license_rules():
     assert all(licenses.GATE.search(r.keyword) for r in licenses.rules()) and all(licenses.GATE.search(p) for p, _ in licenses.BASE)
 
 
+def test_short_names_without_a_version():
+    found = lambda t: {x[2] for x in licenses.detections(t)}
+    for name, label in (("gpl", "gpl"), ("lgpl", "lgpl"), ("agpl", "agpl"), ("gfdl", "fdl"), ("mpl", "mpl"), ("epl", "epl"), ("cddl", "cddl"), ("eupl", "eupl"), ("odbl", "odbl")):
+        assert found(f"it is licensed under the {name} and so on") == found(f"governed by the {name}") == found(f"the {name} license") == {label}
+        assert found(f"the {name} table") == found(f"licensed under the {name}x") == set()
+    assert found("released under the gpl version 3") == {"gpl-3"} and found("available under the mpl 2 0") == {"mpl-2"}
+
+
 def test_licenses_of_hard_rows(hard, empty):
     assert len(licenses.scan_licenses(hard).toPandas()) == len(HARD)
     assert licenses.scan_licenses(empty).count() == 0

@@ -111,6 +111,11 @@ def rules() -> tuple[Rule, ...]:
                 add(name, rf"{re.escape(name)}(?: gpl)? (?:v|version |v )?{short}(?: or (?:any )?later)?", f"{label}-{v.replace(' ', '.')}", 5)
             if len(name) > 4 or not versions:
                 add(name, re.escape(name), label, 0)
+            else:  # a bare word so short is no license
+                add(name, rf"{re.escape(name)} licen[cs]e", label, 0)
+                for before, after, n in TEMPLATES:
+                    if before:
+                        out.append(Rule(name, re.compile(rf"(?<![^ ]){before}{re.escape(name)}{after}(?![^ ])"), label, n))
     for label, body in CC:
         add("cc", rf"cc (?:{body})(?: [1-4](?: [05])?)?", f"cc-{label}", 2 * label.count("-"))
         add("creative commons", rf"creative commons (?:{body})(?: (?:license )?[1-4](?: [05])?)?", f"cc-{label}", 2 * label.count("-"))
