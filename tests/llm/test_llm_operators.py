@@ -513,3 +513,43 @@ def test_short_names_without_a_version():
 def test_licenses_of_hard_rows(hard, empty):
     assert len(licenses.scan_licenses(hard).toPandas()) == len(HARD)
     assert licenses.scan_licenses(empty).count() == 0
+
+
+# --- skewed inputs of the packing and the join
+
+
+def test_packing_deals_one_hot_id(spark):
+    """Rows of one id, and one row many times, are dealt over the groups like others."""
+    rows = spark.range(4_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("a few words").alias("text"))
+    got = packing.pack(packing.pieces(rows), group=500)
+    per_group = got.groupBy((F.col("sequence_id") / (1 << 32)).cast("long").alias("g")).count().toPandas()
+    assert per_group["count"].sum() == 4_000 and len(per_group) == 8 and per_group["count"].max() < 700
+    assert got.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").isEmpty()
+
+
+def test_words_are_encoded_as_their_text():
+    tok = packing.WordIds(packing.public_path())
+    texts = ["it's, don't… x…, 12, 3.5% a\x01b \x01 çé… 'll a'ss's ʼs’s ² ½. ①!", "Σίσυφος ΣΑΣ. İstanbul,  x y \t z\tw", "--- ,,,'s 's'. ́a , ́, é,", "日本語、 テ。ス, ،،", "a" * 300 + "!" * 80, ""]
+    for _ in range(2):  # the second time from what is known
+        assert [np.frombuffer(x, "<u4").tolist() for x in tok.ids(texts)] == [tok.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """Exact components of many near copies, and no more than a few compared pairs a member."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(600):
+        w = list(base)
+        for at in rng.integers(0, 120, rng.integers(1, 6)):
+            w[at] = f"x{rng.integers(1_000_000)}"
+        rows.append((i, " ".join(w)))
+    compared = []
+    verified = jaccard_join._verified
+    monkeypatch.setattr(jaccard_join, "_verified", lambda pairs, *a: (compared.append(pairs.count()), verified(pairs, *a))[1])
+    monkeypatch.setattr(jaccard_join, "SMALL_RUN", 20)
+    monkeypatch.setattr(jaccard_join, "RUN_BLOCK", 100)
+    docs = spark.createDataFrame(rows, DOCS)
+    got = jaccard_join.jaccard_components(docs).toPandas().set_index("doc_id").component_id.to_dict()
+    assert got == {i: c for i, _, c in brute_components(rows)}
+    assert sum(compared) < 40 * len(rows)

@@ -13,10 +13,13 @@ them must match. A set with fewer such parts also emits the first x - ceil(3x /
 covers the pairs of two such sets.
 
 Work. Equal sets are one class, so copies cost nothing. Signatures are sent in packed form, by ranges of their hash.
-Classes that share a signature are candidates: all pairs where few share one, else pairs with three pivots. Sketches of parities
-rule out what differs too much, and exact intersections of the sets, read again from the texts, decide. Then connected components are found, and only classes that share a signature but are still in
-different components are compared further, with growing numbers of partners and at last with all, so no link between
-components is lost while a large group of near copies costs about one comparison a member.
+Classes that share a signature are candidates: all pairs where few share one, else pairs with three pivots. Sketches
+of parities rule out what differs too much, and exact intersections of the sets, read again from the texts and shuffled
+once, decide. Then connected components are found. Of a run (the classes that share a signature) only members outside
+its largest component, the strays, are compared further, each with the members of other components. A pair meets in as
+many runs as it shares signatures; it is proposed in the first one only, as far as the lists of each class's first runs
+tell, so a large group of near copies costs about one comparison a member. Small runs are finished at once, large ones
+by some partners a stray first and then by all, so no link between components is lost.
 
 Results: each row's doc_id, n_shingles and component_id, the smallest doc_id that links reach (of rows without id:
 null). Repeated rows stay; an empty table gives an empty one.
@@ -38,12 +41,16 @@ WIDTH = 5
 #: Classes that share a signature are compared all with all up to this many.
 FEW = 4
 PIVOTS = 3
-#: Partners per class in the later rounds; None is all.
-LATER = (16, None)
-#: Members of a signature that one task compares; larger groups are dealt over pairs of blocks.
+#: Partners a stray gets in the first later round from a run of more than SMALL_RUN; afterwards all that are left.
+PARTNERS = 16
+SMALL_RUN = 64
+#: The first runs of a class that travel with it, by which a pair finds the first run it shares.
+FIRST_RUNS = 8
+#: Members of a run that one task compares with its strays; a larger run's members are dealt over blocks.
 RUN_BLOCK = 4096
+PAIRS_AT_ONCE = 200_000
 SIGNATURES_PER_TASK = 3_000_000
-BROADCAST_ROWS = 500_000  # of 24 bytes each
+BROADCAST_ROWS = 500_000  # of about 40 bytes each
 
 
 def shingle_sets(column: pa.Array) -> list[np.ndarray]:
@@ -88,14 +95,29 @@ def sketch(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount(((s >> np.uint64(9)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8).tobytes()
 
 
-def _folded(x: bytes, size: int) -> np.ndarray:
-    """A sketch at a smaller power of two of bytes; index bits are dropped from above, so blocks are added."""
-    return np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, size), axis=0)
+def _alike(sketches: list[bytes], i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether the sketches ``i`` and ``j`` differ in at most ``most`` bits; one of more bits is folded to the other's.
 
-
-def _differ(a: bytes, b: bytes) -> int:
-    size = min(len(a), len(b))
-    return int(np.bitwise_count(_folded(a, size) ^ _folded(b, size)).sum())
+    Index bits are dropped from above, so folding adds blocks up.
+    """
+    length = np.array([len(x) for x in sketches], np.int64)
+    place = np.zeros(len(sketches), np.int64)
+    of: dict[int, np.ndarray] = {}
+    for n in np.unique(length):
+        own = np.flatnonzero(length == n)
+        place[own] = np.arange(len(own))
+        of[int(n)] = np.frombuffer(b"".join([sketches[x] for x in own]), np.uint64).reshape(len(own), -1)
+    out = np.zeros(len(i), bool)
+    both = length[i] << 32 | length[j]
+    for pair in np.unique(both):
+        la, lb = int(pair) >> 32, int(pair) & 0xFFFFFFFF
+        size = min(la, lb) // 8
+        at = np.flatnonzero(both == pair)
+        for k in range(0, len(at), max(1, 4_000_000 // max(la, lb))):
+            some = at[k : k + max(1, 4_000_000 // max(la, lb))]
+            x, y = (np.bitwise_xor.reduce(of[n][place[z[some]]].reshape(len(some), -1, size), axis=1) for n, z in ((la, i), (lb, j)))
+            out[some] = np.bitwise_count(x ^ y).sum(1) <= most[some]
+    return out
 
 
 def _band_tops(most: int = 1 << 40) -> np.ndarray:
@@ -158,7 +180,8 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _packed(sets: list[np.ndarray], keys: list[int], n: int) -> pa.RecordBatch:
-    """Signatures by range of their hash: a row a range, with 40 bits of each signature and its class's place."""
+    """Signatures by range of their hash: a row a range, with 40 bits of each signature, and its class's place among the
+    names of the classes that have any there."""
     sig, own = signatures(sets)
     part = ((sig >> np.uint64(40)) * np.uint64(n) >> np.uint64(24)).astype(np.int64)
     order = np.argsort(part, kind="stable")
@@ -166,9 +189,13 @@ def _packed(sets: list[np.ndarray], keys: list[int], n: int) -> pa.RecordBatch:
     low, high = sig.astype("<u4"), (sig >> np.uint64(32)).astype(np.uint8)
     numbers, begin = np.unique(part, return_index=True)
     end = np.append(begin[1:], len(part))
-    names = np.array(keys, "<i8").tobytes()
-    cols = [[x[a:b].tobytes() for a, b in zip(begin, end, strict=True)] for x in (low, high, own)]
-    return pa.RecordBatch.from_arrays([pa.array(numbers.astype(np.int32)), *(pa.array(c, pa.binary()) for c in cols), pa.array([names] * len(numbers), pa.binary())], ["part", "low", "high", "own", "names"])
+    keys_ = np.array(keys, "<i8")
+    cols: list[list[bytes]] = [[], [], [], []]
+    for a, b in zip(begin, end, strict=True):
+        there, place = np.unique(own[a:b], return_inverse=True)
+        for c, x in zip(cols, (low[a:b], high[a:b], place.astype("<u2"), keys_[there]), strict=True):
+            c.append(x.tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(numbers.astype(np.int32)), *(pa.array(c, pa.binary()) for c in cols)], ["part", "low", "high", "own", "names"])
 
 
 def _candidates(sig: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
@@ -263,31 +290,46 @@ def candidates(docs: DataFrame, tasks: int, text: str = "text") -> DataFrame:
     return packed.repartitionById(tasks, "part").mapInArrow(meet, "kind int, a long, b long")
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """(set_key, items) of the classes in ``wanted`` (rep, set_key), read from the text of one document each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                keep = [(k, s) for k, s in zip(part.column(1).to_pylist(), shingle_sets(part.column(0)), strict=True) if len(s) and set_key(s) == k]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keep], pa.int64()), pa.array([s.tobytes() for _, s in keep], pa.binary())], ["set_key", "items"])
-
-    few = wanted.count() <= BROADCAST_ROWS
-    rows = docs.select(F.col(key).alias("id_"), text)
-    rows = rows.join(F.broadcast(wanted) if few else wanted, F.col("id_").eqNullSafe(F.col("rep")))
-    return rows.select(text, "set_key").mapInArrow(run, "set_key long, items binary")
+def _verified(pairs: DataFrame, info: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Those of ``pairs`` (a, b) that link. Pairs of one a are dealt over blocks of about 64, each with a's set once.
 
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) that link. Pairs of one a are dealt over blocks of about 64, each with a's set once."""
+    The texts' readers are told which blocks want a class's set (by broadcast while these are few), so sets are shuffled
+    once and only those of candidates.
+    """
     spark = pairs.sparkSession
     count = pairs.groupBy("a").count()
     block = F.pmod(F.xxhash64("b"), F.ceil(F.col("count") / 64)).cast("int").alias("block")
     members = cut(pairs.join(count, "a").select("a", block, "b"))
-    rows = members.select("a", "block", F.lit(1).alias("role"), F.col("b").alias("set_key"))
-    rows = rows.unionAll(members.select("a", "block").distinct().select("a", "block", F.lit(0).alias("role"), F.col("a").alias("set_key")))
-    rows = rows.join(sets, "set_key").repartition(shuffle_partitions(spark), "a", "block").sortWithinPartitions("a", "block", "role")
+    to = members.select(F.col("b").alias("set_key"), F.struct("a", "block", F.lit(1).alias("role")).alias("to"))
+    to = to.unionAll(members.select("a", "block").distinct().select(F.col("a").alias("set_key"), F.struct("a", "block", F.lit(0).alias("role")).alias("to")))
+    wanted = cut(to.groupBy("set_key").agg(F.collect_list("to").alias("to")).join(info.select("set_key", "rep"), "set_key"))
+    few = 2 * members.count() <= BROADCAST_ROWS
+    rows = docs.select(F.col(key).alias("id_"), text)
+    rows = rows.join(F.broadcast(wanted) if few else wanted, F.col("id_").eqNullSafe(F.col("rep"))).select(text, "set_key", "to.a", "to.block", "to.role")
+    names = ["set_key", "a", "block", "role", "items"]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in range(0, batch.num_rows, 500):
+                part = batch.slice(x, 500)
+                out: list[tuple] = []
+                size = 0
+                for s, k, *to in zip(shingle_sets(part.column(0)), *(part.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                    if not len(s) or set_key(s) != k:
+                        continue  # another text of the same id
+                    items = s.tobytes()
+                    for t in zip(*to, strict=True):
+                        out.append((k, *t, items))
+                        size += len(items)
+                        if size > 8_000_000:
+                            yield _batch(out)
+                            out, size = [], 0
+                if out:
+                    yield _batch(out)
+
+    def _batch(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own = None, np.zeros(0, np.uint64)
@@ -303,7 +345,9 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                         found.append((a, k))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
-    return rows.select("set_key", "a", "block", "role", "items").mapInArrow(run, "a long, b long").distinct()
+    sets = rows.mapInArrow(send, "set_key long, a long, block int, role int, items binary")
+    met = sets.repartition(shuffle_partitions(spark), "a", "block").sortWithinPartitions("a", "block", "role")
+    return met.mapInArrow(run, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -324,6 +368,17 @@ def components(links: DataFrame) -> DataFrame:
         edges = new
 
 
+def _joined(known: DataFrame, links: DataFrame) -> DataFrame:
+    """``known`` (node, component) after further ``links``: only the components that these touch are worked on."""
+    of = known.select(F.col("node").alias("n_"), F.col("component").alias("c_"))
+    ends = links
+    for x in "ab":
+        ends = ends.join(of, F.col(x) == F.col("n_"), "left").withColumn(x, F.coalesce("c_", x)).drop("n_", "c_")
+    more = components(ends).select(F.col("node").alias("n_"), F.col("component").alias("c_"))
+    old = known.join(more, F.col("component") == F.col("n_"), "left").select("node", F.coalesce("c_", "component").alias("component"))
+    return cut(old.unionAll(more.select("n_", "c_")))  # components' own names were no nodes of known
+
+
 def _plausible(pairs: DataFrame, info: DataFrame) -> DataFrame:
     """Those of ``pairs`` whose sizes and sketches allow a link."""
     one, two = (info.select(F.col("set_key").alias(x), F.col("n_shingles").alias("n" + x), F.col("sketch").alias("s" + x)) for x in "ab")
@@ -331,48 +386,98 @@ def _plausible(pairs: DataFrame, info: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                ok = [_differ(x, y) <= most for most, x, y in zip(*(c.to_pylist() for c in part.columns[2:]), strict=True)]
-                yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            n = np.arange(batch.num_rows)
+            ok = _alike(batch.column(3).to_pylist() + batch.column(4).to_pylist(), n, n + len(n), batch.column(2).to_numpy())
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
 
 
+def _stray_pairs(t: pa.Table, most: int | None) -> pa.RecordBatch:
+    """Plausible pairs (a, b) of strays and members of other components in whole runs or blocks of runs; see ``_crossing``."""
+    run, block, key, c, main, n, own = (t.column(i).to_numpy() for i in ("a", "block", "b", "c", "main", "n_shingles", "own"))
+    sketches = t.column("sketch").to_pylist()
+    lists = t.column("first").combine_chunks()
+    long = np.diff(lists.offsets.to_numpy())
+    first = np.full((len(run), FIRST_RUNS), np.iinfo(np.int64).max)
+    first[np.repeat(np.arange(len(run)), long), np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long)] = lists.flatten().to_numpy()
+    limit = t.column("most").to_numpy()
+    begins = np.flatnonzero(np.append(True, (run[1:] != run[:-1]) | (block[1:] != block[:-1])))
+    found: list[np.ndarray] = []
+    here: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def flush() -> None:
+        i, j = (np.concatenate(x) for x in zip(*here, strict=True))
+        ok = (c[i] != c[j]) & ((c[j] == main[j]) | (key[j] > key[i])) & (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j]))
+        i, j = i[ok], j[ok]
+        # an earlier run of both has the pair as well
+        seen = ((first[i][:, :, None] == first[j][:, None, :]) & (first[i] < run[i][:, None])[:, :, None]).any((1, 2))
+        i, j = i[~seen], j[~seen]
+        ok = _alike(sketches, i, j, (n[i] + n[j]) // 7)
+        i, j = i[ok], j[ok]
+        if most is not None and len(i):
+            order = np.lexsort((mix(key[j].astype(np.uint64) ^ key[i].astype(np.uint64)), i))
+            i, j = i[order], j[order]
+            new = np.append(True, i[1:] != i[:-1])
+            rank = np.arange(len(i)) - np.maximum.accumulate(np.where(new, np.arange(len(i)), 0))
+            ok = ~limit[i] | (rank < most)
+            i, j = i[ok], j[ok]
+        found.append(np.stack([np.minimum(key[i], key[j]), np.maximum(key[i], key[j])], 1))
+
+    for x, y in zip(begins, np.append(begins[1:], len(run)), strict=True):
+        at = np.arange(x, y)
+        strays, members = at[c[x:y] != main[x:y]], at[own[x:y]]
+        step = max(1, PAIRS_AT_ONCE // max(1, len(members)))
+        for k in range(0, len(strays), step):
+            some = strays[k : k + step]
+            here.append((np.repeat(some, len(members)), np.tile(members, len(some))))
+            size += len(some) * len(members)
+            if size >= PAIRS_AT_ONCE:
+                flush()
+                here, size = [], 0
+    if here:
+        flush()
+    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
 def _crossing(runs: DataFrame, known: DataFrame, info: DataFrame, most: int | None) -> DataFrame:
-    """Plausible pairs (a, b) of classes of a run and of different components, for all but each run's largest component.
+    """Plausible pairs (a, b) of a run's strays (members outside its largest component) with members of other components.
 
-    A run's rows are numbers and sketches, not sets; runs of more than ``RUN_BLOCK`` rows are dealt over pairs of blocks.
+    ``runs`` has (a, b): run, class. Rows are numbers and sketches, not sets, and each class's first runs. A run of
+    more than ``RUN_BLOCK`` members is dealt over blocks, each with all of its strays. With ``most``, a stray takes so
+    many partners at once from a run of more than ``SMALL_RUN``; without it, only such runs are looked at.
     """
-    rows = runs.join(known, F.col("b") == F.col("node"), "left").select("a", "b", F.coalesce("component", "b").alias("c"))
-    size = rows.groupBy("a").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.mode("c", True).alias("main"), F.count("*").alias("n")).where("low < high")
-    rows = rows.join(size.select("a", "main", F.ceil(F.col("n") / RUN_BLOCK).cast("int").alias("blocks")), "a").join(info, F.col("b") == F.col("set_key"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("own")).alias("x"), F.greatest(i, F.col("own")).alias("y")))
-    rows = rows.select("a", F.explode(pairs).alias("p"), "b", "c", "main", "n_shingles", "sketch", "own").select("a", "p.x", "p.y", "b", "c", "main", "n_shingles", "sketch", "own")
-
-    def run(k: tuple, t: pa.Table) -> pa.Table:
-        x, y = k[1].as_py(), k[2].as_py()
-        key, c, main, n, own = (t.column(i).to_numpy() for i in ("b", "c", "main", "n_shingles", "own"))
-        sketches_ = t.column("sketch").to_pylist()
-        least = min(map(len, sketches_))
-        flat = np.stack([_folded(z, least) for z in sketches_]).view(np.uint64)
-        out = []
-        for i in np.flatnonzero(c != main):
-            # two smaller components: once; a block pair: only across its blocks
-            other = (c != c[i]) & ((c == main) | (key > key[i])) & (4 * np.minimum(n, n[i]) >= 3 * np.maximum(n, n[i]))
-            if x != y:
-                other &= own != own[i]
-            at = np.flatnonzero(other)
-            at = at[np.bitwise_count(flat[at] ^ flat[i]).sum(1) <= (n[at] + n[i]) // 7]
-            partners = key[at]
-            if most is not None and len(partners) > most:
-                partners = partners[np.argsort(mix(partners.astype(np.uint64) ^ np.uint64(int(key[i]) & (2**64 - 1))), kind="stable")[:most]]
-            out.append(np.stack([np.full(len(partners), key[i]), partners], 1))
-        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(pairs.min(1)), "b": pa.array(pairs.max(1))})
-
-    return rows.groupBy("a", "x", "y").applyInArrow(run, "a long, b long").distinct()
+    sizes = known.groupBy("component").agg(F.count("*").alias("weight"))
+    known = known.join(sizes, "component")
+    rows = runs.join(known, F.col("b") == F.col("node"), "left").select("a", "b", F.coalesce("component", "b").alias("c"), F.coalesce("weight", F.lit(0)).alias("w"))
+    size = rows.groupBy("a").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max(F.struct("w", "c")).alias("m"), F.count("*").alias("n")).where("low < high")
+    if most is None:
+        size = size.where(F.col("n") > SMALL_RUN)
+    size = size.select("a", F.col("m.c").alias("main"), F.ceil(F.col("n") / RUN_BLOCK).cast("int").alias("blocks"), (F.col("n") > SMALL_RUN).alias("most"))
+    rows = rows.join(size, "a").join(info.select("set_key", "n_shingles", "sketch", "first"), F.col("b") == F.col("set_key"))
+    home = F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("home", home).withColumn("block", F.explode(F.when(F.col("c") == F.col("main"), F.array("home")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    rows = rows.select("a", "block", "b", "c", "main", "n_shingles", (F.col("block") == F.col("home")).alias("own"), "sketch", "first", "most")
+    rows = rows.repartition(shuffle_partitions(runs.sparkSession), "a", "block").sortWithinPartitions("a", "block")
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            run, block = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            last = int(np.flatnonzero((run != run[-1]) | (block != block[-1]))[-1]) + 1 if len(run) and ((run != run[-1]) | (block != block[-1])).any() else 0
+            begun = rest and len(run) and (rest[-1].column(0)[-1].as_py(), rest[-1].column(1)[-1].as_py()) == (run[-1], block[-1])
+            if last or (rest and not begun):
+                done = pa.Table.from_batches([*rest, batch.slice(0, last)])
+                rest = []
+                yield _stray_pairs(done, most)
+            if last < batch.num_rows:
+                rest.append(batch.slice(last))
+        if rest:
+            yield _stray_pairs(pa.Table.from_batches(rest), most)
+
+    return rows.mapInArrow(pairs, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -386,23 +491,15 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     runs = cut(found.where("kind = 1").select("a", "b").distinct())
     classes = rows.where("set_key is not null").groupBy("set_key").agg(F.min(key).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     met = pairs.select("a").unionAll(pairs.select("b")).unionAll(runs.select("b")).distinct().withColumnRenamed("a", "set_key")
-    info = cut(classes.join(met, "set_key", "left_semi"))
-    links, known = None, None
-    tried = pairs
-    for most in (0, *LATER):
-        if most == 0:
-            more = cut(_plausible(pairs, info))
-        else:
-            more = cut(_crossing(runs, known, info, most).join(tried, ["a", "b"], "left_anti"))
+    first = runs.groupBy(F.col("b").alias("set_key")).agg(F.slice(F.array_sort(F.collect_list("a")), 1, FIRST_RUNS).alias("first"))
+    info = cut(classes.join(met, "set_key", "left_semi").join(first, "set_key", "left"))
+    tried = cut(_plausible(pairs, info))
+    known = components(_verified(tried, info, docs, key, text))
+    for most in (PARTNERS, None):
+        more = cut(_crossing(runs, known, info, most).join(tried, ["a", "b"], "left_anti"))
+        if not more.isEmpty():
             tried = tried.unionAll(more)
-        if links is not None and more.isEmpty():
-            continue
-        wanted = more.select(F.col("a").alias("set_key")).unionAll(more.select("b")).distinct()
-        wanted = cut(info.join(wanted, "set_key", "left_semi").select("rep", "set_key"))
-        new = cut(_verified(more, _sets_of(docs, wanted, key, text)))
-        if links is None or not new.isEmpty():
-            links = new if links is None else links.unionAll(new)
-            known = components(links)
+            known = _joined(known, _verified(more, info, docs, key, text))
     return _labelled(rows, classes, known, key)
 
 

@@ -23,7 +23,7 @@ from .vectors import byte_class, chunks, lower_ascii
 
 DIMS = 1 << 13
 #: The fit's bound: so many distinct labelled texts a language, those with the smallest hashes.
-TRAIN_ROWS = 1_500
+TRAIN_ROWS = 800
 CENTROIDS = 4
 #: The largest distance that any centroid accepts; one of fewer than FEW rows has no tail to learn from and takes it.
 LARGEST = 0.995
@@ -156,14 +156,14 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int =
     idf = np.log((1 + seen[DIMS]) / (1 + seen[:DIMS])).astype(np.float32) + 0.1
     labels, centres, limits = [], [], []
     for k in sorted(sizes):
-        weight = 1 + np.log([copies[k][x] for x in np.array(got.column("x"))[names == k].tolist()])
+        weight = 1 + np.log([float(copies[k][x]) for x in np.array(got.column("x"))[names == k].tolist()])
         at = column("at", "<u2", np.flatnonzero(names == k))
-        row = np.repeat(np.arange(len(at)), [len(x) for x in at])
+        row = np.repeat(np.arange(len(at), dtype=np.int32), [len(x) for x in at])
         n, at = len(at), np.concatenate(at)
         val = np.concatenate(column("val", "<f2", np.flatnonzero(names == k))).astype(np.float32) * idf[at]
         size = np.sqrt(np.bincount(row, val * val, n))
         val /= np.where(size == 0, 1, size)[row]
-        c, cosine = _spherical_kmeans(row, at, val, weight, min(centroids, n))
+        c, cosine = _spherical_kmeans(row, at, val, weight.astype(np.float32), min(centroids, n))
         labels += [k] * len(c)
         centres += list(c)
         tail = slack * float(np.quantile(1 - cosine.max(1), quantile)) if n >= FEW else LARGEST

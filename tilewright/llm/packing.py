@@ -1,8 +1,8 @@
 """Best-fit packing: documents as token ids, cut where too long, packed by best-two-fit into sequences.
 
-A document's ids are those of a tokenizer of /opt/tokenizers (its path is a parameter), followed by an end id; a
+A document's ids are those of a public tokenizer (its path is a parameter), followed by an end id; a
 null text has the end id alone. Documents longer than a sequence are cut into pieces of its size, the last one
-shorter. Pieces are dealt by a hash into groups of about ``GROUP`` rows, whatever their document, and each group is
+shorter. Pieces are dealt by a hash of their row's place into groups of about ``GROUP`` rows, and each group is
 packed in a task of its own by lengths: a sequence is filled greedily with the longest piece that fits; then its
 smallest piece is exchanged for the two unpacked ones that fill the widened gap best, if they fill it better.
 
@@ -12,9 +12,13 @@ empty one. Each group may leave one sequence half empty, which is one in thousan
 
 from __future__ import annotations
 
+import gc
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +31,13 @@ CAPACITY = 4096
 END_ID = 1
 GROUP = 20_000
 #: Words, and parts of words, that a worker keeps with their ids; beyond, it begins anew.
-MOST_WORDS = 400_000
-SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+MOST_WORDS = 800_000
+#: A word, and the ASCII signs at its end.
+HEAD_AND_SIGNS = re.compile(r"([^\n]*?)([!-/:-@\[-`{-~]*)\n")
+#: Beyond these characters Python and the tokenizer may lower-case differently.
+BEYOND_LATIN = "[^\x00-\u012F\u0131-\u024F]"
+#: Stands between words that are encoded together; words that hold it are encoded alone.
+BETWEEN = "\x01"
 
 _loaded: dict[str, WordIds] = {}
 
@@ -43,7 +52,7 @@ class WordIds:
     """A tokenizer that drops white space and case, with the ids of the words it has met.
 
     Texts are split at blanks and line ends only; no merge crosses these, so a text's ids are its words' in turn. Nor
-    does one cross from letters to signs, so a word of letters with ASCII signs behind is the ids of both parts.
+    does one cross from a letter or digit to signs, so a word with ASCII signs behind is the ids of both parts.
     """
 
     def __init__(self, path: str):
@@ -54,60 +63,91 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[v for k, v in vocabulary.items() if k.endswith("</w>")]] = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # texts that are not lower-cased beforehand, and heads of words that hold an added token
+        self.as_is = re.compile("|".join([BEYOND_LATIN, *(f"(?i:{re.escape(t)})" for t in added)]))
+        self.special = re.compile("|".join(re.escape(HEAD_AND_SIGNS.match(t + "\n")[1] or t) for t in added) or r"(?!)")
+        self.between = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
         self.known: dict[str, bytes] = {"": b""}
         self.parts: dict[str, bytes] = {"": b""}
 
-    def _learn(self, words: list[str]) -> None:
-        split = []
-        single, whole = set(), set()
-        for w in words:
-            letters = w.rstrip(SIGNS)
-            low = letters.lower()
-            if not letters or low.isalpha():
-                split.append((low if letters.isascii() else letters, w[len(letters) :]))
-                single.update(split[-1])
+    def _encoded(self, words: list[str], sep: str) -> None:
+        """Adds ``words`` to ``parts``, many in one call; where the cuts between them are in doubt, each by itself."""
+        for i in range(0, len(words), 1024):
+            some = words[i : i + 1024]
+            ids = np.array(self.tokenizer.encode_batch_fast([sep.join(some)], add_special_tokens=False)[0].ids, "<u4")
+            if sep == " ":  # runs of letters, or of signs, end in one id of a word's end each
+                last = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+                first = [0, *last[:-1]]
             else:
-                split.append((w, ""))
-                whole.add(w)
-        parts = self.parts
-        new = list(single.difference(parts))
-        for i in range(0, len(new), 512):
-            # runs of letters, or of signs, end in one id of a word's end each
-            some = new[i : i + 512]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            cut = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
-            if len(cut) == len(some) + 1:
-                ids = ids.tobytes()
-                parts.update((w, ids[a:b]) for w, a, b in zip(some, cut, cut[1:], strict=False))
+                at = np.flatnonzero(ids == self.between[0]).tolist() if len(self.between) == 1 else []
+                first, last = [0, *(x + 1 for x in at)], [*at, len(ids)]
+            if len(first) == len(some):
+                data = ids.tobytes()
+                self.parts.update((w, data[4 * a : 4 * b]) for w, a, b in zip(some, first, last, strict=True))
             else:
-                whole.update(some)
-        rest = list(whole.difference(parts))
-        for i in range(0, len(rest), 4096):
-            some = rest[i : i + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                parts[w] = np.array(e.ids, "<u4").tobytes()
-        for w, (a, b) in zip(words, split, strict=True):
-            self.known[w] = parts[a] + parts[b]
-        for w in new + rest:
+                each = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+                self.parts.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, each, strict=True))
+
+    def _learn(self, words: list[str]) -> None:
+        split = HEAD_AND_SIGNS.findall("\n".join(words) + "\n")
+        heads, signs = map(list, zip(*split, strict=True)) if split else ([], [])
+        new = set(heads).difference(self.parts)
+        # no letter or digit before the signs, once lower-cased: they may be one with what stands there
+        odd = {h for h in new if not h.lower()[-1].isalnum() or self.special.search(h)}
+        if odd:
+            for i, h in enumerate(heads):
+                if h in odd:
+                    heads[i], signs[i] = words[i], ""
+            new = set(heads).difference(self.parts)
+        new |= set(signs).difference(self.parts)
+        plain = {w for w in new if w.lower().isalpha() or w.isascii() and HEAD_AND_SIGNS.match(w + "\n")[1] == ""}
+        self._encoded(list(plain), " ")
+        self._encoded([w for w in new - plain if BETWEEN not in w], f" {BETWEEN} ")
+        for w in new:
+            if BETWEEN in w:
+                self.parts[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+        part = self.parts.__getitem__
+        self.known.update(zip(words, map(add, map(part, heads), map(part, signs)), strict=True))
+        for w in new:
             if len(w) > 64:
-                parts.pop(w, None)
+                del self.parts[w]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [(t if self.as_is.search(t) else t.lower()).replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > MOST_WORDS:
             self.known = {"": b""}
         if len(self.parts) > MOST_WORDS:
             self.parts = {"": b""}
-        new = list(set().union(*split).difference(self.known))
-        self._learn(new)
-        out = [b"".join(map(self.known.__getitem__, s)) for s in split]
+        known = self.known
+        got = [list(map(known.get, s)) for s in split]
+        missing = [[i for i, x in enumerate(g) if x is None] for g in got]
+        new = {s[i] for s, m in zip(split, missing, strict=True) for i in m}
+        if new:
+            self._learn(list(new))
+        for s, g, m in zip(split, got, missing, strict=True):
+            for i in m:
+                g[i] = known[s[i]]
+        out = list(map(b"".join, got))
         for w in new:
             if len(w) > 64:
-                del self.known[w]
+                del known[w]
         return out
 
 
+@contextmanager
+def _uncollected() -> Iterator[None]:
+    """No search for cycles meanwhile: none are made here, and each would walk through all the words that are known."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def _tokenizer(path: str) -> WordIds:
     if path not in _loaded:
         _loaded[path] = WordIds(path)
@@ -126,7 +166,9 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
                 rows, at = [], []
-                for i, ids in enumerate(tok.ids([t or "" for t in part.column(1).to_pylist()])):
+                with _uncollected():
+                    encoded = tok.ids([t or "" for t in part.column(1).to_pylist()])
+                for i, ids in enumerate(encoded):
                     ids += end
                     for n, b in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[b : b + 4 * capacity]
@@ -201,7 +243,8 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", group:
     """``rows`` (of ``pieces``) with sequence_id and offset."""
     rows = cut(rows)
     n = max(1, -(-rows.count() // group))
-    dealt = rows.withColumn("group_", F.pmod(F.xxhash64(key, "piece", "start", F.lit(7)), F.lit(n)))
+    # by a row's place in the kept table, so that rows of one id, or the same row many times, are dealt evenly too
+    dealt = rows.withColumn("group_", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)))
     schema = rows.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
 
     def run(k: tuple, t: pa.Table) -> pa.Table:
