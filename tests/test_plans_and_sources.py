@@ -103,3 +103,50 @@ def test_files(spark, tmp_path):
     writers.write_fastq(fasta, str(tmp_path / "fq"), "name", "seq")
     writers.write_summary({"n": 1}, str(tmp_path / "s.json"))
     assert "schema_version" in (tmp_path / "s.json").read_text()
+
+
+def test_protocol_keeps_the_order_of_extraction(spark):
+    """Windows of 8 to 10 bases over 24, no gap: at each free start the shortest comes first."""
+    p = {"targets": [], "extracts": {"target_region": {"length": [8, 10]}}, "probes": {"probe": {"expr": "rc(target_region)"}}, "post_process": {"remove_overlap": {"location_interval": 0}}}
+    out = protocol.run(p, spark.createDataFrame([("t", "ACGTACGTTGCAGGATCCATTGCA")], "target string, seq string")).collect()
+    assert sorted((r["start"], r["end"]) for r in out) == [(1, 8), (9, 16), (17, 24)]
+    assert sorted(r["final_index"] for r in out) == [0, 1, 2]
+
+
+def test_protocol_searches_other_tables(spark):
+    a, b = "ACGTTGCAGGATCCATTGCAAGTC", "TTGACCGGTATACGCTTAGGCATC"
+    targets = spark.createDataFrame([("a", a), ("b", b)], "target string, seq string")
+    records = spark.createDataFrame([("a_1", a), ("b_1", b), ("c_1", "GG" + a[:12] + "CC"), ("d_1", b[12:])], "record string, seq string")
+    genes = spark.createDataFrame([("a", "A", "protein_coding"), ("b", "B", "protein_coding"), ("c", "C", "protein_coding"), ("d", "D", "lncRNA")], "gene string, label string, biotype string")
+    spec = {"type": "mapped_genes", "target": "target_region", "max_mismatches": 0, "strand": "sense"}
+    p = {"targets": [], "extracts": {"target_region": {"length": 12, "step": 12}}, "probes": {"probe": {"expr": "rc(target_region)"}}, "attributes": {"hits": spec}, "post_process": {"filters": {"f": {"condition": "hits <= 1"}}}}
+
+    def kept(p, tables):
+        return sorted((r["target"], r["start"]) for r in protocol.run(p, targets, tables).collect())
+
+    assert kept(p, {"records": records, "genes": genes}) == [("a", 13), ("b", 1)]
+    with pytest.raises(ValueError, match="records"):
+        protocol.run(p, targets)
+    # the part of d that copies b, and is no coding gene, is exempt; c is a coding one
+    exempt = p | {"attributes": {"hits": spec | {"exempt_copies": {"kmer": 6, "min_shared": 0.3}}}}
+    assert kept(exempt, {"records": records, "genes": genes}) == [("a", 13), ("b", 1), ("b", 13)]
+    # genes that are not expressed do not count
+    expression = spark.createDataFrame([("a", 9.0), ("b", 9.0), ("c", 0.0), ("d", 5.0)], "gene string, value double")
+    silent = p | {"gene_expression": {"min_value": 1}}
+    assert kept(silent, {"records": records, "genes": genes, "expression": expression}) == [("a", 1), ("a", 13), ("b", 1)]
+    pooled = p | {"post_process": {"off_target_pool": {"attribute": "hits", "max_probes_per_gene": 0}}}
+    assert kept(pooled, {"records": records, "genes": genes}) == [("a", 13), ("b", 1)]
+    k = p | {"attributes": {"n": {"type": "kmer_count", "target": "target_region", "kmer_len": 12, "strand": "sense", "locus_only": True}}, "post_process": {"filters": {"f": {"condition": "n <= 1"}}}}
+    assert kept(k, {"genome": records}) == [("a", 13), ("b", 1)]
+    sites = p | {"attributes": {"s": {"type": "mapped_sites", "target": "target_region", "strand": "sense"}}, "post_process": {"filters": {"f": {"condition": "s_num == 1"}}}}
+    assert kept(sites, {"genome": records}) == [("a", 13), ("b", 1)]
+    peaks = sites | {"post_process": {"avoid_otp": {"a": {"target_regions": [["a_1", 0, 24]]}}}}
+    got = protocol.run(peaks, targets, {"genome": records}).collect()
+    assert sorted((r["target"], r["start"], r["on_target"]) for r in got if r["target"] == "a") == [("a", 1, 1), ("a", 13, 1)]
+    assert len([r for r in got if r["target"] == "b"]) == 2
+
+
+def test_protocol_refuses_what_it_cannot_do(spark):
+    p = {"targets": [], "extracts": {"target_region": {"length": 8}}, "probes": {"probe": {"expr": "rc(target_region)"}}, "attributes": {"hits": {"type": "mapped_genes", "target": "target_region", "max_mismatches": 9, "oligos": ["x"]}}, "post_process": {"avoid_otp": {"t": {}}, "off_target_pool": {"attribute": "gc", "max_probes_per_gene": 1}}}
+    text = " ".join(protocol.analyse(p))
+    assert all(x in text for x in ("max_mismatches", "two layout parts", "avoid_otp", "off_target_pool"))

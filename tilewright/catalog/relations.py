@@ -619,3 +619,27 @@ def protocol_design(t: Tables) -> DataFrame:
 
     out = protocol.run(PROTOCOL, parts(t).select(F.col("p_partkey").cast("string").alias("target"), "seq"))
     return out.select("target", "start", "probe", six("gc", "gc"))
+
+
+#: A design that searches the records for other genes: 18 bases of a part, no other part within one substitution.
+SEARCHING = {
+    "targets": ["all"],
+    "extracts": {"target_region": {"length": 18, "step": 7}},
+    "probes": {"probe": {"expr": "rc(target_region)"}},
+    "attributes": {"gc": {"target": "target_region", "type": "gc_content"}, "hits": {"target": "target_region", "type": "mapped_genes", "max_mismatches": 1, "strand": "sense"}},
+    "post_process": {"filters": {"hits": {"condition": "hits <= 1"}, "gc": {"condition": "gc >= 0.3 & gc <= 0.7"}}, "sorts": {"is_ascending": ["start"]}},
+}
+
+
+@query("protocol_off_targets", f"""
+WITH w AS (SELECT CAST(p_partkey AS VARCHAR) AS target, CAST(s + 1 AS BIGINT) AS start, substr(seq, CAST(s AS INT) + 1, 18) AS tr FROM {PARTS}, (VALUES (0), (7), (14)) a(s)),
+r AS (SELECT CAST(l_orderkey AS VARCHAR) AS g, r FROM (SELECT l_orderkey, l_linenumber, substr(seq, 1, 24) AS r FROM (SELECT l_orderkey, l_linenumber, translate(md5(CAST(l_partkey AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq FROM lineitem WHERE l_linenumber = 1))),
+h AS (SELECT DISTINCT w.target, w.start, r.g FROM (SELECT * FROM w WHERE (18 - length(replace(replace(tr, 'G', ''), 'C', ''))) / 18e0 BETWEEN 0.3 AND 0.7) w, r, (VALUES (0), (1), (2), (3), (4), (5), (6)) x(i) WHERE hamming(tr, substr(r.r, i + 1, 18)) <= 1)
+SELECT w.target, w.start, CAST(count(h.g) AS BIGINT) AS hits FROM w LEFT JOIN h USING (target, start)
+WHERE (18 - length(replace(replace(w.tr, 'G', ''), 'C', ''))) / 18e0 BETWEEN 0.3 AND 0.7 GROUP BY w.target, w.start HAVING count(h.g) <= 1""")
+def protocol_off_targets(t: Tables) -> DataFrame:
+    from ..plans import protocol
+
+    records_ = t.lineitem.where("l_linenumber = 1").select(F.concat(F.col("l_orderkey").cast("string"), F.lit("_t")).alias("record"), F.substring(digest_bases("l_partkey"), 1, 24).alias("seq"))
+    out = protocol.run(SEARCHING, parts(t).select(F.col("p_partkey").cast("string").alias("target"), "seq"), {"records": records_})
+    return out.select("target", "start", "hits")

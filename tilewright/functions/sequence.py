@@ -88,9 +88,13 @@ def dna_kmers(s: Column | str, k: int) -> Column:
 def self_match(s: Column | str, size: int = 4) -> Column:
     """Pairs (i, j) of equal words of a sequence and its reverse complement, but those with i + j + size - 2 = length."""
     s = _c(s)
-    ours = F.transform(kmers(s, size), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-    theirs = F.transform(kmers(reverse_complement(s), size), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-    return F.aggregate(ours, F.lit(0), lambda n, a: n + F.size(F.filter(theirs, lambda b: (a["x"] == b["x"]) & (a["i"] + b["i"] + (size - 2) != F.length(s)))))
+    both = F.array(F.struct(kmers(s, size).alias("a"), kmers(reverse_complement(s), size).alias("b"), F.length(s).alias("n")))  # made once a row
+
+    def pairs(t: Column) -> Column:
+        all_ = F.aggregate(t["a"], F.lit(0), lambda n, x: n + F.size(F.filter(t["b"], lambda y: x == y)))
+        return all_ - F.size(F.filter(t["a"], lambda x, i: F.coalesce((i > 1) & (x == F.get(t["b"], t["n"] - (size - 2) - i)), F.lit(False))))
+
+    return F.get(F.transform(both, pairs), F.lit(0))
 
 
 def hamming(a: Column | str, b: Column | str) -> Column:

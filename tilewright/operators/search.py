@@ -20,7 +20,8 @@ def mismatch_sites(queries: DataFrame, records: DataFrame, query: str, record: s
 
     By the pigeonhole: queries are cut into mismatches + 1 pieces, which are joined by equality with the records' words
     of the same length, and whole sites are then compared. Lengths are grouped, so a records' word is made once for
-    each length and piece size that occurs. strand: sense, antisense or both.
+    each length and piece size that occurs, and carries only the bases around it that the longest query can reach (a
+    small job finds its length first), so what is shuffled grows with the records. strand: sense, antisense or both.
     """
     strands = {"sense": ["+"], "antisense": ["-"], "both": ["+", "-"]}[strand]
     q = queries.select(F.col(query).alias("query"), F.explode(F.array(*[F.struct(F.lit(s).alias("strand"), (F.col(query) if s == "+" else reverse_complement(query)).alias("word")) for s in strands])).alias("x"))
@@ -29,12 +30,14 @@ def mismatch_sites(queries: DataFrame, records: DataFrame, query: str, record: s
     size = F.length("word")
     pieces = F.transform(F.sequence(F.lit(0), F.lit(mismatches)), lambda i: F.struct(F.floor(i * size / n).cast("int").alias("at"), (F.floor((i + 1) * size / n) - F.floor(i * size / n)).cast("int").alias("k")))
     q = q.withColumn("p", F.explode(pieces)).where("p.k > 0").select("query", "strand", "word", "p.at", "p.k", F.substring(F.col("word"), F.col("p.at") + 1, F.col("p.k")).alias("seed"))
+    reach = queries.agg(F.max(F.length(F.col(query)))).first()[0] or 0
     lengths = q.select("k").distinct()
     r = records.select(F.col(record).alias("record"), F.col(seq).alias("seq")).crossJoin(F.broadcast(lengths))  # as many lengths as queries have
     starts = F.sequence(F.lit(1), F.length("seq") - F.col("k") + 1)
-    r = r.where(F.length("seq") >= F.col("k")).withColumn("s", F.explode(starts)).select("record", "k", F.col("s").alias("seed_start"), F.substring(F.col("seq"), F.col("s"), F.col("k")).alias("seed"), "seq")
-    both = q.join(r, ["k", "seed"]).withColumn("start0", F.col("seed_start") - 1 - F.col("at")).where((F.col("start0") >= 0) & (F.col("start0") + F.length("word") <= F.length("seq")))
-    found = both.withColumn("mismatches", hamming(F.col("word"), F.substring(F.col("seq"), F.col("start0") + 1, F.length("word"))))
+    r = r.where(F.length("seq") >= F.col("k")).withColumn("s", F.explode(starts)).select("record", "k", F.col("s").alias("seed_start"), F.substring(F.col("seq"), F.col("s"), F.col("k")).alias("seed"), F.length("seq").alias("n"), F.greatest(F.col("s") - 1 - reach, F.lit(0)).alias("left"), "seq")
+    r = r.withColumn("seq", F.substring(F.col("seq"), F.col("left") + 1, F.lit(2 * reach) + F.col("k")))
+    both = q.join(r, ["k", "seed"]).withColumn("start0", F.col("seed_start") - 1 - F.col("at")).where((F.col("start0") >= 0) & (F.col("start0") + F.length("word") <= F.col("n")))
+    found = both.withColumn("mismatches", hamming(F.col("word"), F.substring(F.col("seq"), F.col("start0") - F.col("left") + 1, F.length("word"))))
     return found.where(F.col("mismatches") <= mismatches).select("query", "strand", "record", "start0", "mismatches").distinct()
 
 

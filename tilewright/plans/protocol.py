@@ -8,13 +8,14 @@ from pathlib import Path
 from string import Formatter
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..functions import thermo
 from ..operators import selection, summary
 from ..operators.windows import expand_layouts, number_within, sliding_windows
+from . import similarity
 from .expression import ExpressionError, Typed, compile_expression, problems, references
 
 REQUIRED = ("targets", "extracts", "probes")
@@ -158,12 +159,12 @@ def column_name(target: str) -> str:
 
 
 def add_attributes(df: DataFrame, protocol: dict) -> DataFrame:
-    """All attributes that are expressions; similarity joins are added by the caller, on what the filters leave."""
+    """All attributes that are expressions; those that need other tables follow on what the filters leave."""
     specs = protocol.get("attributes") or {}
     for name, a in specs.items():
         if a["type"] == "difference":
-            x, y = (F.col(c) for c in a["of"])
-            df = df.withColumn(name, F.abs(x - y))
+            if set(a["of"]) <= set(df.columns):
+                df = df.withColumn(name, F.abs(F.col(a["of"][0]) - F.col(a["of"][1])))
         elif a["type"] in ATTRIBUTES and column_name(a["target"]) in df.columns:
             df = df.withColumn(name, F.nanvl(ATTRIBUTES[a["type"]](F.col(column_name(a["target"])), a, conditions(protocol, a)).cast("double"), F.lit(None).cast("double")))
     tms = [(n, a) for n, a in specs.items() if a["type"] == "annealing_temperature"]
@@ -173,29 +174,86 @@ def add_attributes(df: DataFrame, protocol: dict) -> DataFrame:
     return df
 
 
-def post_process(df: DataFrame, post: dict, group: str = "target", start: str = "start", end: str = "end") -> DataFrame:
-    """Filters, overlaps, pool, even spacing and order, in this order whatever the protocol's."""
+def _pooled(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with an array of genes in ``column``, whose lists are text."""
+    return df.withColumn(column, similarity.listed_genes(F.col(column))) if dict(df.dtypes)[column] == "string" else df
+
+
+def avoid_peaks(df: DataFrame, config: dict, site_columns: list[str], group: str = "target") -> DataFrame:
+    """The ``avoid_otp`` step: of each target in ``config`` the rows that ``selection.avoid_peaks`` keeps, with their
+    on_target, off_target and target_ratio; rows of other targets stay. Sites are those of all ``mapped_sites`` attributes.
+    """
+    if not site_columns:
+        raise ValueError("post_process.avoid_otp: needs an attribute of type mapped_sites")
+    sites = F.flatten(F.array(*[F.coalesce(F.transform(c, lambda x: F.struct(x["record"].alias("name"), x["start0"].cast("long").alias("start"), x["end0"].cast("long").alias("end"))), F.array().cast("array<struct<name:string,start:bigint,end:bigint>>")) for c in site_columns]))
+    kept = None
+    for target, o in config.items():
+        regions = [(str(target), str(n), int(a), int(b)) for n, a, b in o.get("target_regions", [])]
+        table = df.sparkSession.createDataFrame(regions, f"`{group}` string, name string, start long, end long")
+        low, high = o.get("search_range", (-1_000_000, 1_000_000))
+        own = df.where(F.col(group) == str(target)).select(group, "row_id", sites.alias("sites")).where(F.size("sites") > 0)
+        one = selection.avoid_peaks(own, group, table, float(o.get("density_thresh", 1e-4)), (int(low), int(high)), o.get("avoid_target_overlap", True)).withColumn("g_", F.lit(str(target)))
+        kept = one if kept is None else kept.unionByName(one)
+    if kept is None:
+        return df
+    mine = F.col(group).isin([str(t) for t in config])
+    kept = kept.withColumnRenamed("row_id", "r_")
+    return df.join(kept, F.col(group).eqNullSafe(F.col("g_")) & (F.col("row_id") == F.col("r_")), "left").where(F.col("g_").isNotNull() | ~F.coalesce(mine, F.lit(False))).drop("g_", "r_")
+
+
+def post_process(df: DataFrame, post: dict, group: str = "target", start: str = "start", end: str = "end", site_columns: list[str] = ()) -> DataFrame:
+    """Filters, peaks, overlaps, pool, even spacing and order, in this order whatever the protocol's.
+
+    A filter on a column that the table lacks is an error, never left out.
+    """
     if post.get("filters"):
-        df = selection.filter_table(df, post["filters"])
+        df = selection.filter_table(df, post["filters"], strict=True)
     sorts = post.get("sorts") or {}
     up, down = sorts.get("is_ascending") or [], sorts.get("is_descending") or []
+    if post.get("avoid_otp"):
+        df = avoid_peaks(df, post["avoid_otp"], list(site_columns), group)
     if "remove_overlap" in post:
-        o = post["remove_overlap"]
+        o = post["remove_overlap"] or {}
         df = selection.remove_overlap(df, [group], start, end, o.get("location_interval", 0), o.get("prefer"))
     if "off_target_pool" in post:
         p = post["off_target_pool"]
-        df = selection.off_target_pool(df, group, f"{p['attribute']}_off_targets", p["max_probes_per_gene"], up, down)
+        df = selection.off_target_pool(_pooled(df, f"{p['attribute']}_off_targets"), group, f"{p['attribute']}_off_targets", p["max_probes_per_gene"], up, down)
     if "equal_space" in post:
         e = post["equal_space"]["number_desired"]
         df = selection.even_ranks(df, group, start, selection.quota(df, group, e if isinstance(e, dict) else {}, None if isinstance(e, dict) else e))
     return selection.sort_table(df, up, down)
 
 
-def run(protocol: dict, targets: DataFrame) -> DataFrame:
+def _filter_columns(f: dict) -> set[str]:
+    if f.get("type") == "sequence_pattern":
+        return {column_name(f["target"])}
+    return {c for text in ([f["condition"]] if isinstance(f["condition"], str) else f["condition"]) for c, _, _ in selection.parse_condition(text)}
+
+
+def _searched(df: DataFrame, protocol: dict, tables: dict[str, DataFrame], targets: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` after the filters on what it has, with the attributes that need other tables; and the columns of sites.
+
+    The filters come first so that only candidates that pass them are searched for; they are asked once more later, which
+    changes nothing.
+    """
+    specs = {k: a for k, a in (protocol.get("attributes") or {}).items() if a["type"] in similarity.TYPES}
+    filters = (protocol.get("post_process") or {}).get("filters") or {}
+    df = selection.filter_table(df, {k: f for k, f in filters.items() if _filter_columns(f) <= set(df.columns)}, strict=True) if specs else df
+    for name, a in specs.items():
+        df = similarity.add(df, name, a, column_name(a["target"]), tables, targets, protocol.get("gene_expression") or {})
+    for name, a in (protocol.get("attributes") or {}).items():
+        if a["type"] == "difference" and name not in df.columns:
+            df = df.withColumn(name, F.abs(F.col(a["of"][0]) - F.col(a["of"][1])))
+    return df, [k for k, a in specs.items() if a["type"] == "mapped_sites"]
+
+
+def run(protocol: dict, targets: DataFrame, tables: dict[str, DataFrame] | None = None) -> DataFrame:
     """The design of a protocol over targets (target, seq): windows, layouts, probes, attributes, selection, numbers.
 
-    ``targets`` may hold any number of sequences; everything up to the selection stays row by row. Cheap attributes and
-    their filters are one projection over the scan, so Catalyst drops rows before any shuffle.
+    Attributes that are expressions stay row by row in one projection over the numbered windows, with the filters on
+    them; those of ``similarity`` then search the ``tables`` (see there) for what is left. Candidates are numbered in
+    order of extraction (start, size, layout), which also breaks all ties; ``final_index`` numbers the result's rows of
+    each target in its order.
     """
     found = analyse(protocol)
     if found:
@@ -209,17 +267,21 @@ def run(protocol: dict, targets: DataFrame) -> DataFrame:
         bounds = {k: (v["length"], v["length"]) if isinstance(v["length"], int) else tuple(v["length"]) for k, v in region["layout"]["parts"].items()}
         w = expand_layouts(w, "window", bounds, low, high)
         w = w.withColumnsRenamed({f"{k}_seq": f"target_parts__{k}" for k in bounds})
-    order = ["target", "start", "size", *(["layout"] if "layout" in w.columns else [])]
-    w = number_within(w.drop("seq"), ["target"], order[1:], "probe_index")
-    w = w.withColumn("row_id", F.xxhash64(*order))
+    order = ["start", "size", *(["layout"] if "layout" in w.columns else [])]
+    w = number_within(w.drop("seq"), ["target"], order, "probe_index").withColumn("row_id", F.col("probe_index").cast("long"))
     scope = {c: Typed(F.col(c), k) for c, k in (("target_region", "text"), ("target", "text"), ("probe_index", "number")) if c in w.columns}
     scope |= {c.replace("__", "."): Typed(F.col(c), "text") for c in w.columns if c.startswith("target_parts__")}
     w = construct(w, protocol["probes"], protocol.get("encoding"), scope)
     w = add_attributes(w, protocol)
-    tops = [k for k in protocol["probes"]]
-    for k in tops:
+    for k in protocol["probes"]:
         w = w.where(F.length(k) > 0)
-    return post_process(w, protocol.get("post_process") or {})
+    w, site_columns = _searched(w, protocol, tables or {}, targets)
+    post = protocol.get("post_process") or {}
+    out = post_process(w, post, site_columns=site_columns)
+    sorts = post.get("sorts") or {}
+    keys = selection.rank_order(out, sorts.get("is_ascending") or [], sorts.get("is_descending") or [])
+    out = out.withColumn("final_index", F.row_number().over(Window.partitionBy("target").orderBy(*keys)) - 1)
+    return selection.sort_table(out, sorts.get("is_ascending") or [], sorts.get("is_descending") or [])
 
 
 def analyse(protocol: dict) -> list[str]:
@@ -248,16 +310,23 @@ def analyse(protocol: dict) -> list[str]:
     attributes = protocol.get("attributes") or {}
     columns = {x.replace(".", "__") for x in names} | {k.replace(".", "__") for k in all_nodes}
     for k, a in attributes.items():
-        if a.get("type") not in (*ATTRIBUTES, "difference", "mapped_genes", "kmer_count", "mapped_sites"):
+        if a.get("type") not in (*ATTRIBUTES, "difference", *similarity.TYPES):
             out.append(f"attributes.{k}: unknown type {a.get('type')!r}{closest(str(a.get('type')), list(ATTRIBUTES))}")
         elif a["type"] != "difference" and column_name(str(a.get("target"))) not in columns:
             out.append(f"attributes.{k}: no column {a.get('target')!r}{closest(str(a.get('target')), sorted(columns))}")
+        elif a["type"] in similarity.TYPES:
+            out += similarity.problems(k, a, list(layout))
+    there = {*attributes, "start", "end", "tm_diff", *columns, *(c for k, a in attributes.items() if a.get("type") in similarity.TYPES for c in similarity.columns(k, a["type"]))}
     post = protocol.get("post_process") or {}
+    if post.get("avoid_otp") and not any(a.get("type") == "mapped_sites" for a in attributes.values()):
+        out.append("post_process.avoid_otp: needs an attribute of type mapped_sites")
+    if "off_target_pool" in post and (attributes.get((post["off_target_pool"] or {}).get("attribute")) or {}).get("type") != "mapped_genes":
+        out.append("post_process.off_target_pool.attribute: names no attribute of type mapped_genes")
     for k, f in (post.get("filters") or {}).items():
         for text in [f["condition"]] if isinstance(f.get("condition"), str) else f.get("condition") or []:
             try:
                 for c, _, _ in selection.parse_condition(text):
-                    if c not in attributes and c not in ("start", "end", "tm_diff"):
+                    if c not in there:
                         out.append(f"post_process.filters.{k}: no column {c!r}{closest(c, list(attributes))}")
             except ValueError as e:
                 out.append(f"post_process.filters.{k}: {e}")
