@@ -553,3 +553,13 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     got = jaccard_join.jaccard_components(docs).toPandas().set_index("doc_id").component_id.to_dict()
     assert got == {i: c for i, _, c in brute_components(rows)}
     assert sum(compared) < 40 * len(rows)
+
+
+def test_field_adds_cards_in_other_spellings_and_none_that_fail(spark):
+    """Spellings that no base pattern takes are found; a number that fails Luhn never is, whatever its neighbours say."""
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(F.col("text").rlike("[0-9@]")).select("text").limit(400).collect()]
+    model = pii.train(texts)
+    text = "Card 4111-1111-1111-1111. " + "word " * 30 + "again 4111.1111.1111.1111 here, not 4111.1111.1111.1112 there"
+    base = pii.base_spans(text)
+    assert [text[a:b] for _, a, b in model.added(text, base)] == ["4111.1111.1111.1111"]
+    assert all(pii.luhn("".join(c for c in t[a:b] if c.isdigit())) for t in texts for k, a, b in model.added(t, pii.base_spans(t)) if k == "card")

@@ -265,11 +265,12 @@ def candidates(docs: DataFrame, tasks: int, text: str = "text") -> DataFrame:
                     if len(s) and (k := set_key(s)) not in sets:
                         sets[k] = s
                         size += len(s) + 20
-                if size > 600_000 or len(sets) > 50_000:
+                if size > 300_000 or len(sets) > 50_000:
                     yield _packed(list(sets.values()), list(sets), tasks)
                     sets, size = {}, 0
         if sets:
             yield _packed(list(sets.values()), list(sets), tasks)
+        pa.default_memory_pool().release_unused()  # the worker lives on for later stages
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_part: dict[int, list[tuple[bytes, ...]]] = {}
@@ -283,8 +284,10 @@ def candidates(docs: DataFrame, tasks: int, text: str = "text") -> DataFrame:
             key = np.concatenate([np.frombuffer(x[3], "<i8")[np.frombuffer(x[2], "<u2")] for x in blobs])
             del blobs
             out = _candidates(sig, key)
+            del sig, key
             for a in range(0, out.num_rows, 50_000):
                 yield out.slice(a, 50_000)
+        pa.default_memory_pool().release_unused()
 
     packed = docs.select(text).mapInArrow(emit, "part int, low binary, high binary, own binary, names binary")
     return packed.repartitionById(tasks, "part").mapInArrow(meet, "kind int, a long, b long")

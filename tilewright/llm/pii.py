@@ -58,6 +58,17 @@ def _passes(kind: str, found: str) -> bool:
     return True
 
 
+def _could_be(kind: str, found: str) -> bool:
+    """What any spelling of a kind must have; it keeps the field from adding what its kind rules out, such as cards that fail Luhn."""
+    if kind == "email":
+        return "@" in found
+    if kind == "ip":
+        parts = re.findall("[0-9]+", found)
+        return len(parts) == 4 and all(len(p) < 4 and int(p) <= 255 for p in parts)
+    digits = re.sub("[^0-9]", "", found)
+    return 16 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 8 <= len(digits) <= 15
+
+
 def _starts(kind: str, text: str) -> Iterator[re.Match]:
     """As ``finditer``; the email pattern only near an ``@``, else long runs of its letters cost their square."""
     if kind != "email":
@@ -233,7 +244,7 @@ class Field:
                     while a < b and text[b - 1] in ".,;:!?[]{}\"'<>(":
                         b -= 1
                     at = bisect_left(taken, (b,))
-                    if a < b and (not at or taken[at - 1][1] <= a):
+                    if a < b and _could_be(KINDS[best[i] - 1], text[a:b]) and (not at or taken[at - 1][1] <= a):
                         out.append((KINDS[best[i] - 1], a, b))
                 i = j
         return out
@@ -318,7 +329,7 @@ _MARKS = byte_class([(0x30, 0x39), (0x40, 0x40)])
 
 
 def find_pii(df: DataFrame, model: Field, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per row its key, counts of base spans by kind, their SHA-256, all spans and how many the field added."""
+    """Per row its key, counts of base spans by kind, their SHA-256, all spans, how many the field added, and how many there are."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     kind = df.schema[key].dataType.simpleString()
     empty = hashlib.sha256(b"").hexdigest()
@@ -332,7 +343,7 @@ def find_pii(df: DataFrame, model: Field, text: str = "text", key: str = "doc_id
                 has = marked[offsets[1:]] > marked[offsets[:-1]]
                 for i in range(b - a):
                     if not has[i]:
-                        rows.append((0, 0, 0, 0, empty, "", 0))
+                        rows.append((0, 0, 0, 0, empty, "", 0, 0))
                         continue
                     t = data[offsets[i] : offsets[i + 1]].tobytes().decode()
                     base = base_spans(t)
@@ -340,12 +351,12 @@ def find_pii(df: DataFrame, model: Field, text: str = "text", key: str = "doc_id
                     n = defaultdict(int)
                     for k, _, _ in base:
                         n[k] += 1
-                    rows.append((*(n[k] for k in KINDS), hashlib.sha256(spelled(base).encode()).hexdigest(), spelled(base + more), len(more)))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [key, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
+                    rows.append((*(n[k] for k in KINDS), hashlib.sha256(spelled(base).encode()).hexdigest(), spelled(base + more), len(more), len(base) + len(more)))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
+            kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [key, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "n_spans"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long")
 
 
 def redact(df: DataFrame, model: Field, text: str = "text") -> DataFrame:

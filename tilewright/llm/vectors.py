@@ -12,7 +12,7 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 MASK = (1 << 64) - 1
 
 
-def chunks(column: pa.Array, most_bytes: int = 2_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, most_bytes: int = 500_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows of about ``most_bytes``; a longer row is a run of its own.
 
     Null counts as the empty text.
