@@ -28,23 +28,14 @@ def c2(t: Tables) -> DataFrame:
 
 
 @query("c3_version_match", """
-WITH w AS (SELECT 'P' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '.1' ELSE '.7' END AS wanted FROM part WHERE p_partkey <= 900),
+WITH w AS (SELECT 'P' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '.1' ELSE '.7' END AS wanted FROM part),
 k AS (SELECT 'P' || p_partkey || '.1' AS known FROM part UNION ALL SELECT 'P' || p_partkey || '.2' FROM part WHERE p_partkey % 5 = 0),
 b AS (SELECT regexp_replace(known, '\\.\\d+$', '') AS b, min(known) AS known FROM k GROUP BY 1 HAVING count(*) = 1)
 SELECT wanted, known FROM w JOIN k ON wanted = known UNION ALL
 SELECT wanted, b.known FROM w JOIN b ON regexp_replace(wanted, '\\.\\d+$', '') = b.b WHERE wanted NOT IN (SELECT known FROM k)""")
 def c3(t: Tables) -> DataFrame:
-    return versions(t, t.part.where("p_partkey <= 900"))
-
-
-@query("c3_version_match_whole")
-def c3w(t: Tables) -> DataFrame:
-    return versions(t, t.part)
-
-
-def versions(t: Tables, asked: DataFrame) -> DataFrame:
     p = F.concat(F.lit("P"), F.col("p_partkey"))
-    wanted = asked.select(F.concat(p, F.when(F.col("p_partkey") % 2 == 0, ".1").otherwise(".7")).alias("wanted"))
+    wanted = t.part.select(F.concat(p, F.when(F.col("p_partkey") % 2 == 0, ".1").otherwise(".7")).alias("wanted"))
     known = t.part.select(F.concat(p, F.lit(".1")).alias("known")).unionAll(t.part.where("p_partkey % 5 = 0").select(F.concat(p, F.lit(".2")).alias("known")))
     return A.match_ids(wanted, known, "wanted", "known")
 
@@ -203,7 +194,7 @@ def e7(t: Tables) -> DataFrame:
     return search.fewest_mismatches(sites(t)).select("query", "gene", long("mismatches", "mismatches"))
 
 
-_HALF = f"(SELECT p_partkey, substr({bases_sql('p_partkey')}, 1, 10) AS a, substr({bases_sql('p_partkey')}, 15, 10) AS b FROM part WHERE p_partkey <= 200)"
+_HALF = f"(SELECT p_partkey, substr({bases_sql('p_partkey')}, 1, 10) AS a, substr({bases_sql('p_partkey')}, 15, 10) AS b FROM part)"
 
 
 @query("e8_l6_oligo_units", f"""
@@ -211,16 +202,11 @@ WITH h AS (SELECT p_partkey AS unit, w, record, i, hamming(w, substr(r, CAST(i A
 b AS (SELECT unit, record, w, min(m) AS m FROM h GROUP BY ALL)
 SELECT unit, record, CAST(max(m) AS BIGINT) AS mismatches FROM b GROUP BY unit, record HAVING count(*) = 2""")
 def e8(t: Tables) -> DataFrame:
-    return oligo_units(t, t.part.where("p_partkey <= 200"))
-
-
-@query("e8_l6_oligo_units_whole")
-def e8w(t: Tables) -> DataFrame:
-    return oligo_units(t, t.part)
+    return oligo_units(t)
 
 
-def oligo_units(t: Tables, chosen: DataFrame, gap: int | None = None) -> DataFrame:
-    half = chosen.select(F.col("p_partkey").alias("unit"), F.explode(F.array(F.substring(digest_bases("p_partkey"), 1, 10), F.substring(digest_bases("p_partkey"), 15, 10))).alias("w"))
+def oligo_units(t: Tables, gap: int | None = None) -> DataFrame:
+    half = t.part.select(F.col("p_partkey").alias("unit"), F.explode(F.array(F.substring(digest_bases("p_partkey"), 1, 10), F.substring(digest_bases("p_partkey"), 15, 10))).alias("w"))
     hits = search.mismatch_sites(half, records(t), "w", "record", "r", 1)
     return search.units(half, hits, "unit", "w", gap).select("unit", "record", long("mismatches", "mismatches"))
 
@@ -230,16 +216,11 @@ WITH h AS (SELECT p_partkey AS unit, o, w, record, i, hamming(w, substr(r, CAST(
 SELECT x.unit, x.record, CAST(min(greatest(x.m, y.m)) AS BIGINT) AS mismatches FROM h x JOIN h y ON x.unit = y.unit AND x.record = y.record AND x.w < y.w
 WHERE (y.i >= x.i + 10 AND y.i - x.i - 10 <= 6) OR (x.i >= y.i + 10 AND x.i - y.i - 10 <= 6) GROUP BY 1, 2""")
 def e8b(t: Tables) -> DataFrame:
-    return oligo_units(t, t.part.where("p_partkey <= 200"), 6)
-
-
-@query("e8_oligo_units_with_gap_whole")
-def e8bw(t: Tables) -> DataFrame:
-    return oligo_units(t, t.part, 6)
+    return oligo_units(t, 6)
 
 
 @query("e9_e12_e15_e16_annotation", """
-WITH h AS (SELECT DISTINCT l_orderkey AS query, 'g' || l_suppkey AS gene, l_linenumber % 3 AS mm, l_linenumber AS ln FROM lineitem WHERE l_orderkey <= 2000),
+WITH h AS (SELECT DISTINCT l_orderkey AS query, 'g' || l_suppkey AS gene, l_linenumber % 3 AS mm, l_linenumber AS ln FROM lineitem),
 m AS (SELECT query, gene, min(mm) AS mm FROM h GROUP BY 1, 2),
 own AS (SELECT query, min(gene) AS gene, min(gene) AS target FROM h GROUP BY query),
 x AS (SELECT 'g' || s_suppkey AS gene, s_acctbal AS v FROM supplier WHERE s_suppkey % 4 <> 0),
@@ -248,16 +229,7 @@ k AS (SELECT *, CASE WHEN o THEN 'own' WHEN v IS NOT NULL AND v < greatest(1000e
 SELECT query, target, CAST(max(CAST(kind = 'own' AS INT)) + count(*) FILTER (WHERE kind = 'off') AS BIGINT) AS mapped_genes, coalesce(string_agg(gene || ':' || mm, ', ' ORDER BY mm, gene) FILTER (WHERE kind = 'off'), '') AS off_targets, coalesce(string_agg(gene || ':' || mm, ', ' ORDER BY mm, gene) FILTER (WHERE kind = 'low'), '') AS unexpressed
 FROM k GROUP BY query, target""")
 def e9(t: Tables) -> DataFrame:
-    return annotated(t, t.lineitem.where("l_orderkey <= 2000"))
-
-
-@query("e9_e12_e15_e16_annotation_whole")
-def e9w(t: Tables) -> DataFrame:
-    return annotated(t, t.lineitem)
-
-
-def annotated(t: Tables, lines: DataFrame) -> DataFrame:
-    h = lines.select(F.col("l_orderkey").alias("query"), F.concat(F.lit("g"), F.col("l_suppkey")).alias("gene"), (F.col("l_linenumber") % 3).alias("mismatches")).groupBy("query", "gene").agg(F.min("mismatches").alias("mismatches"))
+    h = t.lineitem.select(F.col("l_orderkey").alias("query"), F.concat(F.lit("g"), F.col("l_suppkey")).alias("gene"), (F.col("l_linenumber") % 3).alias("mismatches")).groupBy("query", "gene").agg(F.min("mismatches").alias("mismatches"))
     own = h.groupBy("query").agg(F.min("gene").alias("gene")).withColumn("target", F.col("gene"))
     expr = t.supplier.where("s_suppkey % 4 <> 0").select(F.concat(F.lit("g"), F.col("s_suppkey")).alias("gene"), F.col("s_acctbal").alias("value"))
     labels = t.supplier.select(F.concat(F.lit("g"), F.col("s_suppkey")).alias("gene")).withColumn("label", F.col("gene"))
