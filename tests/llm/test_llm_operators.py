@@ -189,6 +189,46 @@ def test_quality(spark):
     assert got[got.toxic_true == 1].toxic.mean() > 0.7 and got[got.toxic_true == 0].toxic.mean() < 0.04
 
 
+def test_exchange_teaches_words_that_no_labelled_row_has(spark):
+    """Without rounds the unlabelled documents' words are noise; with them the metadata view teaches the text view."""
+    r = random.Random(4)
+    known = {1: "clear sound proof brief exact".split(), 0: "prize click offer deals quick".split()}
+    new = {1: "lemma axiom graph field prime".split(), 0: "bonus lotto promo token gifts".split()}
+    rows, labels = [], []
+
+    def add(words, source):
+        rows.append((len(rows), " ".join(r.choice(words) for _ in range(12)), source, "en"))
+        return len(rows) - 1
+
+    for i in range(300):
+        y = i % 2
+        labels.append((add(known[y], f"s{y}"), y, 0))
+    for i in range(600):
+        add(new[i % 2], f"s{i % 2}")
+    asked = [(add(new[i % 2], "elsewhere"), i % 2) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    right = {}
+    for rounds in (0, 2):
+        got = quality.score(docs, quality.fit(docs, labels, rounds=rounds)).toPandas().set_index("doc_id").quality
+        right[rounds] = np.mean([got[i] == y for i, y in asked])
+    assert right[0] < 0.75 and right[2] > 0.9
+
+
+def test_exchange_counts_all_unlabelled_documents(spark):
+    """Sums over partitions equal a plain count."""
+    rows = [(i, np.array([i % 3, 7], "<u2").tobytes(), np.array([5 if i % 2 else 6], "<u2").tobytes()) for i in range(500)]
+    free = spark.createDataFrame(rows, "doc_id long, text_view binary, meta_view binary").repartition(5)
+    w = np.zeros(quality.META_DIMS)
+    w[5], w[6] = 9.0, -9.0
+    judge = quality.Judge(quality.Linear(np.zeros(quality.TEXT_DIMS), 0.0), quality.Linear(w, 0.0))
+    ((text, meta),) = quality.exchange(free, [judge])
+    assert text[:, -1].tolist() == [250, 250] and not meta.any()
+    for label in (0, 1):
+        mine = [i for i in range(500) if i % 2 == label]
+        assert text[label, :3].tolist() == [sum(i % 3 == j for i in mine) for j in range(3)] and text[label, 7] == 250
+
+
 def test_quality_of_hard_rows(spark, hard, empty):
     labels = spark.createDataFrame([(3, 1, 0), (3, 0, None), (6, 0, 1), (None, 1, 0), (99, 1, 1)], "doc_id long, quality int, toxic int")
     got = quality.score(hard, quality.fit(hard, labels)).toPandas()

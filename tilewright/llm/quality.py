@@ -2,13 +2,15 @@
 
 The text view is the hashed words and byte shapes of the text; the metadata view is what stands around it: source,
 language, length, and counts of lines, capitals, digits and signs. Two logistic regressions learn from a bounded set
-of labelled rows. Over some rounds each labels the unlabelled rows of a bounded pool that it is surest of for the
-other. Their scores are then calibrated on held-out labelled rows and combined, and all documents are scored.
+of labelled rows. In each round both views score every unlabelled document of the corpus, and what one is sure of
+becomes a pseudo-label for the other: counts of its buckets by class, summed by Spark over all documents. Their log
+ratios are the starting weights of the other view's next fit, so that words that no labelled row has get a weight too.
+The scores are calibrated on one held-out part of the labelled rows and combined on another.
 
 ``score`` is the probability that a document is good (quality 1), ``toxic_score`` that it is toxic; ``keep`` is true
-where it is judged good and not toxic. Null is the empty text. Rows are independent: repeated rows stay, an empty
-table gives an empty one. Without labels both scores are 0.5 and everything is kept. Conflicting labels of a document
-all count; null labels are left out.
+where it is judged good and not toxic. Null is the empty text. Rows are independent: repeated rows stay and count as
+often as they stand, an empty table gives an empty one. Without labels both scores are 0.5 and everything is kept.
+Conflicting labels of a document all count; null labels are left out. Rows without a key are unlabelled documents.
 """
 
 from __future__ import annotations
@@ -22,14 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .session import cut
 from .vectors import ALNUM, SPACED, byte_class, chunks, lower_ascii, row_bounds, span_hashes, words
 
 TEXT_DIMS = 1 << 16
 META_DIMS = 1 << 10
-#: The fit's bounds: labelled rows and pool rows, those with the smallest hashes.
+#: The fit's bound: labelled rows, those with the smallest hashes. Unlabelled documents all take part.
 LABELLED = 6_000
-POOL = 3_000
 ROUNDS = 3
+#: A view is sure of a label beyond this log odds (0.95 or 0.05).
+SURE = float(np.log(19))
 
 _CLASSES = [byte_class([(65, 90)]), byte_class([(97, 122)]), byte_class([(48, 57)]), byte_class([(33, 47), (58, 64), (91, 96), (123, 126)]), byte_class([(32, 32)]), byte_class([(10, 10)]), byte_class([(128, 255)]), byte_class([(33, 33)]), byte_class([(124, 124)])]
 
@@ -79,20 +83,61 @@ def meta_view(data: np.ndarray, offsets: np.ndarray, source: list, lang: list) -
     return out
 
 
-def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    n = np.array([len(r) for r in rows], np.int64)
-    return np.repeat(np.arange(len(rows)), n), np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
+@dataclass
+class Rows:
+    """Buckets of many rows end to end: row i has ``col[at[i]:at[i + 1]]``."""
+
+    col: np.ndarray
+    at: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.at) - 1
+
+    @property
+    def row(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self)), np.diff(self.at))
+
+    def of(self, chosen: np.ndarray) -> Rows:
+        """The rows where ``chosen`` is true."""
+        return Rows(self.col[chosen[self.row]], np.concatenate([[0], np.cumsum(np.diff(self.at)[chosen])]))
+
+
+def unpacked(column: pa.Array) -> Rows:
+    """A column of packed bucket numbers, two bytes each."""
+    column = column.cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8) if len(column) else np.zeros(1, np.int64)
+    data = column.buffers()[2] if len(column) else None
+    whole = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.empty(0, np.uint8)
+    return Rows(whole.view("<u2").astype(np.int64), (at - at[0]) // 2)
+
+
+def views(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, text_view, meta_view): both views' bucket numbers, two bytes each."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            source, lang = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            for a, b, data, offsets in chunks(batch.column(1)):
+                both = text_view(data, offsets), meta_view(data, offsets, source[a:b], lang[a:b])
+                packed = [pa.array([x.astype("<u2").tobytes() for x in v], pa.binary()) for v in both]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *packed], [key, "text_view", "meta_view"])
+
+    return docs.select(key, "text", "source", "lang").mapInArrow(run, f"`{key}` {kind}, text_view binary, meta_view binary")
 
 
-def telling(row: np.ndarray, col: np.ndarray, y: np.ndarray, dims: int, most: int = 3_000, least: int = 4, sure: float = 12.0) -> np.ndarray:
+def _seen(docs: DataFrame, key: str) -> DataFrame:
+    return docs if {"text_view", "meta_view"} <= set(docs.columns) else views(docs, key)
+
+
+def telling(n: np.ndarray, pos: np.ndarray, all_n: float, all_pos: float, most: int = 3_000, least: int = 4, sure: float = 12.0) -> np.ndarray:
     """The buckets that tell the classes apart best, by chi-squared, among those of at least ``least`` rows.
 
-    ``sure`` is about the largest value that chance gives among so many buckets.
+    ``n`` and ``pos`` are each bucket's rows and those of class 1. ``sure`` is about the largest value that chance
+    gives among so many buckets.
     """
-    n, pos = np.bincount(col, minlength=dims).astype(float), np.bincount(col, y[row], dims)
-    all_n, all_pos = float(len(y)), float(y.sum())
-    expected = n * all_pos / all_n
-    chi = (pos - expected) ** 2 / np.maximum(expected * (1 - all_pos / all_n) * np.maximum(1e-9, 1 - n / (all_n + 1)), 1e-9)
+    expected = n * all_pos / max(1.0, all_n)
+    chi = (pos - expected) ** 2 / np.maximum(expected * (1 - all_pos / max(1.0, all_n)) * np.maximum(1e-9, 1 - n / (all_n + 1)), 1e-9)
     chi[n < least] = 0
     best = np.argsort(-chi, kind="stable")[:most]
     return np.sort(best[chi[best] > sure])
@@ -105,28 +150,46 @@ class Linear:
     slope: float = 1.0
     shift: float = 0.0
 
-    def raw(self, rows: list[np.ndarray]) -> np.ndarray:
-        row, col = _flat(rows)
-        return np.bincount(row, self.weights[col], len(rows)) + self.bias
+    def raw(self, rows: Rows) -> np.ndarray:
+        return np.bincount(rows.row, self.weights[rows.col], len(rows)) + self.bias
 
-    def calibrated(self, rows: list[np.ndarray]) -> np.ndarray:
+    def calibrated(self, rows: Rows) -> np.ndarray:
         return self.slope * self.raw(rows) + self.shift
 
 
-def fit_linear(rows: list[np.ndarray], y: np.ndarray, dims: int, steps: int = 120, ridge: float = 2e-4) -> Linear:
-    """Balanced logistic regression on the telling buckets, by gradient steps with per-weight rates."""
-    row, col = _flat(rows)
-    chosen = telling(row, col, y, dims)
+def start(taught: np.ndarray | None, rows: Rows, y: np.ndarray, dims: int) -> Linear:
+    """Weights from pseudo-labels: log ratios of their counts, scaled to fit the labelled rows; zero without any.
+
+    ``taught`` has per class (0, 1) the counts of all buckets and, last, of the rows.
+    """
+    out = Linear(np.zeros(dims), 0.0)
+    if taught is None or not taught[:, -1].all():
+        return out
+    n, size = taught[:, :-1].astype(float), taught[:, -1].astype(float)
+    chosen = telling(n.sum(0), n[1], size.sum(), size[1])
+    share = (n[:, chosen] + 1) / (size[:, None] + 2)
+    out.weights[chosen] = np.log(share[1]) - np.log(share[0])
+    calibrate(out, rows, y)
+    return Linear(out.slope * out.weights, out.shift)
+
+
+def fit_linear(rows: Rows, y: np.ndarray, dims: int, taught: np.ndarray | None = None, steps: int = 120, ridge: float = 2e-4) -> Linear:
+    """Balanced logistic regression on the telling buckets, by gradient steps with per-weight rates from ``start``."""
+    begin = start(taught, rows, y, dims)
+    row, col = rows.row, rows.col
+    chosen = telling(np.bincount(col, minlength=dims).astype(float), np.bincount(col, y[row], dims), float(len(y)), float(y.sum()))
+    chosen = np.union1d(chosen, np.flatnonzero(begin.weights))
     place = np.full(dims, -1)
     place[chosen] = np.arange(len(chosen))
     row, col = row[place[col] >= 0], place[col[place[col] >= 0]]
     each = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-    w, b = np.zeros(len(chosen)), 0.0
+    first, b = begin.weights[chosen], begin.bias
+    w = first.copy()
     seen, seen_b = np.full(len(chosen), 1e-8), 1e-8
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[col], len(rows)) + b, -30, 30)))
         g = (p - y) * each
-        d = np.bincount(col, g[row], len(chosen)) + ridge * w
+        d = np.bincount(col, g[row], len(chosen)) + ridge * (w - first)
         seen += d * d
         w -= 0.3 * d / np.sqrt(seen)
         seen_b += g.sum() ** 2
@@ -136,11 +199,11 @@ def fit_linear(rows: list[np.ndarray], y: np.ndarray, dims: int, steps: int = 12
     return Linear(out, float(b))
 
 
-def calibrate(model: Linear, rows: list[np.ndarray], y: np.ndarray) -> None:
+def calibrate(model: Linear, rows: Rows, y: np.ndarray) -> None:
     """Platt's scaling by Newton steps."""
-    z = model.raw(rows)
+    z = np.clip(model.raw(rows), -60, 60)
     t = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
-    a, c = 1.0, 0.0
+    a, c = 0.1, 0.0
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(a * z + c, -30, 30)))
         g = np.array([((p - t) * z).sum() + 1e-3 * (a - 1), (p - t).sum()])
@@ -158,104 +221,108 @@ class Judge:
     bias: float = 0.0
     sides: tuple[float, float] = (1.0, 1.0)
 
-    def score(self, t: list[np.ndarray], m: list[np.ndarray]) -> np.ndarray:
+    def score(self, t: Rows, m: Rows) -> np.ndarray:
         if self.text is None or self.meta is None:
             return np.full(len(t), 0.5)
         z = self.sides[0] * self.text.calibrated(t) + self.sides[1] * self.meta.calibrated(m) - self.bias
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def co_train(t: list[np.ndarray], m: list[np.ndarray], y: np.ndarray, pool_t: list[np.ndarray], pool_m: list[np.ndarray], rounds: int = ROUNDS, share: float = 0.05) -> Judge:
-    """Both views' classifiers. Every fifth labelled row is kept for calibration."""
+def learn(t: Rows, m: Rows, y: np.ndarray, taught: tuple[np.ndarray | None, np.ndarray | None] = (None, None)) -> Judge:
+    """Both views' classifiers: a fifth of the rows is kept to calibrate them, another to combine them."""
     if len(set(y.tolist())) < 2:
         return Judge(None, None)
-    test = np.arange(len(y)) % 5 == 0
-    if len(set(y[test].tolist())) < 2 or len(set(y[~test].tolist())) < 2:
-        test = np.zeros(len(y), bool)
-    own = np.flatnonzero(~test)
-    sets = {"t": ([t[i] for i in own], y[own].tolist()), "m": ([m[i] for i in own], y[own].tolist())}
-    free = np.ones(len(pool_t), bool)
-    at = np.flatnonzero(test) if test.any() else own
-    prior = float(y.mean())
-    for step in range(rounds + 1):
-        a = fit_linear(sets["t"][0], np.array(sets["t"][1], float), TEXT_DIMS)
-        b = fit_linear(sets["m"][0], np.array(sets["m"][1], float), META_DIMS)
-        calibrate(a, [t[i] for i in at], y[at])
-        calibrate(b, [m[i] for i in at], y[at])
-        if step == rounds or not free.any():
-            break
-        for model, rows, other, view in ((a, pool_t, "m", pool_m), (b, pool_m, "t", pool_t)):
-            left = np.flatnonzero(free)
-            p = 1 / (1 + np.exp(-np.clip(model.calibrated([rows[i] for i in left]), -30, 30)))
-            n = max(1, int(share * len(left)))
-            order = np.argsort(p, kind="stable")
-            low, high = order[: max(1, int(n * (1 - prior)))], order[::-1][: max(1, int(n * prior))]
-            for some, label in ((low[p[low] < 0.05], 0), (high[p[high] > 0.95], 1)):
-                for i in left[some]:
-                    if free[i]:
-                        sets[other][0].append(view[i])
-                        sets[other][1].append(label)
-                        free[i] = False
+    fold = np.arange(len(y)) % 5
+    parts = [fold > 1, fold == 0, fold == 1]
+    if any(len(set(y[p].tolist())) < 2 for p in parts):
+        parts = [np.ones(len(y), bool)] * 3
+    own, at, last = parts
+    a = fit_linear(t.of(own), y[own], TEXT_DIMS, taught[0])
+    b = fit_linear(m.of(own), y[own], META_DIMS, taught[1])
+    calibrate(a, t.of(at), y[at])
+    calibrate(b, m.of(at), y[at])
     # one more logistic regression over the two calibrated scores sets how much each counts
-    z = np.stack([a.calibrated([t[i] for i in at]), b.calibrated([m[i] for i in at])], 1)
-    z = np.clip(z, -12, 12)
+    z = np.clip(np.stack([a.calibrated(t.of(last)), b.calibrated(m.of(last))], 1), -12, 12)
     s, c = np.array([0.5, 0.5]), 0.0
     for _ in range(500):
-        g = 1 / (1 + np.exp(-np.clip(z @ s - c, -30, 30))) - y[at]
+        g = 1 / (1 + np.exp(-np.clip(z @ s - c, -30, 30))) - y[last]
         s = np.maximum(0.0, s - 0.05 * ((g[:, None] * z).mean(0) + 1e-3 * (s - 0.5)))
         c += 0.05 * g.mean()
     return Judge(a, b, float(c), (float(s[0]), float(s[1])))
 
 
-def _views(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, int, list, list]]:
-    """Of batches with text, source and lang first."""
-    for batch in batches:
-        source, lang = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        for a, b, data, offsets in chunks(batch.column(0)):
-            yield batch, a, b, text_view(data, offsets), meta_view(data, offsets, source[a:b], lang[a:b])
-
-
-def fit(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...] = ("quality", "toxic"), labelled: int = LABELLED, pool: int = POOL, key: str = "doc_id") -> dict[str, Judge]:
-    """A judge for each target. At most ``labelled`` labelled and ``pool`` other documents are taken, those whose ids
-    hash smallest; their bucket numbers go to the driver. A target column that is missing has no judge's labels.
-    """
-    h = F.xxhash64(F.col(key), F.lit(3))
-    rows = labels.select(key, *(F.col(c).cast("int").alias(c) if c in labels.columns else F.lit(None).cast("int").alias(c) for c in targets)).where(F.col(key).isNotNull())
-    some = rows.withColumn("h_", h).orderBy("h_", *targets).limit(labelled).drop("h_")
-    others = docs.select(key).where(F.col(key).isNotNull()).join(rows.select(key), key, "left_anti").withColumn("h_", h).orderBy("h_").limit(pool).select(key, *(F.lit(None).cast("int").alias(c) for c in targets))
-    picked = F.broadcast(some.unionByName(others))  # at most labelled + pool rows
+def exchange(free: DataFrame, judges: list[Judge]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per judge what the text and the metadata view are taught by the other over all of ``free``; see ``start``."""
+    shared = free.sparkSession.sparkContext.broadcast(judges)  # TEXT_DIMS + META_DIMS doubles a target
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, a, b, t, m in _views(batches):
-            ints = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[3:]), pa.array([x.astype(np.int32) for x in t], ints), pa.array([x.astype(np.int32) for x in m], ints)], [*batch.schema.names[3:], "t", "m"])
-
-    data = docs.select(key, "text", "source", "lang").join(picked, key).select("text", "source", "lang", key, *targets)
-    kind = docs.schema[key].dataType.simpleString()
-    got = data.mapInArrow(run, f"`{key}` {kind}, {', '.join(f'{c} int' for c in targets)}, t array<int>, m array<int>").toPandas()
-    got = got.assign(h_=[zlib.crc32(str(k).encode()) for k in got[key]]).sort_values(["h_", key, *targets], kind="stable").reset_index(drop=True)
-    t, m = [np.asarray(x, np.int64) for x in got["t"]], [np.asarray(x, np.int64) for x in got["m"]]
-    free = got[list(targets)].isna().all(axis=1).to_numpy()
-    out = {}
-    for c in targets:
-        have = np.flatnonzero(got[c].notna().to_numpy())
-        loose = np.flatnonzero(free)
-        out[c] = co_train([t[i] for i in have], [m[i] for i in have], got[c].to_numpy(float)[have], [t[i] for i in loose], [m[i] for i in loose]) if len(have) else Judge(None, None)
-    return out
+        sums = [np.zeros((len(shared.value), 2, d + 1), np.int64) for d in (TEXT_DIMS, META_DIMS)]
+        for batch in batches:
+            both = unpacked(batch.column(0)), unpacked(batch.column(1))
+            for k, judge in enumerate(shared.value):
+                if judge.text is None or judge.meta is None:
+                    continue
+                for v, teacher in ((0, judge.meta.calibrated(both[1])), (1, judge.text.calibrated(both[0]))):
+                    for label, sure in ((0, teacher < -SURE), (1, teacher > SURE)):
+                        some, total = both[v].of(sure), sums[v][k, label]
+                        total[:-1] += np.bincount(some.col, minlength=len(total) - 1)
+                        total[-1] += len(some)
+        for v, total in enumerate(sums):
+            k, label, bucket = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in (np.full(len(k), v), k, label, bucket)] + [pa.array(total[k, label, bucket])], ["v", "k", "label", "bucket", "n"])
+
+    rows = free.select("text_view", "meta_view").mapInArrow(run, "v int, k int, label int, bucket int, n long")
+    got = rows.groupBy("v", "k", "label", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most as many rows as the models have buckets
+    out = [np.zeros((len(judges), 2, d + 1), np.int64) for d in (TEXT_DIMS, META_DIMS)]
+    for v, total in enumerate(out):
+        g = got[got["v"] == v]
+        total[g["k"].to_numpy(), g["label"].to_numpy(), g["bucket"].to_numpy()] = g["n"].to_numpy()
+    return list(zip(*out, strict=True))
+
+
+def fit(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...] = ("quality", "toxic"), labelled: int = LABELLED, rounds: int = ROUNDS, key: str = "doc_id") -> dict[str, Judge]:
+    """A judge for each target, from documents or their ``views``.
+
+    At most ``labelled`` labelled rows are taken, those whose ids hash smallest; their bucket numbers go to the driver.
+    All documents without a label teach in every round. A target column that is missing has no judge's labels.
+    """
+    rows = labels.select(key, *(F.col(c).cast("int").alias(c) if c in labels.columns else F.lit(None).cast("int").alias(c) for c in targets))
+    rows = rows.where(F.col(key).isNotNull() & F.coalesce(*targets).isNotNull())
+    some = F.broadcast(rows.withColumn("h_", F.xxhash64(F.col(key), F.lit(3))).orderBy("h_", *targets).limit(labelled).drop("h_"))  # at most ``labelled`` rows
+    seen = _seen(docs, key).withColumnRenamed(key, "key_")
+    known = rows.select(F.col(key).alias("key_")).distinct().withColumn("known_", F.lit(True))
+    seen = cut(seen.join(known, "key_", "left"))  # read in every round
+    got = seen.where("known_").join(some.withColumnRenamed(key, "key_"), "key_").select("key_", "text_view", "meta_view", *targets).toPandas()
+    got = got.assign(h_=[zlib.crc32(str(k).encode()) for k in got["key_"]]).sort_values(["h_", "key_", *targets], kind="stable").reset_index(drop=True)
+    t, m = (unpacked(pa.array(got[c].tolist(), pa.binary())) for c in ("text_view", "meta_view"))
+    have = [got[c].notna().to_numpy() for c in targets]
+    data = [(t.of(h), m.of(h), got[c].to_numpy(float)[h]) for c, h in zip(targets, have, strict=True)]
+    judges = [learn(*d) for d in data]
+    for _ in range(rounds if any(j.text for j in judges) else 0):
+        taught = exchange(seen.where("known_ is null"), judges)
+        judges = [learn(*d, x) for d, x in zip(data, taught, strict=True)]
+    return dict(zip(targets, judges, strict=True))
 
 
 def score(docs: DataFrame, judges: dict[str, Judge], key: str = "doc_id") -> DataFrame:
-    """Per document: key, score, toxic_score, quality, toxic (0 or 1) and keep."""
+    """Per document or row of ``views``: key, score, toxic_score, quality, toxic (0 or 1) and keep."""
     shared = docs.sparkSession.sparkContext.broadcast(judges)  # TEXT_DIMS + META_DIMS doubles a target
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, a, b, t, m in _views(batches):
+        for batch in batches:
+            t, m = unpacked(batch.column(1)), unpacked(batch.column(2))
             good, toxic = shared.value["quality"].score(t, m), shared.value["toxic"].score(t, m)
             yes, no = good >= 0.5, toxic > 0.5
             yield pa.RecordBatch.from_arrays(
-                [batch.column(3).slice(a, b - a), pa.array(good), pa.array(toxic), pa.array(yes.astype(np.int32)), pa.array(no.astype(np.int32)), pa.array(yes & ~no)],
+                [batch.column(0), pa.array(good), pa.array(toxic), pa.array(yes.astype(np.int32)), pa.array(no.astype(np.int32)), pa.array(yes & ~no)],
                 [key, "score", "toxic_score", "quality", "toxic", "keep"],
             )
 
-    return docs.select("text", "source", "lang", key).mapInArrow(run, f"`{key}` {kind}, score double, toxic_score double, quality int, toxic int, keep boolean")
+    return _seen(docs, key).select(key, "text_view", "meta_view").mapInArrow(run, f"`{key}` {kind}, score double, toxic_score double, quality int, toxic int, keep boolean")
+
+
+def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Fit and score in one go, with the views of the texts made once."""
+    seen = cut(views(docs, key))
+    return score(seen, fit(seen, labels, key=key), key)

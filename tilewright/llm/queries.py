@@ -31,8 +31,7 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    docs = table(spark, sf_dir, "documents")
-    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
