@@ -502,13 +502,25 @@ def test_urls(spark):
 
 
 def test_url_model():
+    """Known words in new names, and names none of whose words were in training."""
     m = urls.fit(urls.training_urls())
-    assert m.score("www.cheap-pills.example.com", "/en/1") > 0.5 > m.score("therin.example.org", "/de/77.html")
-    held = urls.training_urls().sample(frac=1, random_state=1)
-    m = urls.fit(held[60:])
-    assert np.mean([(m.score(*urls.split(u)) > 0.5) == bool(y) for u, y in held[:60].itertuples(index=False)]) > 0.85
+    other = urls.training_urls(seed=10)
+    assert np.mean([(m.score(*urls.split(u)) > 0.5) == bool(y) for u, y in other.itertuples(index=False)]) > 0.95
+    right = []
+    for fold in range(5):
+        m = urls.fit(urls.training_urls(-1 - fold))
+        held = urls.training_urls(fold, 60)
+        right += [(m.score(*urls.split(u)) > 0.5) == bool(y) for u, y in held.itertuples(index=False)]
+    assert np.mean(right) > 0.6
     with pytest.raises(ValueError):
-        urls.fit(pd.concat([held] * 60))
+        urls.fit(pd.concat([other] * 20))
+
+
+def test_url_folds_share_no_word():
+    letters = lambda fold: {w for u in urls.training_urls(fold, 100).url for w in re.findall("[a-z]+", urls.split(u)[0])}
+    kinds = set(urls.BAD.split()) | set(urls.GOOD.split())
+    for fold in range(5):
+        assert letters(fold) & letters(-1 - fold) & kinds <= {"news"}  # which is a prefix of hosts too
 
 
 # --- 10

@@ -4,7 +4,7 @@
 there up to ``?``, ``#`` or the end. A null url or one without ``://`` has both empty. A rule
 ``host/path`` fits its host and all subdomains when the url's path starts with the rule's path; of the
 rules that fit, the longest wins. Without one the model judges. Rows are independent; repeated rows
-stay and an empty table gives an empty one.
+stay and an empty table gives an empty one. Columns host, path, rule, verdict and url_score of the input are replaced.
 """
 
 from __future__ import annotations
@@ -24,25 +24,65 @@ SIZES = (3, 4, 5)
 
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
-#: Parts of names of sites of either kind.
-BAD = "ads track pills cheap casino win bets free spam farm adult xxx porn poker slots viagra loans payday jackpot betting gambling replica escort torrent warez clickbait popup banner doubleclick cialis".split()
-GOOD = "news blog science school library museum garden kitchen travel weather city council history music review journal docs wiki forum health sport books college cafe hotel energy law data open art".split()
+#: Words that names of unwanted and of ordinary sites are made of, by field.
+BAD = """
+adult amateur babes cams dating escort erotic hookup milf naked nude porn sexy xxx
+bet betting bingo blackjack bookie casino gamble jackpot lottery poker roulette slots wager
+cialis diet meds pharma pharmacy pills rx slimming steroids viagra weightloss
+cash crypto credit debt doubler forex instantloan invest loans millionaire payday profit
+ad adserver ads affiliate banner click pixel popunder popup promo redirect track tracker traffic
+cracked cracks hacks keygen leaked serials torrent warez
+bargain cheap coupon deals discount fake free giveaway prize replica reward spam sweepstakes winner
+"""
+GOOD = """
+academy archive college course history institute journal laboratory lecture library museum research school science society university
+bakery cafe cooking farmhouse garden hotel kitchen market recipes restaurant tea vineyard
+city council county court embassy government ministry parish police post town village
+chronicle daily gazette herald magazine news observer press review times tribune weekly
+clinic dental doctor health hospital medicine nurse therapy
+bridge builders carpenter design engineering factory machines paper printing railway steel tools workshop
+astronomy birds forest geology island lake mountain ocean river valley weather wildlife
+choir cinema dance film gallery guitar music opera orchestra painting poetry theatre
+code compiler data docs forum kernel linux manual network software wiki
+climbing club cycling football hiking rowing rugby sailing ski sport swimming tennis
+"""
+#: Endings of names, prefixes of hosts, and paths that either or one kind has.
+ENDINGS = "com com com net org info io co.uk de fr es eu us".split()
+PREFIXES = ["", "", "www.", "www.", "blog.", "m.", "shop.", "news."]
+PATHS = ["", "/", "/index.html", "/en/about", "/de/{n}.html", "/fr/{n}/", "/es/{n}", "/page/{n}", "/2019/05/{w}", "/category/{w}", "/{w}/{n}", "/{w}.php"]
+BAD_PATHS = ["/go/{n}", "/click/{n}", "/signup-bonus", "/{w}-{w}-now", "/out/{w}", "/lp/{n}"]
+GOOD_PATHS = ["/articles/{w}-{w}", "/wiki/{w}", "/people/{n}", "/docs/{w}/{n}", "/contact", "/events/{n}"]
+
+
+def training_urls(fold: int | None = None, names_each: int = 900, seed: int = 9) -> pd.DataFrame:
+    """A small labelled table (url, blocked) made from the words above, drawn from a seed.
+
+    A name is one or two words of its kind, together, with a hyphen or with a number; a bad name may hold an ordinary
+    word beside a bad one. With a ``fold`` of 0 to 4 only every fifth word from that one on is used, with a negative one
+    (-1 to -5) only the others, so that names of a fold and of its rest share no word.
+    """
+
+    def words(kind: str) -> list[str]:
+        return [w for i, w in enumerate(kind.split()) if fold is None or (i % 5 == fold if fold >= 0 else i % 5 != -1 - fold)]
+
+    bad, good = words(BAD), words(GOOD)
+    r = np.random.RandomState(seed)
 
+    def one(of: list) -> str:
+        return of[r.randint(len(of))]
 
-def training_urls() -> pd.DataFrame:
-    """A small labelled table (url, blocked): pairs of name parts under several prefixes, suffixes and paths."""
     rows = []
-    ends = ["com/en/12", "org/de/345.html", "net/fr/7/", "com/es/81?page=2", "net/", "org/index.html"]
-    starts = ["", "www.", "blog.", "m."]
-    for bad, parts in ((1, BAD), (0, GOOD)):
-        for i, a in enumerate(parts):
-            for step in (1, 2, 5):
-                b = parts[(i + step) % len(parts)]
-                for j in range(2):
-                    k = i + step + 3 * j
-                    rows.append((f"https://{starts[k % 4]}{a}-{b}.example.{ends[(i + j) % 6]}", bad))
-    for i, (a, b, c) in enumerate((a, b, c) for a in "th on er ti en re".split() for b in "th er an in on st".split() for c in "ing ou ha ea nd le".split()):
-        rows.append((f"http://{starts[i % 4]}{a}{b}{c}.example.{ends[i % 6]}", 0))
+    for kind in (1, 0):
+        for _ in range(names_each):
+            pair = [one(bad if kind else good), one(good if r.rand() < (0.3 if kind else 1) else bad)]
+            if r.rand() < 0.5:
+                pair.reverse()
+            shape = r.randint(4)
+            name = [pair[0] + pair[1], "-".join(pair), one(bad if kind else good) + str(r.randint(1, 1000)), one(bad if kind else good)][shape]
+            path = one(PATHS if r.rand() < 0.6 else BAD_PATHS if kind else GOOD_PATHS)
+            while "{w}" in path:
+                path = path.replace("{w}", one(bad if kind else good), 1)
+            rows.append((f"http{one(['', 's'])}://{one(PREFIXES)}{name}.{one(ENDINGS)}{path.replace('{n}', str(r.randint(1, 10_000)))}", kind))
     return pd.DataFrame(rows, columns=["url", "blocked"])
 
 
