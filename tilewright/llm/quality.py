@@ -2,7 +2,7 @@
 
 The text view is the hashed words and byte shapes of the text; the metadata view is what stands around it: source,
 language, length, and counts of lines, capitals, digits and signs. Two logistic regressions learn from a bounded set
-of labelled rows. In each round both views score every unlabelled document of the corpus, and what one is sure of
+of labelled rows. In each round both views score every document outside that set, and what one is sure of
 becomes a pseudo-label for the other: counts of its buckets by class, summed by Spark over all documents. Their log
 ratios are the starting weights of the other view's next fit, so that words that no labelled row has get a weight too.
 The scores are calibrated on one held-out part of the labelled rows and combined on another.
@@ -126,8 +126,8 @@ def views(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.select(key, "text", "source", "lang").mapInArrow(run, f"`{key}` {kind}, text_view binary, meta_view binary")
 
 
-def _seen(docs: DataFrame, key: str) -> DataFrame:
-    return docs if {"text_view", "meta_view"} <= set(docs.columns) else views(docs, key)
+def _has_views(docs: DataFrame) -> bool:
+    return {"text_view", "meta_view"} <= set(docs.columns)
 
 
 def telling(n: np.ndarray, pos: np.ndarray, all_n: float, all_pos: float, most: int = 3_000, least: int = 4, sure: float = 12.0) -> np.ndarray:
@@ -284,22 +284,21 @@ def fit(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...] = ("quality
     """A judge for each target, from documents or their ``views``.
 
     At most ``labelled`` labelled rows are taken, those whose ids hash smallest; their bucket numbers go to the driver.
-    All documents without a label teach in every round. A target column that is missing has no judge's labels.
+    All other documents, whose labels are not used, teach in every round. A target column that is missing has no judge's labels.
     """
     rows = labels.select(key, *(F.col(c).cast("int").alias(c) if c in labels.columns else F.lit(None).cast("int").alias(c) for c in targets))
     rows = rows.where(F.col(key).isNotNull() & F.coalesce(*targets).isNotNull())
-    some = F.broadcast(rows.withColumn("h_", F.xxhash64(F.col(key), F.lit(3))).orderBy("h_", *targets).limit(labelled).drop("h_"))  # at most ``labelled`` rows
-    seen = _seen(docs, key).withColumnRenamed(key, "key_")
-    known = rows.select(F.col(key).alias("key_")).distinct().withColumn("known_", F.lit(True))
-    seen = cut(seen.join(known, "key_", "left"))  # read in every round
-    got = seen.where("known_").join(some.withColumnRenamed(key, "key_"), "key_").select("key_", "text_view", "meta_view", *targets).toPandas()
+    some = cut(rows.withColumn("h_", F.xxhash64(F.col(key), F.lit(3))).orderBy("h_", *targets).limit(labelled).drop("h_")).withColumnRenamed(key, "key_")
+    some = F.broadcast(some)  # at most ``labelled`` rows
+    seen = (docs if _has_views(docs) else cut(views(docs, key))).withColumnRenamed(key, "key_")
+    got = seen.join(some, "key_").select("key_", "text_view", "meta_view", *targets).toPandas()
     got = got.assign(h_=[zlib.crc32(str(k).encode()) for k in got["key_"]]).sort_values(["h_", "key_", *targets], kind="stable").reset_index(drop=True)
     t, m = (unpacked(pa.array(got[c].tolist(), pa.binary())) for c in ("text_view", "meta_view"))
     have = [got[c].notna().to_numpy() for c in targets]
     data = [(t.of(h), m.of(h), got[c].to_numpy(float)[h]) for c, h in zip(targets, have, strict=True)]
     judges = [learn(*d) for d in data]
     for _ in range(rounds if any(j.text for j in judges) else 0):
-        taught = exchange(seen.where("known_ is null"), judges)
+        taught = exchange(seen.join(F.broadcast(some.select("key_")), "key_", "left_anti"), judges)
         judges = [learn(*d, x) for d, x in zip(data, taught, strict=True)]
     return dict(zip(targets, judges, strict=True))
 
@@ -319,7 +318,8 @@ def score(docs: DataFrame, judges: dict[str, Judge], key: str = "doc_id") -> Dat
                 [key, "score", "toxic_score", "quality", "toxic", "keep"],
             )
 
-    return _seen(docs, key).select(key, "text_view", "meta_view").mapInArrow(run, f"`{key}` {kind}, score double, toxic_score double, quality int, toxic int, keep boolean")
+    seen = docs if _has_views(docs) else views(docs, key)
+    return seen.select(key, "text_view", "meta_view").mapInArrow(run, f"`{key}` {kind}, score double, toxic_score double, quality int, toxic int, keep boolean")
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
