@@ -165,6 +165,20 @@ def test_extraction_of_all_pages(spark, tables):
         assert text == "\n\n".join(" ".join(html.unescape(p).split()) for p in parts if p.strip())
 
 
+def test_long_and_deep_pages_take_time_in_proportion():
+    """A page of 50,000 blocks and one of 20,000 open elements; nothing is dropped."""
+    import time
+
+    model = html_text.train()
+    line = "A sentence of the article, which goes on for a while, and then ends."
+    began = time.time()
+    long_page = "<nav class=menu><ul>" + "<li><a href=x>go there</a></li>" * 25_000 + "</ul></nav><article>" + f"<p>{line}</p>" * 25_000 + "</article>"
+    assert model.text(long_page) == "\n\n".join([line] * 25_000)
+    deep_page = f"<div>{line}" * 20_000 + "</b></p></div>" * 20_000
+    assert model.text(deep_page) == "\n\n".join([line] * 20_000)
+    assert time.time() - began < 30
+
+
 def test_min_cut_is_minimal():
     r = random.Random(4)
     for _ in range(30):

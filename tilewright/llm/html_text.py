@@ -18,8 +18,8 @@ import html
 import math
 import random
 import re
-from collections import deque
-from collections.abc import Iterator
+from collections import Counter, deque
+from collections.abc import Container, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -44,15 +44,60 @@ _WORDS = re.compile(r"[a-z]+")
 _NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
 
 
+class Element:
+    """An open element; deep pages share their ancestors instead of carrying a path each."""
+
+    __slots__ = ("name", "serial", "marks", "above", "depth", "block", "in_head")
+
+    def __init__(self, name: str, serial: int, marks: frozenset[str], above: Element | None):
+        self.name, self.serial, self.marks, self.above = name, serial, marks, above
+        self.depth = above.depth + 1 if above else 1
+        self.block = name if name in BLOCK_TAGS else above.block if above else "body"  # the nearest block-level name
+        self.in_head = name == "head" or bool(above and above.in_head)
+
+
 @dataclass
 class Block:
     text: str
     linked: int  # characters in links
-    path: tuple[int, ...]  # numbers of the open elements
-    tags: tuple[str, ...]
-    marks: frozenset[str]  # what the ancestors say
+    at: Element  # the innermost open element
     features: list[str] = field(default_factory=list)
 
+    @property
+    def marks(self) -> frozenset[str]:  # what the ancestors say
+        return self.at.marks
+
+
+class OpenElements:
+    """The open elements, with how many there are of each name, so that a search for an absent one costs nothing."""
+
+    def __init__(self) -> None:
+        self.root = Element("", 0, frozenset(), None)
+        self.stack: list[Element] = []
+        self.count: Counter[str] = Counter()
+
+    def top(self) -> Element:
+        return self.stack[-1] if self.stack else self.root
+
+    def push(self, name: str, serial: int, attributes: str) -> None:
+        self.stack.append(Element(name, serial, _marks(name, attributes, self.top().marks), self.top()))
+        self.count[name] += 1
+
+    def close_from(self, i: int) -> None:
+        self.count.subtract(e.name for e in self.stack[i:])
+        del self.stack[i:]
+
+    def close(self, names: Container[str], until: Container[str]) -> None:
+        """Close the innermost element of these names and all in it, unless one of ``until`` comes before."""
+        if not any(self.count[n] > 0 for n in names):
+            return
+        for i in range(len(self.stack) - 1, -1, -1):
+            name = self.stack[i].name
+            if name in names:
+                return self.close_from(i)
+            if name in until:
+                return None
+
 
 def _marks(name: str, attributes: str, above: frozenset[str]) -> frozenset[str]:
     """What an element adds to what its ancestors say."""
@@ -79,26 +124,27 @@ def _marks(name: str, attributes: str, above: frozenset[str]) -> frozenset[str]:
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order; text that is only white space makes none."""
     out: list[Block] = []
-    stack: list[tuple[str, int, frozenset[str]]] = []
+    opened = OpenElements()
+    stack = opened.stack
     parts: list[str] = []
-    linked, in_link, serial, at, n = 0, 0, 0, 0, len(page)
-    where: tuple | None = None
+    linked, serial, at, n = 0, 0, 0, len(page)
+    where: Element | None = None
     never_closed: set[str] = set()
 
     def end_head() -> None:
-        i = len(stack)
-        while i and stack[i - 1][0] in HEAD_TAGS:  # nothing else stands in an open head
+        i = len(stack) if opened.count["head"] else 0
+        while i and stack[i - 1].name in HEAD_TAGS:  # nothing else stands in an open head
             i -= 1
-            if stack[i][0] == "head":
+            if stack[i].name == "head":
                 end_block()
-                del stack[i:]
+                opened.close_from(i)
 
     def end_block() -> None:
         nonlocal linked, where
         if parts:
             text = " ".join("".join(parts).split())
             if text and where is not None:
-                out.append(Block(text, min(linked, len(text)), tuple(s[1] for s in where), tuple(s[0] for s in where), where[-1][2] if where else frozenset()))
+                out.append(Block(text, min(linked, len(text)), where))
             parts.clear()
         linked, where = 0, None
 
@@ -110,12 +156,12 @@ def blocks(page: str) -> list[Block]:
             text = page[at:lt]
             if not text.isspace() or parts:
                 if where is None and not text.isspace():
-                    if stack and stack[-1][0] == "head":
+                    if opened.top().name == "head":
                         end_head()
-                    where = tuple(stack)
+                    where = opened.top()
                 text = html.unescape(text) if "&" in text else text
                 parts.append(text)
-                if in_link:
+                if opened.count["a"]:
                     linked += len(text)
         if lt == n:
             break
@@ -136,7 +182,7 @@ def blocks(page: str) -> list[Block]:
                 at = n if end < 0 else end + 1
             else:
                 if where is None:
-                    where = tuple(stack)
+                    where = opened.top()
                 parts.append("<")
                 at = lt + 1
             continue
@@ -153,13 +199,7 @@ def blocks(page: str) -> list[Block]:
         if closing:
             if name in BLOCK_TAGS:
                 end_block()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-                if name not in BLOCK_TAGS and stack[i][0] in BLOCK_TAGS:
-                    break
-            in_link = sum(s[0] == "a" for s in stack)
+            opened.close((name,), () if name in BLOCK_TAGS else BLOCK_TAGS)
             continue
         if name not in HEAD_TAGS:
             end_head()
@@ -172,27 +212,15 @@ def blocks(page: str) -> list[Block]:
         if name in BLOCK_TAGS:
             end_block()
             if name in CLOSES_P:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
-                        del stack[i:]
-                        break
-                    if stack[i][0] in BLOCK_TAGS:
-                        break
+                opened.close(("p",), BLOCK_TAGS)
             if name in ("li", "dt", "dd", "tr", "td", "th", "option"):
                 same = {"dt", "dd"} if name in ("dt", "dd") else {"td", "th"} if name in ("td", "th") else {name}
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in same:
-                        del stack[i:]
-                        break
-                    if stack[i][0] in ("ul", "ol", "dl", "table", "select", "menu", "div", "section", "article"):
-                        break
-            in_link = sum(s[0] == "a" for s in stack)
+                opened.close(same, ("ul", "ol", "dl", "table", "select", "menu", "div", "section", "article"))
         if name not in VOID_TAGS and not (attributes.endswith("/") and name not in BLOCK_TAGS):
             serial += 1
-            stack.append((name, serial, _marks(name, attributes, stack[-1][2] if stack else frozenset())))
-            in_link += name == "a"
+            opened.push(name, serial, attributes)
     end_block()
-    return [b for b in out if "head" not in b.tags]
+    return [b for b in out if not b.at.in_head]
 
 
 def describe(all_blocks: list[Block]) -> None:
@@ -201,7 +229,7 @@ def describe(all_blocks: list[Block]) -> None:
         n = len(b.text)
         words = b.text.count(" ") + 1
         link = b.linked / n
-        tag = next((t for t in reversed(b.tags) if t in BLOCK_TAGS), "body")
+        tag = b.at.block
         f = ["bias", f"len{min(8, int(math.log2(n)))}", f"words{min(6, int(math.log2(words)))}", "linked" if link > 0.5 else "some_links" if link > 0.1 else "no_links", f"tag:{tag if len(tag) < 3 or tag in ('div', 'body', 'pre', 'blockquote') else 'other'}"]
         if b.text[-1:] in ".!?…:\"')”»。":
             f.append("ends")
@@ -233,41 +261,43 @@ class PageModel:
 
 
 def ties(all_blocks: list[Block], near: float) -> list[tuple[int, int, float]]:
-    """Smoothness edges: each block to the one before it, and to the last one before under its grandparent.
+    """Smoothness edges: each block to the one before it, and to the last ones before under its parent and grandparent.
 
     The weight falls with the steps through the tree between them, and is small where the ancestors say different things.
+    Steps are counted along the tree: over a page as many as it has elements, and at most four to a relative.
     """
     out = []
-    last: dict[tuple[int, ...], int] = {}
+    last: dict[int, int] = {}
     for i, b in enumerate(all_blocks):
-        tied = set()
-        if i:
-            tied.add(i - 1)
-        for up in (1, 2):
-            if len(b.path) > up:
-                j = last.get(b.path[:-up])
-                if j is not None:
-                    tied.add(j)
+        near_by = [e for e in (b.at.above, b.at.above and b.at.above.above) if e]
+        tied = {last[e.serial] for e in near_by if e.serial in last} | ({i - 1} if i else set())
         for j in tied:
             a = all_blocks[j]
-            common = 0
-            for x, y in zip(a.path, b.path, strict=False):
-                if x != y:
-                    break
-                common += 1
-            steps = len(a.path) + len(b.path) - 2 * common
-            weight = near * math.exp(-(max(steps, 2) - 2) / 2) * (1.0 if a.marks == b.marks else 0.15)
+            weight = near * math.exp(-(max(_steps(a.at, b.at), 2) - 2) / 2) * (1.0 if a.marks == b.marks else 0.15)
             out.append((j, i, weight))
-        for up in (1, 2):
-            if len(b.path) > up:
-                last[b.path[:-up]] = i
+        for e in near_by:
+            last[e.serial] = i
     return out
 
 
+def _steps(a: Element, b: Element) -> int:
+    """Edges of the tree between two elements."""
+    n = 0
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.above
+        else:
+            b = b.above
+        n += 1
+    return n
+
+
 def min_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Which nodes stay on the source side: positive odds are capacity from the source, negative ones to the sink.
 
-    Augmenting paths, shortest first. Zero odds and nothing upstream: the sink's side.
+    Augmenting paths, each found backwards from a node that still needs flow. What a search without an end has seen no
+    source reaches any more, so later searches leave it out: the work is that of the paths found and one pass over the
+    rest. Zero odds and nothing upstream: the sink's side.
     """
     n = len(odds)
     spare = [max(0.0, o) for o in odds]
@@ -279,34 +309,44 @@ def min_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool
         room[a][b] = room[a].get(b, 0.0) + w
         room[b][a] = room[b].get(a, 0.0) + w
     small = 1e-9
-    while True:
-        back = {i: -1 for i in range(n) if spare[i] > small}
-        queue = deque(back)
-        goal = -1
-        while queue:
-            i = queue.popleft()
-            if need[i] > small:
-                goal = i
+    cut_off = [False] * n
+    for goal in range(n):
+        while need[goal] > small and not cut_off[goal]:
+            onward, queue, start = {goal: -1}, deque([goal]), -1
+            while queue:
+                i = queue.popleft()
+                if spare[i] > small:
+                    start = i
+                    break
+                for j in room[i]:
+                    if j not in onward and not cut_off[j] and room[j][i] > small:
+                        onward[j] = i
+                        queue.append(j)
+            if start < 0:
+                for i in onward:
+                    cut_off[i] = True
                 break
-            for j, r in room[i].items():
-                if r > small and j not in back:
-                    back[j] = i
-                    queue.append(j)
-        if goal < 0:
-            return [i in back for i in range(n)]
-        flow, i = need[goal], goal
-        while back[i] >= 0:
-            flow = min(flow, room[back[i]][i])
-            i = back[i]
-        flow = min(flow, spare[i])
-        spare[i] -= flow
-        need[goal] -= flow
-        i = goal
-        while back[i] >= 0:
-            j = back[i]
-            room[j][i] -= flow
-            room[i][j] += flow
-            i = j
+            flow, i = min(spare[start], need[goal]), start
+            while onward[i] >= 0:
+                flow = min(flow, room[i][onward[i]])
+                i = onward[i]
+            spare[start] -= flow
+            need[goal] -= flow
+            i = start
+            while onward[i] >= 0:
+                j = onward[i]
+                room[i][j] -= flow
+                room[j][i] += flow
+                i = j
+    reached = [s > small for s in spare]
+    queue = deque(i for i in range(n) if reached[i])
+    while queue:
+        i = queue.popleft()
+        for j, r in room[i].items():
+            if r > small and not reached[j]:
+                reached[j] = True
+                queue.append(j)
+    return reached
 
 
 # --- the training set
@@ -364,14 +404,21 @@ def training_blocks(pages: int = 240, seed: int = 7) -> list[tuple[list[str], in
         zones = _zones(marked)
         describe(found)
         for b in found:
-            y = 0 if any(s in zones for s in b.path) else 1
+            y = 0 if any(e.serial in zones for e in _line(b.at)) else 1
             out.append((b.features, y))
             out.append(([f for f in b.features if ":" not in f or f.startswith("tag:")], y))  # as if nothing was marked
     return out
 
 
+def _line(e: Element | None) -> Iterator[Element]:
+    """An element and its ancestors."""
+    while e:
+        yield e
+        e = e.above
+
+
 def _zones(page: str) -> set[int]:
-    """Numbers (as in ``Block.path``) of the elements with a data-y attribute."""
+    """Numbers (as in ``Element.serial``) of the elements with a data-y attribute."""
     serial, out = 0, set()
     for m in re.finditer(r"<([a-z][a-z0-9]*)([^>]*)>", page):
         if m[1] not in VOID_TAGS:
