@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tilewright.plans import protocol
+from tilewright.plans import finishing, protocol
 from tilewright.plans.expression import ExpressionError, Typed, compile_expression, problems, references
 from tilewright.sources import readers, writers
 from tilewright.streaming.scoring import score_stream
@@ -150,3 +150,60 @@ def test_protocol_refuses_what_it_cannot_do(spark):
     p = {"targets": [], "extracts": {"target_region": {"length": 8}}, "probes": {"probe": {"expr": "rc(target_region)"}}, "attributes": {"hits": {"type": "mapped_genes", "target": "target_region", "max_mismatches": 9, "oligos": ["x"]}}, "post_process": {"avoid_otp": {"t": {}}, "off_target_pool": {"attribute": "gc", "max_probes_per_gene": 1}}}
     text = " ".join(protocol.analyse(p))
     assert all(x in text for x in ("max_mismatches", "two layout parts", "avoid_otp", "off_target_pool"))
+
+
+def test_final_numbers_and_modifications(spark):
+    targets = spark.createDataFrame([("t", "ACGTTGCAGGATCCATTGCAAGTCACGTTGCA")], "target string, seq string")
+    chemistry = {"5prime": {"type": "fluorophore", "name": "Cy5"}, "internal": [{"type": "disulfide", "after_base": 4}]}
+    p = {"targets": [], "extracts": {"target_region": {"length": 8}}, "probes": {"turn": {"expr": "'ACGT'[probe_index % 4]"}, "probe": {"expr": "rc(target_region) + turn", "modifications": chemistry}, "plain": {"expr": "rc(target_region)"}}, "attributes": {"g": {"type": "base_fraction", "target": "turn", "bases": "G"}}, "post_process": {"remove_overlap": {}, "sorts": {"is_descending": ["start"]}}}
+    assert protocol.reads(p["probes"], "probe_index") == {"turn", "probe"}
+    got = protocol.run(p, targets).collect()
+    assert [(r["start"], r["probe_index"], r["final_index"], r["turn"], r["g"]) for r in got] == [(25, 3, 0, "T", 0), (17, 2, 1, "G", 1), (9, 1, 2, "C", 0), (1, 0, 3, "A", 0)]
+    assert all(r["probe"] == r["plain"] + r["turn"] for r in got)
+    assert [(m["position"], m["type"], m["name"], m["after_base"]) for m in got[0]["probe__modifications"]] == [("5prime", "fluorophore", "Cy5", None), ("internal", "disulfide", None, 4)]
+    for bad, word in (({"middle": "phosphate"}, "unknown position"), ({"5prime": "disulfide"}, "does not go here"), ({"internal": [{"type": "disulfide", "after_base": 0}]}, "after_base"), ({"internal": [{"type": "disulfide", "after_base": 2}] * 2}, "taken"), ({"3prime": {"type": "phosphate", "name": "x"}}, "name"), ({"3prime": {"type": "phosphate", "colour": "x"}}, "unknown field"), ("x", "must map")):
+        assert any(word in x for x in protocol.analyse(p | {"probes": p["probes"] | {"probe": {"expr": "turn", "modifications": bad}}})), bad
+    nested = {"probe": {"template": "{a}", "parts": {"a": {"expr": "turn", "modifications": {"5prime": "phosphate"}}}}}
+    assert any("only probes" in x for x in protocol.analyse(p | {"probes": p["probes"] | nested}))
+    short = p["probes"] | {"probe": {"expr": "turn", "modifications": chemistry}}
+    with pytest.raises(Exception, match="needs 5 bases"):
+        protocol.run(p | {"probes": short}, targets).collect()
+
+
+def test_dry_run_column_order_and_windows(spark):
+    p = {"targets": [], "extracts": {"target_region": {"length": [6, 8], "layout": {"parts": {"l": {"length": [3, 4]}, "r": {"length": [3, 4]}}}}}, "probes": {"a": {"expr": "target_parts.l[0:2]"}, "b": {"expr": "target_region[7]"}}}
+    got = {r["probe"]: r for r in protocol.dry_run(spark, p, ["x", "y"]).collect()}
+    assert (got["a"]["n_empty"], got["a"]["shortest"], got["a"]["longest"]) == (0, 2, 2)
+    assert 0 < got["b"]["n_empty"] < got["b"]["n"] == got["a"]["n"]
+    p["attributes"] = {"gc": {"target": "a", "type": "gc_content"}, "hits": {"target": "target_region", "type": "mapped_genes"}}
+    columns = ["hits_off_targets", "a", "gc", "target", "b", "hits", "target_parts__l", "target_region", "start"]
+    assert finishing.ordered_columns(columns, p) == ["target", "start", "target_region", "hits", "hits_off_targets", "target_parts__l", "a", "gc", "b"]
+    table = finishing.result_table(spark.createDataFrame([("x", 1, "['t1', 't2']")], "target string, start int, transcript_names string"), p)
+    assert table.columns == ["target", "transcript_names"] and table.first()[1] == "t1; t2"
+    window = lambda ours, own: finishing.temperature_window({"hybridization": ours, "attributes": {"tm": {"hybridization": own}}}, "tm", protocol.CONDITIONS)
+    assert window({}, {}) == (50, 90, None)
+    assert window({"temperature_c": 42}, {}) == (42, 82, "protocol")
+    assert window({"temperature_c": 42}, {"temperature_c": 47}) == (47, 87, "attribute")
+    assert window({"temperature_c": 42, "na_mM": 300}, {"na_mM": 390}) == (50, 90, None)
+    assert window({"temperature_c": 42, "na_mM": 300}, {"na_mM": 300}) == (42, 82, "protocol")
+    assert window({"na_mM": 300}, {}) == (37, 77, "default")
+    base = {"probes": {"probe": "x"}, "hybridization": {"temperature_c": 47}}
+    assert protocol.with_defaults(base, temperature=True)["post_process"]["filters"]["probe_tm"] == {"condition": "probe_tm >= 47 & probe_tm <= 87"}
+    assert [finishing.file_stem(x) for x in ("a b/c", "..", ".x-1.2")] == ["a_b_c", "probes", "x-1.2"]
+
+
+def test_steps_rows_and_barcodes(spark, tmp_path):
+    import gzip
+
+    df = spark.createDataFrame([("ACGT", 1), ("TTGA", 2)], "sequence string, n int")
+    again = writers.write_step(df, str(tmp_path), "candidates")
+    assert sorted(map(tuple, again.collect())) == [("ACGT", 1), ("TTGA", 2)] == sorted(map(tuple, readers.read_step(spark, str(tmp_path / "candidates")).collect()))
+    writers.write_barcodes(df, str(tmp_path), "set")
+    assert sorted(r[0] for r in readers.read_rows(spark, str(tmp_path / "set.csv")).collect()) == ["ACGT", "TTGA"]
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "set.txt")).collect()) == ["ACGT", "TTGA"]
+    with gzip.open(tmp_path / "rows.csv.gz", "wt", encoding="utf-8-sig") as f:
+        f.write('gene,"seq"\nA,"AC,""GT"\nB,\n')
+    got = readers.read_step(spark, str(tmp_path / "rows.csv.gz"))
+    assert got.columns == ["gene", "seq"] and list(map(tuple, got.collect())) == [("A", 'AC,"GT'), ("B", None)]
+    (tmp_path / "codes.csv").write_text("b1,ACGT\nb2,AAAA\nlonely\nb3,A,C\nb1,TTTT\n")
+    assert sorted(map(tuple, readers.barcode_table(spark, str(tmp_path / "codes.csv")).collect())) == [("b1", "TTTT"), ("b2", "AAAA")]

@@ -615,3 +615,79 @@ def protocol_off_targets(t: Tables) -> DataFrame:
     records_ = t.lineitem.where("l_linenumber = 1").select(F.concat(F.col("l_orderkey").cast("string"), F.lit("_t")).alias("record"), F.substring(digest_bases("l_partkey"), 1, 24).alias("seq"))
     out = protocol.run(SEARCHING, parts(t).select(F.col("p_partkey").cast("string").alias("target"), "seq"), {"records": records_})
     return out.select("target", "start", "hits")
+
+
+#: The design above with a last base that turns with the probe's number along its target.
+NUMBERED = PROTOCOL | {"probes": {"probe": {"template": "{core}{turn}", "parts": {"core": {"expr": "rc(target_region[0:12])"}, "turn": {"expr": "'ACGT'[probe_index % 4]"}}}}}
+
+
+@query("d8_d10_final_numbers", f"""
+WITH RECURSIVE w AS (SELECT p_partkey, CAST(s + 1 AS BIGINT) AS st, substr(seq, CAST(s AS INT) + 1, 20) AS tr FROM {PARTS}, generate_series(0, 12) a(s)),
+f AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY st) AS rn FROM w WHERE (20 - length(replace(replace(tr, 'G', ''), 'C', ''))) / 20e0 BETWEEN 0.4 AND 0.6),
+r AS (SELECT p_partkey, st, tr, rn, st + 19 AS last, true AS keep FROM f WHERE rn = 1 UNION ALL SELECT f.p_partkey, f.st, f.tr, f.rn, CASE WHEN f.st > r.last + 2 THEN f.st + 19 ELSE r.last END, f.st > r.last + 2 FROM r JOIN f ON f.p_partkey = r.p_partkey AND f.rn = r.rn + 1)
+SELECT CAST(p_partkey AS VARCHAR) AS target, st AS start, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY st) - 1 AS BIGINT) AS probe_index, {rc_sql('substr(tr, 1, 12)')} || substr('ACGT', CAST((row_number() OVER (PARTITION BY p_partkey ORDER BY st) - 1) % 4 AS INT) + 1, 1) AS probe FROM r WHERE keep""")
+def final_numbers(t: Tables) -> DataFrame:
+    from ..plans import protocol
+
+    out = protocol.run(NUMBERED, parts(t).select(F.col("p_partkey").cast("string").alias("target"), "seq"))
+    return out.select("target", "start", long("probe_index", "probe_index"), "probe")
+
+
+@query("d12_modifications", f"SELECT p_partkey, substr(seq, 1, 20) AS probe, '5prime:phosphate;3prime:fluorophore Cy5;internal:disulfide 7' AS chemistry FROM {PARTS}")
+def d12(t: Tables) -> DataFrame:
+    from ..plans import finishing
+
+    probes = {"probe": {"expr": "target_region", "modifications": {"5prime": "phosphate", "3prime": {"type": "fluorophore", "name": "Cy5"}, "internal": [{"type": "disulfide", "after_base": 7}]}}}
+    out = finishing.annotate(parts(t).select("p_partkey", F.substring("seq", 1, 20).alias("probe")), probes)
+    item = lambda x: F.concat(x["position"], F.lit(":"), F.concat_ws(" ", x["type"], x["name"], x["after_base"].cast("string")))
+    return out.select("p_partkey", "probe", F.array_join(F.transform("probe__modifications", item), ";").alias("chemistry"))
+
+
+@query("u9_written_lists", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_brand || '; ' || p_partkey WHEN 1 THEN p_type || '; ' || p_brand WHEN 2 THEN p_name ELSE '' END AS names FROM part")
+def u9(t: Tables) -> DataFrame:
+    from ..plans import finishing
+
+    quoted = F.format_string("['%s', %d]", "p_brand", "p_partkey")
+    pair = F.format_string("(\"%s\", '%s')", "p_type", "p_brand")
+    text = F.when(F.col("p_partkey") % 4 == 0, quoted).when(F.col("p_partkey") % 4 == 1, pair).when(F.col("p_partkey") % 4 == 2, F.col("p_name"))
+    return t.part.select("p_partkey", finishing.list_text(text).alias("names"))
+
+
+@query("u16_file_stems", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'probes' ELSE regexp_replace(regexp_replace(p_type || '/' || p_brand, '[^A-Za-z0-9_.-]', '_', 'g'), '^\\.+', '') END AS stem FROM part")
+def u16(t: Tables) -> DataFrame:
+    from ..plans import finishing
+
+    raw = F.when(F.col("p_partkey") % 3 == 0, "...").otherwise(F.concat(F.lit(".."), "p_type", F.lit("/"), "p_brand"))
+    return t.part.select("p_partkey", finishing.file_stem_column(raw).alias("stem"))
+
+
+@query("g14_ordered_overlap", """
+WITH RECURSIVE f AS (SELECT l_partkey AS g, l_orderkey AS o, CAST(l_linenumber AS BIGINT) AS ln, l_orderkey % 300 AS s, l_orderkey % 300 + CAST(l_quantity AS BIGINT) AS e,
+ row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey % 300, CAST(l_quantity AS BIGINT), l_extendedprice DESC, l_orderkey, l_linenumber) AS rn FROM lineitem),
+r AS (SELECT *, e AS last, true AS keep FROM f WHERE rn = 1 UNION ALL SELECT f.*, CASE WHEN f.s > r.last THEN f.e ELSE r.last END, f.s > r.last FROM r JOIN f ON f.g = r.g AND f.rn = r.rn + 1)
+SELECT g, o, ln, s, e FROM r WHERE keep""")
+def g14(t: Tables) -> DataFrame:
+    s = F.col("l_orderkey") % 300
+    d = t.lineitem.select(F.col("l_partkey").alias("g"), F.col("l_orderkey").alias("o"), long("l_linenumber", "ln"), s.alias("s"), (s + F.col("l_quantity").cast("long")).alias("e"), "l_extendedprice")
+    return selection.ordered_overlap(d, ["g"], "s", "e", ["e", F.desc("l_extendedprice"), "o", "ln"]).select("g", "o", "ln", "s", "e")
+
+
+@query("i3_examples", "SELECT p_partkey, p_name, round(CAST(p_retailprice AS DOUBLE), 6) AS price FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 20")
+def i3(t: Tables) -> DataFrame:
+    return summary.examples(t.part, [F.desc("p_retailprice"), "p_partkey"], 20).select("p_partkey", "p_name", six("p_retailprice", "price"))
+
+
+@query("c2_listed_transcripts", "SELECT p_brand AS gene, 'P' || p_partkey || '.' || (p_partkey % 3) AS transcript FROM part WHERE p_partkey % 7 = 0 OR (p_partkey % 7 = 1 AND p_partkey % 3 = 2)")
+def c2_listed(t: Tables) -> DataFrame:
+    name = F.concat(F.lit("P"), F.col("p_partkey"), F.lit("."), F.col("p_partkey") % 3)
+    known = t.part.select(F.col("p_brand").alias("gene"), name.alias("transcript"))
+    bare = t.part.where("p_partkey % 7 = 0").select(F.concat(F.lit("P"), F.col("p_partkey")).alias("wanted"))
+    exact = t.part.where("p_partkey % 7 = 1 and p_partkey % 3 = 2").select(name.alias("wanted"))
+    return A.listed_transcripts(known, bare.unionAll(exact), "gene", "transcript")
+
+
+@query("c2_targets_without_transcript", "SELECT 'g' || p_partkey // 4 AS gene, 'no transcript of target g' || p_partkey // 4 AS problem FROM part GROUP BY p_partkey // 4 HAVING count(*) FILTER (WHERE p_size < 10) = 0")
+def c2_without(t: Tables) -> DataFrame:
+    tags = F.when(F.col("p_size") < 10, F.array(F.lit("Ensembl_canonical"))).otherwise(F.array(F.lit("basic")))
+    d = t.part.select(F.concat(F.lit("g"), F.floor(F.col("p_partkey") / 4)).alias("gene"), F.col("p_partkey").alias("transcript"), tags.alias("tags"))
+    return A.without_transcript(d, A.choose_transcript(d, "gene", "transcript", "tags", "canonical"), "gene")

@@ -24,6 +24,17 @@ def choose_transcript(df: DataFrame, gene: str, transcript: str, tags: str, rule
     return df.withColumn("r_", rank).where("r_ is not null").groupBy(gene).agg(F.min(F.struct("r_", transcript)).alias("m_")).select(gene, F.col(f"m_.{transcript}").alias(transcript))
 
 
+def listed_transcripts(known: DataFrame, wanted: DataFrame, gene: str, transcript: str) -> DataFrame:
+    """(gene, transcript): the known transcripts that a list names (column ``wanted``), exactly or as the only one of an unversioned name."""
+    names = match_ids(wanted, known.select(transcript).distinct(), "wanted", transcript)
+    return known.join(names.select(transcript).distinct(), transcript, "left_semi").select(gene, transcript).distinct()
+
+
+def without_transcript(targets: DataFrame, chosen: DataFrame, gene: str) -> DataFrame:
+    """(gene, problem) of all targets that a rule or list finds no transcript for; none may be left out in silence."""
+    return targets.select(gene).distinct().join(chosen.select(gene), gene, "left_anti").withColumn("problem", F.concat(F.lit("no transcript of target "), F.col(gene).cast("string")))
+
+
 def match_ids(wanted: DataFrame, known: DataFrame, left: str, right: str, base: str = r"\.\d+$") -> DataFrame:
     """(left, right): the exact id, else the only known id of the same unversioned name; wanted ids without either are left out."""
     exact = wanted.join(known, wanted[left] == known[right]).select(left, right)

@@ -83,3 +83,8 @@ def result_check(df: DataFrame, group: str, start: str, end: str, oligo: str, ra
     g = neighbour_gaps(df, group, start, end)
     bad = [F.count_if(~F.coalesce(F.col(c).between(*r), F.lit(False))).alias(f"{c}_outside") for c, r in ranges.items()]
     return g.groupBy(group).agg(F.count("*").alias("n"), F.countDistinct(oligo).alias("distinct_oligos"), F.min("gap").alias("min_gap"), (F.max(end) - F.min(start) + 1).alias("span"), *bad)
+
+
+def examples(df: DataFrame, order: list, most: int) -> DataFrame:
+    """The first ``most`` rows of a total order, as a report shows them."""
+    return df.orderBy(*order).limit(most)

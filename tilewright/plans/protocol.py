@@ -8,14 +8,14 @@ from pathlib import Path
 from string import Formatter
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..functions import thermo
 from ..operators import selection, summary
 from ..operators.windows import expand_layouts, number_within, sliding_windows
-from . import similarity
+from . import finishing, similarity
 from .expression import ExpressionError, Typed, compile_expression, problems, references
 
 REQUIRED = ("targets", "extracts", "probes")
@@ -100,13 +100,34 @@ def template_column(template: str, scope: dict[str, Typed]) -> Column:
     return F.concat(*parts) if parts else F.lit("")
 
 
-def construct(df: DataFrame, probes: dict, encoding: dict | None = None, scope: dict[str, Typed] | None = None) -> DataFrame:
-    """``df`` with a column for each probe and part (dots as ``__``). A node that fails for a row is the empty text there."""
+def reads(probes: dict, name: str) -> set[str]:
+    """The probes and parts whose sequence depends on a name, directly or through others. Those that fail to parse do not."""
+    all_nodes = nodes(probes)
+    direct = {}
+    for k, n in all_nodes.items():
+        try:
+            direct[k] = {_resolve(r, k, all_nodes) or r for r in needs(n)}
+        except ExpressionError:
+            direct[k] = set()
+    found: set[str] = set()
+    while more := {k for k, v in direct.items() if k not in found and v & (found | {name})}:
+        found |= more
+    return found
+
+
+def construct(df: DataFrame, probes: dict, encoding: dict | None = None, scope: dict[str, Typed] | None = None, only: set[str] | None = None) -> DataFrame:
+    """``df`` with a column for each probe and part (dots as ``__``). A node that fails for a row is the empty text there.
+
+    With ``only``, just these are built, and the others' columns are read.
+    """
     base = scope or {c: Typed(F.col(c), "number" if t in ("int", "bigint") else "text") for c, t in df.dtypes if t in ("string", "int", "bigint")}
     all_nodes = nodes(probes)
     done: dict[str, Typed] = {}
     for name in ordered(all_nodes):
         n = all_nodes[name]
+        if only is not None and name not in only:
+            done[name] = Typed(F.col(name.replace(".", "__")), "text")
+            continue
         known = dict(base)
         for r in needs(n):
             if (at := _resolve(r, name, all_nodes)) is not None:
@@ -140,7 +161,7 @@ CONDITIONS = {"na_mM": 50, "mg_mM": 0, "dntp_mM": 0.6, "probe_nM": 50, "formamid
 
 def conditions(protocol: dict, attribute: dict) -> dict:
     """The attribute's own, else the protocol's, else the defaults."""
-    return CONDITIONS | (protocol.get("hybridization") or {}) | {k: v for k, v in attribute.items() if k in CONDITIONS}
+    return CONDITIONS | (protocol.get("hybridization") or {}) | finishing.own_conditions(attribute, CONDITIONS)
 
 
 def _temperature(c: Column, method: str, h: dict) -> Column:
@@ -247,17 +268,14 @@ def _searched(df: DataFrame, protocol: dict, tables: dict[str, DataFrame], targe
     return df, [k for k, a in specs.items() if a["type"] == "mapped_sites"]
 
 
-def run(protocol: dict, targets: DataFrame, tables: dict[str, DataFrame] | None = None) -> DataFrame:
-    """The design of a protocol over targets (target, seq): windows, layouts, probes, attributes, selection, numbers.
+def scope_of(df: DataFrame) -> dict[str, Typed]:
+    """The names that expressions may read of a table of windows."""
+    scope = {c: Typed(F.col(c), k) for c, k in (("target_region", "text"), ("target", "text"), ("probe_index", "number")) if c in df.columns}
+    return scope | {c.replace("__", "."): Typed(F.col(c), "text") for c in df.columns if c.startswith("target_parts__")}
 
-    Attributes that are expressions stay row by row in one projection over the numbered windows, with the filters on
-    them; those of ``similarity`` then search the ``tables`` (see there) for what is left. Candidates are numbered in
-    order of extraction (start, size, layout), which also breaks all ties; ``final_index`` numbers the result's rows of
-    each target in its order.
-    """
-    found = analyse(protocol)
-    if found:
-        raise ValueError("; ".join(found))
+
+def candidates(protocol: dict, targets: DataFrame) -> DataFrame:
+    """The numbered windows of targets (target, seq) with their layouts and probes, row by row."""
     region = protocol["extracts"]["target_region"]
     length = region["length"]
     low, high = (length, length) if isinstance(length, int) else length
@@ -269,19 +287,66 @@ def run(protocol: dict, targets: DataFrame, tables: dict[str, DataFrame] | None
         w = w.withColumnsRenamed({f"{k}_seq": f"target_parts__{k}" for k in bounds})
     order = ["start", "size", *(["layout"] if "layout" in w.columns else [])]
     w = number_within(w.drop("seq"), ["target"], order, "probe_index").withColumn("row_id", F.col("probe_index").cast("long"))
-    scope = {c: Typed(F.col(c), k) for c, k in (("target_region", "text"), ("target", "text"), ("probe_index", "number")) if c in w.columns}
-    scope |= {c.replace("__", "."): Typed(F.col(c), "text") for c in w.columns if c.startswith("target_parts__")}
-    w = construct(w, protocol["probes"], protocol.get("encoding"), scope)
-    w = add_attributes(w, protocol)
+    return construct(w, protocol["probes"], protocol.get("encoding"), scope_of(w))
+
+
+def renumbered(df: DataFrame, protocol: dict, order: list[Column], tables: dict[str, DataFrame], targets: DataFrame) -> DataFrame:
+    """The final rows with probe_index 0, 1, ... along each target, and what depends on it made again.
+
+    Filters and order saw the candidates' numbers. Only the probes, parts and attributes that read probe_index, directly
+    or through others, change; a protocol without any keeps its numbers.
+    """
+    nodes_ = reads(protocol["probes"], "probe_index")
+    if not nodes_:
+        return df
+    df = df.withColumn("probe_index", F.row_number().over(Window.partitionBy("target").orderBy("start", *order)) - 1)
+    df = construct(df, protocol["probes"], protocol.get("encoding"), scope_of(df), nodes_)
+    mine = {k: a for k, a in (protocol.get("attributes") or {}).items() if str(a.get("target", "")).replace(":", ".") in nodes_}
+    df = add_attributes(df, protocol | {"attributes": mine})
+    for name, a in mine.items():
+        if a["type"] in similarity.TYPES:
+            df = similarity.add(df.drop(*similarity.columns(name, a["type"])), name, a, column_name(a["target"]), tables, targets, protocol.get("gene_expression") or {})
+    return df
+
+
+def dry_run(spark: SparkSession, protocol: dict, names: list[str], most: int = 200) -> DataFrame:
+    """(probe, n, n_empty, shortest, longest) of each probe and part over windows of made-up bases.
+
+    For the first ``most`` names; of each allowed length at least eight windows, so that several probe numbers occur.
+    Nothing is read and no attribute is computed; n_empty counts the windows for which an expression fails.
+    """
+    length = protocol["extracts"]["target_region"]["length"]
+    n = (length if isinstance(length, int) else length[1]) + 7 * protocol["extracts"]["target_region"].get("step", 1)
+    bases = ("ACGTTGCAAGCTTCGA" * (n // 16 + 1))[:n]
+    w = candidates(protocol, spark.createDataFrame([(t, bases) for t in names[:most]], "target string, seq string"))
+    built = F.explode(F.array(*[F.struct(F.lit(k).alias("probe"), F.length(k.replace(".", "__")).alias("size")) for k in nodes(protocol["probes"])]))
+    return w.select(built.alias("x")).groupBy("x.probe").agg(F.count("*").alias("n"), F.count_if(F.col("x.size") == 0).alias("n_empty"), F.min("x.size").alias("shortest"), F.max("x.size").alias("longest"))
+
+
+def run(protocol: dict, targets: DataFrame, tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The design of a protocol over targets (target, seq): windows, layouts, probes, attributes, selection, numbers.
+
+    Attributes that are expressions stay row by row in one projection over the numbered windows, with the filters on
+    them; those of ``similarity`` then search the ``tables`` (see there) for what is left. Candidates are numbered in
+    order of extraction (start, size, layout), which also breaks all ties; ``final_index`` numbers the result's rows of
+    each target in its order. Probes that read probe_index are made again with the final numbers along the target, and
+    declared modifications stand beside the sequences.
+    """
+    found = analyse(protocol)
+    if found:
+        raise ValueError("; ".join(found))
+    w = add_attributes(candidates(protocol, targets), protocol)
     for k in protocol["probes"]:
         w = w.where(F.length(k) > 0)
     w, site_columns = _searched(w, protocol, tables or {}, targets)
     post = protocol.get("post_process") or {}
     out = post_process(w, post, site_columns=site_columns)
     sorts = post.get("sorts") or {}
-    keys = selection.rank_order(out, sorts.get("is_ascending") or [], sorts.get("is_descending") or [])
+    up, down = sorts.get("is_ascending") or [], sorts.get("is_descending") or []
+    keys = selection.rank_order(out, up, down)
     out = out.withColumn("final_index", F.row_number().over(Window.partitionBy("target").orderBy(*keys)) - 1)
-    return selection.sort_table(out, sorts.get("is_ascending") or [], sorts.get("is_descending") or [])
+    out = renumbered(out, protocol, [F.col("final_index")], tables or {}, targets)
+    return finishing.annotate(selection.sort_table(out, up, down), protocol["probes"])
 
 
 def analyse(protocol: dict) -> list[str]:
@@ -307,6 +372,7 @@ def analyse(protocol: dict) -> list[str]:
             out.append(f"probes.{k}: needs an expr or a template")
         else:
             out += [f"probes.{k}: template names {r!r}, which is no part or probe" for r in needs(n) if not _resolve(r, k, all_nodes)]
+    out += finishing.declaration_problems(protocol["probes"])
     attributes = protocol.get("attributes") or {}
     columns = {x.replace(".", "__") for x in names} | {k.replace(".", "__") for k in all_nodes}
     for k, a in attributes.items():
@@ -348,13 +414,19 @@ def closest(word: str, known: list[str]) -> str:
     return f"; did you mean {best!r}?" if best and 2 * len(own & pairs(best)) >= 0.5 * (len(own) + len(pairs(best))) else ""
 
 
-def with_defaults(protocol: dict) -> dict:
-    """The protocol with GC and temperature attributes and filters for its first probe where it has none."""
+def with_defaults(protocol: dict, temperature: bool = False) -> dict:
+    """The protocol with GC and temperature attributes and a GC filter for its first probe where it has none.
+
+    With ``temperature`` also the filter of ``finishing.temperature_window``, for probes of the usual lengths.
+    """
     if protocol.get("attributes"):
         return protocol
     first = next(iter(protocol["probes"]))
     attributes = {"target_gc": {"target": "target_region", "type": "gc_content"}, "probe_tm": {"target": first, "type": "annealing_temperature"}}
     filters = {"target_gc": {"condition": "target_gc >= 0.4 & target_gc <= 0.6"}}
+    if temperature:
+        low, high, _ = finishing.temperature_window(protocol | {"attributes": attributes}, "probe_tm", CONDITIONS)
+        filters["probe_tm"] = {"condition": f"probe_tm >= {low} & probe_tm <= {high}"}
     post = {"filters": filters, "remove_overlap": {"location_interval": 0}} | (protocol.get("post_process") or {})
     return protocol | {"attributes": attributes, "post_process": post}
 
@@ -369,4 +441,4 @@ def outcome(funnel: DataFrame) -> DataFrame:
     return funnel.withColumn("outcome", F.when(F.col("final") == 0, "none").when(F.col("final") < F.col("candidates"), "some").otherwise("all"))
 
 
-__all__ = ["analyse", "construct", "load", "nodes", "ordered", "outcome", "post_process", "run", "summary", "template_column", "with_defaults"]
+__all__ = ["analyse", "candidates", "construct", "dry_run", "load", "nodes", "ordered", "outcome", "post_process", "run", "summary", "template_column", "with_defaults"]

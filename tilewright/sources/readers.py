@@ -140,3 +140,23 @@ def result_table(spark: SparkSession, path: str) -> DataFrame:
 
 def without_version(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, strip_version(column))
+
+
+def read_step(spark: SparkSession, path: str) -> DataFrame:
+    """A step's saved table: Parquet, or CSV with a header by the file's name."""
+    return read_rows(spark, path) if ".csv" in Path(path).name.lower() else spark.read.parquet(path)
+
+
+def read_rows(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV table, plain or compressed, all columns as text; a byte order mark before the header is no part of it."""
+    df = spark.read.csv(path, header=True, escape='"', multiLine=True)
+    return df.toDF(*[c.removeprefix("\ufeff").strip('"') for c in df.columns])
+
+
+def barcode_table(spark: SparkSession, path: str) -> DataFrame:
+    """(barcode, sequence) of the rows of exactly two fields, without a header; of rows of one name the last stays.
+
+    An empty second field counts as a missing one.
+    """
+    rows = spark.read.csv(path, schema="barcode string, sequence string, more_ string").where("barcode is not null and sequence is not null and more_ is null")
+    return rows.withColumn("at_", F.monotonically_increasing_id()).groupBy("barcode").agg(F.max_by("sequence", "at_").alias("sequence"))

@@ -57,3 +57,17 @@ def write_summary(summary: dict, path: str) -> None:
     part = p.with_suffix(".part")
     part.write_text(json.dumps({"schema_version": 1} | summary, indent=1, default=str))
     part.replace(p)
+
+
+def write_step(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """A step's table as Parquet, read back: the next step starts from the files, not from the plan before."""
+    path = f"{folder.rstrip('/')}/{name}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def write_barcodes(df: DataFrame, folder: str, name: str, seq: str = "sequence") -> None:
+    """Barcodes as ``name.csv`` (a header and one column) and ``name.txt`` (one a line)."""
+    one = df.select(F.col(seq).alias("sequence"))
+    one.write.csv(f"{folder.rstrip('/')}/{name}.csv", header=True, mode="overwrite")
+    one.write.mode("overwrite").text(f"{folder.rstrip('/')}/{name}.txt")
