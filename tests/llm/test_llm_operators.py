@@ -576,6 +576,21 @@ def test_short_names_without_a_version():
     assert found("released under the gpl version 3") == {"gpl-3"} and found("available under the mpl 2 0") == {"mpl-2"}
 
 
+def test_license_notices():
+    """Sentences of license texts, the words around them whatever they are; the longer and surer rule wins."""
+    found = lambda t: {x[2] for x in licenses.detections(" ".join(re.findall(r"[a-z0-9]+", t.lower())))}
+    assert found("Neither the name of Some Company, Inc. nor the names of its contributors may be used to endorse or promote products") == {"bsd-3-clause"}
+    assert found("You may not use this file except in compliance with the License.") == {"apache-2"}
+    assert found("see https://creativecommons.org/licenses/by-nc-sa/4.0/ there") == {"cc-by-nc-sa"}
+    assert found("see https://creativecommons.org/licenses/by-nc/4.0/ there") == {"cc-by-nc"}
+    assert found("see https://creativecommons.org/licenses/by/4.0/ there") == {"cc-by"}
+    assert found("The origin of this software must not be misrepresented") == {"zlib"}
+    assert found("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.") == {"mpl"}
+    assert found("No part of this book may be reproduced. Copyright 2001") == {"all-rights-reserved", "copyright-notice"}
+    assert found("Permission is granted to anyone who asks about warranted options and liability in government") == set()
+    assert found("The Software shall be used for Good, not Evil. It is licensed so.") == {"json"}
+
+
 def test_licenses_of_hard_rows(hard, empty):
     assert len(licenses.scan_licenses(hard).toPandas()) == len(HARD)
     assert licenses.scan_licenses(empty).count() == 0
