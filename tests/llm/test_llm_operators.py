@@ -341,10 +341,11 @@ def test_signatures_cover_all_links():
             if len(b) and 100 * i >= 75 * (len(a) + len(b) - i):
                 sig, own = jaccard_join.signatures([a, b])
                 assert set(sig[own == 0].tolist()) & set(sig[own == 1].tolist()), (size, len(a), len(b), i)
-                assert jaccard_join._differ(jaccard_join.sketch(a), jaccard_join.sketch(b)) <= len(a) + len(b) - 2 * i
+                both, one, other = [jaccard_join.sketch(a), jaccard_join.sketch(b)], np.array([0]), np.array([1])
+                assert jaccard_join._alike(both, one, other, np.array([len(a) + len(b) - 2 * i])).all()
 
 
-def test_large_group_of_near_copies(spark, monkeypatch):
+def test_runs_dealt_over_blocks(spark, monkeypatch):
     """Every member differs from every other; signatures are shared by many, and runs are dealt over blocks."""
     monkeypatch.setattr(jaccard_join, "RUN_BLOCK", 50)
     r = random.Random(5)
