@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, html_text, jaccard_join, language, licenses, packing, pii, quality, urls
+from . import decontaminate, filter_audit, fingerprint, html_text, jaccard_join, language, licenses, packing, periodic, pii, quality, substrings, urls
 from .session import ship, table
 
 
@@ -64,6 +64,21 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return periodic.run_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    out = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_language_id": op2_language_id,
@@ -75,6 +90,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_url_filters": op9_url_filters,
     "op10_license_scans": op10_license_scans,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
-ORACLE: dict[str, str] = {"op6_ngram_jaccard_join": jaccard_join.ORACLE_SQL, "op8_benchmark_decontamination": decontaminate.ORACLE_SQL}
+ORACLE: dict[str, str] = {
+    "op6_ngram_jaccard_join": jaccard_join.ORACLE_SQL,
+    "op8_benchmark_decontamination": decontaminate.ORACLE_SQL,
+    "op12_filter_audit": filter_audit.ORACLE_SQL,
+    "op13_substring_dedup": substrings.ORACLE_SQL,
+}

@@ -98,3 +98,28 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 def row_bounds(rows: np.ndarray, n: int) -> np.ndarray:
     """Where each of n rows begins in a sorted array of row numbers, and the end."""
     return np.searchsorted(rows, np.arange(n + 1))
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    h = a * MULTIPLIER + b
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    return h
+
+
+def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all windows of ``width`` neighbours, whatever rows they lie in: windows of powers of two, put together."""
+    n = len(h) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out, done, size = None, 0, 1
+    while True:
+        if width & size:
+            part = h[done : done + n]
+            out = mix(part) if out is None else _pair(out, part)
+            done += size
+        if done == width:
+            return out
+        h = _pair(h[:-size], h[size:])
+        size *= 2
