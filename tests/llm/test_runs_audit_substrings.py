@@ -269,7 +269,7 @@ def test_one_passage_in_all_rows(spark, monkeypatch):
     rows = [(i, f"a{i} b{i} {passage} c{i}") for i in range(300)] + [(1000 + i, passage) for i in range(100)]
     sent = []
     meet = substrings._meet
-    monkeypatch.setattr(substrings, "_meet", lambda packed, deals, bits, all_again: (sent.append(packed.where("hashes is not null").selectExpr("sum(length(own)) / 2 n").first().n), meet(packed, deals, bits, all_again))[1])
+    monkeypatch.setattr(substrings, "_meet", lambda packed, *a: (sent.append(packed.where("hashes is not null").selectExpr("sum(length(own)) / 2 n").first().n), meet(packed, *a))[1])
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
     assert repeats(docs) == brute_repeats(rows)
     assert sum(sent) < 300 * 8 + 60 * 2 * 20  # of about 25,000 anchors and 16,000 windows

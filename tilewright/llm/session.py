@@ -47,11 +47,16 @@ def cut(df: DataFrame) -> DataFrame:
     half an hour later; operators of many steps ask for it at each, so that earlier steps' files do not pile up.
     """
     shared_dir(df.sparkSession)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    release(df.sparkSession)
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Ask for the removal of the shuffle files of steps that are over; before a last, large step that is not cut."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def free_name(df: DataFrame, *wanted: str) -> list[str]:
     """Names like ``wanted`` that no column of ``df`` has (Spark's names ignore case)."""
     taken = {c.lower() for c in df.columns}

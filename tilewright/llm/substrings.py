@@ -7,8 +7,8 @@ all windows are judged on the input.
 1. Anchors of ``width - period + 1`` words are hashed only where the place modulo the period lies in a difference
    cover. For any two places some shift below the period puts both into the cover, so two equal windows share an
    aligned anchor inside. Anchors are dealt by their hash; those that occur once are done with.
-2. Places of anchors that occur again return to their documents, where each is extended to the windows around it.
-   Windows are dealt by hash; all but the earliest place of each repeat. Of an anchor 32 bits are compared within a
+2. Places of anchors that occur again return to their documents, where each is extended to the windows around it:
+   spans of their starts, a row a document. Windows are dealt by hash; all but the earliest place of each repeat. Of an anchor 32 bits are compared within a
    deal, as a false meeting only costs windows; of a window 64 beside the independent bits it is dealt by.
 3. Places of repeating windows return to their documents, which drop the words they cover.
 
@@ -23,7 +23,7 @@ an empty one; further columns stay.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import compress
 
 import numpy as np
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import cut, free_name, shuffle_partitions
+from .session import cut, free_name, release, shuffle_partitions
 from .vectors import MULTIPLIER, SPACED, chunks, mix, row_bounds, span_hashes, window_hashes, words
 
 WIDTH = 20
@@ -82,8 +82,7 @@ class Group:
         deal = (second >> np.uint64(32)).astype(np.int64) * deals >> 32
         yield from self._rows(deal[new], first[new], np.where(again, len(names), own)[new], place[new], names, bits)
         own, place = own[again], place[again]
-        home = (mix(names.astype(np.uint64).sum(1)) >> np.uint64(32)).astype(np.int64)[own] * deals >> 32
-        yield from self._rows(home, None, own, place, names, bits)
+        yield from self._rows(_home(names, deals)[own], None, own, place, names, bits)
 
     @staticmethod
     def _rows(deal: np.ndarray, hashes: np.ndarray | None, own: np.ndarray, place: np.ndarray, names: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
@@ -108,21 +107,25 @@ class Group:
 
 
 PACKED = "deal int, hashes binary, own binary, place binary, names binary"
-PLACES = "key long, hash long, places binary"
+SPANS = "key long, hash long, spans binary"
 
 
-def _by_document(key: np.ndarray, hash_: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _home(names: np.ndarray, deals: int) -> np.ndarray:
+    """Where the places of each document are gathered."""
+    return (mix(names.astype(np.uint64).sum(1)) >> np.uint64(32)).astype(np.int64) * deals >> 32
+
+
+def _numbered(key: np.ndarray, hash_: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents (key, hash) in order, and for each place, by document and place, its document's number."""
     by = np.lexsort((place, hash_, key))
-    key, hash_, place = key[by], hash_[by], place[by].astype("<u4")
-    starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (hash_[1:] != hash_[:-1]))) if len(key) else np.zeros(0, np.int64)
-    ends = np.append(starts[1:], len(key))
-    for a in range(0, len(starts), 5_000):
-        s, e = starts[a : a + 5_000], ends[a : a + 5_000]
-        yield pa.RecordBatch.from_arrays([pa.array(key[s]), pa.array(hash_[s]), pa.array([place[x:y].tobytes() for x, y in zip(s, e, strict=True)], pa.binary())], ["key", "hash", "places"])
+    names = np.stack([key[by], hash_[by]], 1)
+    new = np.ones(len(by), bool)
+    new[1:] = (names[1:] != names[:-1]).any(1)
+    return names[new], np.cumsum(new) - 1, place[by]
 
 
-def _met(blobs: list[tuple], bits: int, all_again: bool) -> Iterator[pa.RecordBatch]:
-    """Places, by document, of what is known to repeat and of what meets another place with its hash."""
+def _met(blobs: list[tuple], deals: int, bits: int, all_again: bool) -> Iterator[pa.RecordBatch]:
+    """Places of what is known to repeat and of what meets another place with its hash, dealt by document."""
     key, hash_, place, hashes, asks = [], [], [], [], []
     for h, own, at, names in blobs:
         table = np.append(np.frombuffer(names, "<i8").reshape(-1, 2), [[0, 0]], 0)
@@ -147,11 +150,28 @@ def _met(blobs: list[tuple], bits: int, all_again: bool) -> Iterator[pa.RecordBa
         least = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
         met = (k[by] != k[least]) | (x[by] != x[least]) | (p[by] != p[least])
     keep = np.append(by[met & (p[by] >= 0)], np.flatnonzero(sure))
-    yield from _by_document(k[keep], x[keep], p[keep])
+    names, own, place = _numbered(k[keep], x[keep], p[keep])
+    yield from Group._rows(_home(names, deals)[own], None, own, place, names, bits)
+
+
+def _spans(blobs: list[tuple], before: int) -> Iterator[pa.RecordBatch]:
+    """A row a document: the union of the spans from ``before`` ahead of each place to it, as pairs (start, end)."""
+    tables = [np.frombuffer(names, "<i8").reshape(-1, 2)[np.frombuffer(own, "<u2")] for _, own, _, names in blobs]
+    table, place = np.concatenate(tables), np.concatenate([np.frombuffer(at, "<u4").astype(np.int64) for _, _, at, _ in blobs])
+    del tables
+    names, own, place = _numbered(table[:, 0], table[:, 1], place)
+    first = np.ones(len(own), bool)
+    first[1:] = (own[1:] != own[:-1]) | (place[1:] - before > place[:-1] + 1)
+    last = np.append(first[1:], True)
+    pairs = np.stack([np.maximum(place[first] - before, 0), place[last] + 1], 1).astype("<u4")
+    bounds = np.searchsorted(own[first], np.arange(len(names) + 1))
+    for a in range(0, len(names), 5_000):
+        b = min(a + 5_000, len(names))
+        yield pa.RecordBatch.from_arrays([pa.array(names[a:b, 0].copy()), pa.array(names[a:b, 1].copy()), pa.array([pairs[x:y].tobytes() for x, y in zip(bounds[a:b], bounds[a + 1 : b + 1], strict=True)], pa.binary())], ["key", "hash", "spans"])
 
 
-def _meet(packed: DataFrame, deals: int, bits: int, all_again: bool) -> DataFrame:
-    """(key, hash, places): for each document the places that repeat, of one or more deals."""
+def _dealt(packed: DataFrame, deals: int, done: Callable[[list[tuple]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What ``done`` makes of all blobs of each deal."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_deal: dict[int, list[tuple]] = {}
@@ -159,10 +179,16 @@ def _meet(packed: DataFrame, deals: int, bits: int, all_again: bool) -> DataFram
             for deal, *blobs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 by_deal.setdefault(deal, []).append(tuple(blobs))
         for deal in sorted(by_deal):
-            yield from _met(by_deal.pop(deal), bits, all_again)
+            yield from done(by_deal.pop(deal))
         pa.default_memory_pool().release_unused()
 
-    return packed.repartitionById(deals, "deal").mapInArrow(run, PLACES)
+    return packed.repartitionById(deals, "deal").mapInArrow(run, schema)
+
+
+def _meet(packed: DataFrame, deals: int, bits: int, all_again: bool, before: int) -> DataFrame:
+    """(key, hash, spans): a row for each document with places that repeat. They travel packed, to their hash and back."""
+    met = _dealt(packed, deals, lambda blobs: _met(blobs, deals, bits, all_again), PACKED)
+    return _dealt(met, deals, lambda blobs: _spans(blobs, before), SPANS)
 
 
 def _hashed(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -187,7 +213,7 @@ def _cover_places(bounds: np.ndarray, width: int, period: int) -> tuple[np.ndarr
 
 
 def repeated_anchors(docs: DataFrame, deals: int, width: int = WIDTH, period: int = PERIOD) -> DataFrame:
-    """(key, hash, places) of the anchors of ``docs`` (key, hash, text) that occur more than once."""
+    """(key, hash, spans): starts of the windows of ``docs`` (key, hash, text) around anchors that occur more than once."""
     size = width - period + 1
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,19 +230,18 @@ def repeated_anchors(docs: DataFrame, deals: int, width: int = WIDTH, period: in
         yield from group.send(deals, 32, True)
         pa.default_memory_pool().release_unused()
 
-    return _meet(docs.select("key", "hash", "text").mapInArrow(emit, PACKED), deals, 32, True)
+    return _meet(docs.select("key", "hash", "text").mapInArrow(emit, PACKED), deals, 32, True, period - 1)
 
 
-def _around(anchors: np.ndarray, n: int, width: int, period: int) -> np.ndarray:
-    """Starts of the windows of n words that hold one of the anchors."""
-    change = np.zeros(n - width + 2, np.int64)
-    np.add.at(change, np.clip(anchors - (period - 1), 0, n - width + 1), 1)
-    np.add.at(change, np.clip(anchors + 1, 0, n - width + 1), -1)
-    return np.flatnonzero(np.cumsum(change)[:-1] > 0)
+def _each(spans: bytes, most: int) -> np.ndarray:
+    """The numbers up to ``most`` of spans (start, end) that do not overlap."""
+    a, b = np.frombuffer(spans, "<u4").reshape(-1, 2).astype(np.int64).T
+    size = np.clip(np.minimum(b, most + 1) - a, 0, None)
+    return np.arange(int(size.sum())) + np.repeat(a - np.append(0, np.cumsum(size)[:-1]), size)
 
 
-def repeated_windows(docs: DataFrame, deals: int, width: int = WIDTH, period: int = PERIOD) -> DataFrame:
-    """(key, hash, places) of the windows that stand earlier too, of ``docs`` (key, hash, text, found: its anchors)."""
+def repeated_windows(docs: DataFrame, deals: int, width: int = WIDTH) -> DataFrame:
+    """(key, hash, spans): starts of the windows that stand earlier too, of ``docs`` (key, hash, text, spans to look at)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = Group()
@@ -224,12 +249,10 @@ def repeated_windows(docs: DataFrame, deals: int, width: int = WIDTH, period: in
             keys, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for a, b, h, bounds in _hashed(batch.column(2)):
                 at, row = [], []
-                for i, blobs in enumerate(batch.column(3).slice(a, b - a).to_pylist()):
-                    n = int(bounds[i + 1] - bounds[i])
-                    if n >= width:
-                        starts = _around(np.frombuffer(b"".join(blobs), "<u4").astype(np.int64), n, width, period)
-                        at.append(starts + bounds[i])
-                        row.append(np.full(len(starts), i))
+                for i, spans in enumerate(batch.column(3).slice(a, b - a).to_pylist()):
+                    starts = _each(spans, int(bounds[i + 1] - bounds[i]) - width)
+                    at.append(starts + bounds[i])
+                    row.append(np.full(len(starts), i))
                 at, row = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (at, row))
                 g = window_hashes(h, width)[at] if len(at) else np.zeros(0, np.uint64)
                 other = window_hashes(mix(h), width)[at] if len(at) else g
@@ -240,12 +263,7 @@ def repeated_windows(docs: DataFrame, deals: int, width: int = WIDTH, period: in
         yield from group.send(deals, 64, False)
         pa.default_memory_pool().release_unused()
 
-    return _meet(docs.select("key", "hash", "text", "found").mapInArrow(emit, PACKED), deals, 64, False)
-
-
-def _with_places(docs: DataFrame, places: DataFrame, how: str) -> DataFrame:
-    found = places.groupBy(F.col("key").alias("key_"), F.col("hash").alias("hash_")).agg(F.collect_list("places").alias("found"))
-    return docs.join(found, (F.col("key") == F.col("key_")) & (F.col("hash") == F.col("hash_")), how).drop("key_", "hash_")
+    return _meet(docs.select("key", "hash", "text", "spans").mapInArrow(emit, PACKED), deals, 64, False, 0)
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, period: int = PERIOD, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -260,11 +278,11 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, period: int = PERIOD, ke
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     deals = max(shuffle_partitions(docs.sparkSession), -(-total // BYTES_PER_DEAL))
     anchors = cut(repeated_anchors(rows, deals, width, period))
-    windows = cut(repeated_windows(_with_places(rows, anchors, "inner"), deals, width, period))
-    names = free_name(docs, "key", "hash", "found", "n_words", "n_removed", "kept")
+    windows = cut(repeated_windows(rows.join(anchors, ["key", "hash"]), deals, width))
+    release(docs.sparkSession)
+    names = free_name(docs, "key", "hash", "spans", "n_words", "n_removed", "kept")
     out = docs.withColumns({names[0]: order, names[1]: hash_})
-    found = windows.groupBy(F.col("key").alias(names[0]), F.col("hash").alias(names[1])).agg(F.collect_list("places").alias(names[2]))
-    out = out.join(found, [names[0], names[1]], "left").select(*docs.columns, names[2])
+    out = out.join(windows.select(*(F.col(c).alias(n) for c, n in zip(windows.columns, names[:3], strict=True))), [names[0], names[1]], "left").select(*docs.columns, names[2])
     schema = docs.select("*", F.lit(0).cast("long").alias(names[3]), F.lit(0).cast("long").alias(names[4]), F.lit("").alias(names[5])).schema
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,17 +291,16 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, period: int = PERIOD, ke
             for a in range(0, batch.num_rows, 100):
                 some = batch.slice(a, 100)
                 cols: list[list] = [[], [], []]
-                for t, blobs in zip(texts.slice(a, 100).to_pylist(), some.column(some.num_columns - 1).to_pylist(), strict=True):
+                for t, spans in zip(texts.slice(a, 100).to_pylist(), some.column(some.num_columns - 1).to_pylist(), strict=True):
                     w = t.split()  # on bytes: the white space of ASCII only
-                    gone = 0
-                    if blobs:
+                    kept = w
+                    if spans:
                         change = np.zeros(len(w) + 1, np.int64)
-                        starts = np.frombuffer(b"".join(blobs), "<u4").astype(np.int64)
-                        np.add.at(change, starts, 1)
-                        np.add.at(change, starts + width, -1)
+                        pairs = np.frombuffer(spans, "<u4").reshape(-1, 2).astype(np.int64)
+                        np.add.at(change, pairs[:, 0], 1)
+                        np.add.at(change, pairs[:, 1] - 1 + width, -1)
                         kept = list(compress(w, (np.cumsum(change[:-1]) == 0).tolist()))
-                        gone = len(w) - len(kept)
-                    for c, x in zip(cols, (len(w), gone, b" ".join(kept if blobs else w)), strict=True):
+                    for c, x in zip(cols, (len(w), len(w) - len(kept), b" ".join(kept)), strict=True):
                         c.append(x)
                 new = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()).cast(pa.string())]
                 yield pa.RecordBatch.from_arrays([*some.columns[:-1], *new], [*some.schema.names[:-1], *names[3:]])
