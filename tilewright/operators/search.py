@@ -22,6 +22,7 @@ def mismatch_sites(queries: DataFrame, records: DataFrame, query: str, record: s
     of the same length, and whole sites are then compared. Lengths are grouped, so a records' word is made once for
     each length and piece size that occurs, and carries only the bases around it that the longest query can reach (a
     small job finds its length first), so what is shuffled grows with the records. strand: sense, antisense or both.
+    A query of no more bases than mismatches has a piece of none, which fits anywhere: those are laid on every place.
     """
     strands = {"sense": ["+"], "antisense": ["-"], "both": ["+", "-"]}[strand]
     q = queries.select(F.col(query).alias("query"), F.explode(F.array(*[F.struct(F.lit(s).alias("strand"), (F.col(query) if s == "+" else reverse_complement(query)).alias("word")) for s in strands])).alias("x"))
@@ -29,7 +30,8 @@ def mismatch_sites(queries: DataFrame, records: DataFrame, query: str, record: s
     n = mismatches + 1
     size = F.length("word")
     pieces = F.transform(F.sequence(F.lit(0), F.lit(mismatches)), lambda i: F.struct(F.floor(i * size / n).cast("int").alias("at"), (F.floor((i + 1) * size / n) - F.floor(i * size / n)).cast("int").alias("k")))
-    q = q.withColumn("p", F.explode(pieces)).where("p.k > 0").select("query", "strand", "word", "p.at", "p.k", F.substring(F.col("word"), F.col("p.at") + 1, F.col("p.k")).alias("seed"))
+    short = _short_sites(q.where(size <= mismatches), records, record, seq)
+    q = q.where(size > mismatches).withColumn("p", F.explode(pieces)).select("query", "strand", "word", "p.at", "p.k", F.substring(F.col("word"), F.col("p.at") + 1, F.col("p.k")).alias("seed"))
     reach = queries.agg(F.max(F.length(F.col(query)))).first()[0] or 0
     lengths = q.select("k").distinct()
     r = records.select(F.col(record).alias("record"), F.col(seq).alias("seq")).crossJoin(F.broadcast(lengths))  # as many lengths as queries have
@@ -38,7 +40,15 @@ def mismatch_sites(queries: DataFrame, records: DataFrame, query: str, record: s
     r = r.withColumn("seq", F.substring(F.col("seq"), F.col("left") + 1, F.lit(2 * reach) + F.col("k")))
     both = q.join(r, ["k", "seed"]).withColumn("start0", F.col("seed_start") - 1 - F.col("at")).where((F.col("start0") >= 0) & (F.col("start0") + F.length("word") <= F.col("n")))
     found = both.withColumn("mismatches", hamming(F.col("word"), F.substring(F.col("seq"), F.col("start0") - F.col("left") + 1, F.length("word"))))
-    return found.where(F.col("mismatches") <= mismatches).select("query", "strand", "record", "start0", "mismatches").distinct()
+    return found.where(F.col("mismatches") <= mismatches).select("query", "strand", "record", "start0", "mismatches").distinct().unionByName(short)
+
+
+def _short_sites(q: DataFrame, records: DataFrame, record: str, seq: str) -> DataFrame:
+    """(query, strand, record, start0, mismatches) of all places of words no longer than the mismatches allowed: joined by
+    their length, of which there are few, with the records' words."""
+    r = records.select(F.col(record).alias("record"), F.col(seq).alias("seq")).join(F.broadcast(q.select(F.length("word").alias("k")).distinct()), F.length("seq") >= F.col("k"))
+    r = r.where("k > 0").withColumn("start0", F.explode(F.sequence(F.lit(0), F.length("seq") - F.col("k")))).select("record", "start0", "k", F.substring(F.col("seq"), F.col("start0") + 1, F.col("k")).alias("there"))
+    return q.join(r, F.length("word") == F.col("k")).select("query", "strand", "record", "start0", hamming(F.col("word"), F.col("there")).alias("mismatches"))
 
 
 def heuristic_sites(queries: DataFrame, records: DataFrame, query: str, record: str, seq: str, seed: int = 12, most: int = 100) -> DataFrame:

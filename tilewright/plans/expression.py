@@ -1,6 +1,6 @@
 """A small expression language over sequences, compiled to Catalyst columns.
 
-Literals (text, whole numbers), dotted names, subscripts and slices, ``+`` on two texts or two numbers, ``%`` on two
+Literals (text, whole numbers), dotted names (``target_parts['x']`` too), subscripts and slices, ``+`` on two texts or two numbers, ``%`` on two
 numbers, unary minus and ``rc()``. Names are looked up in a scope of columns; ``encoding[...][...]`` is looked up in a
 nested mapping by literals. What cannot be computed for a row (index out of range, unknown key) is null.
 """
@@ -26,11 +26,17 @@ class Typed:
     kind: str  # text or number
 
 
+#: Names whose constant subscripts are dotted names: ``target_parts['left']`` is ``target_parts.left``.
+RECORDS = ("target_parts",)
+
+
 def _name(node: ast.AST) -> str | None:
     if isinstance(node, ast.Name):
         return node.id
     if isinstance(node, ast.Attribute) and (head := _name(node.value)):
         return f"{head}.{node.attr}"
+    if isinstance(node, ast.Subscript) and _name(node.value) in RECORDS and isinstance(node.slice, ast.Constant) and isinstance(node.slice.value, str):
+        return f"{_name(node.value)}.{node.slice.value}"
     return None
 
 

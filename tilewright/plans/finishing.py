@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,47 +19,52 @@ WIDE_WINDOW, WIDTH, BODY = (50, 90), 40, 37
 CHEMISTRY = "array<struct<probe:string,type:string,position:string,name:string,after_base:int>>"
 
 
+@dataclass(frozen=True)
+class Place:
+    """What may be declared at a position of a probe: types, fields beside the type, and whether it is a list."""
+
+    types: tuple[str, ...]
+    fields: tuple[str, ...]
+    several: bool
+
+
+PLACES = {"5prime": Place(AT_ENDS, ("name",), False), "3prime": Place(AT_ENDS, ("name",), False), "internal": Place(ON_BONDS, ("name", "after_base"), True)}
+#: What each field must be: (applies to a record of a place, holds, what to say if not).
+FIELD_RULES = (
+    (lambda r, p: True, lambda r, p: r.get("type") in p.types, "type {type!r} does not go here"),
+    (lambda r, p: True, lambda r, p: {*r} <= {"type", *p.fields}, "unknown field besides type, {fields}"),
+    (lambda r, p: r.get("type") == "fluorophore", lambda r, p: str(r.get("name") or "").strip() != "", "a fluorophore has a name"),
+    (lambda r, p: r.get("type") != "fluorophore", lambda r, p: str(r.get("name") or "").strip() == "", "only a fluorophore has a name"),
+    (lambda r, p: "after_base" in p.fields, lambda r, p: type(r.get("after_base")) is int and r["after_base"] > 0, "after_base must be a whole number from 1"),
+)
+
+
 def modifications(probe: str, spec: object) -> tuple[list[dict], list[str]]:
     """(records, problems) of what a probe declares: ``5prime`` and ``3prime`` hold one, ``internal`` a list of bonds.
 
-    A bond is named by the base before it, counted from 1. One place holds one modification.
+    A bond is named by the base before it, counted from 1. One place holds one modification, the first that is named.
     """
+    here = f"probes.{probe}.modifications"
     if not isinstance(spec, dict):
-        return [], [f"probes.{probe}.modifications: must map 5prime, 3prime or internal"]
-    records, found, taken = [], [], set()
-    for position, value in spec.items():
-        at = f"probes.{probe}.modifications.{position}"
-        inside = position == "internal"
-        if position not in ("5prime", "3prime", "internal"):
-            found.append(f"{at}: unknown position")
-        elif inside and not isinstance(value, list):
-            found.append(f"{at}: must be a list")
-        else:
-            for i, item in enumerate(value if inside else [value]):
-                one = {"type": item} if isinstance(item, str) and not inside else item
-                problem = _problem(one, inside)
-                place = (position, one.get("after_base")) if not problem else None
-                if problem or place in taken:
-                    found.append(f"{at}{f'[{i}]' if inside else ''}: {problem or 'this place is taken'}")
-                else:
-                    taken.add(place)
-                    records.append({"probe": probe, "type": one["type"], "position": position, "name": one.get("name"), "after_base": one.get("after_base")})
-    return records, found
-
-
-def _problem(one: object, inside: bool) -> str | None:
-    if not isinstance(one, dict):
-        return "must have a type"
-    kind, base = one.get("type"), one.get("after_base")
-    if kind not in (ON_BONDS if inside else AT_ENDS):
-        return f"type {kind!r} does not go here"
-    if unknown := set(one) - {"type", "name", *(["after_base"] if inside else [])}:
-        return f"unknown field {min(unknown)!r}"
-    if (kind == "fluorophore") != bool(str(one.get("name") or "").strip()):
-        return "a fluorophore, and nothing else, has a name"
-    if inside and (not isinstance(base, int) or isinstance(base, bool) or base < 1):
-        return "after_base must be a whole number from 1"
-    return None
+        return [], [f"{here}: must map 5prime, 3prime or internal"]
+    found = [f"{here}.{k}: unknown position" for k in spec if k not in PLACES]
+    found += [f"{here}.{k}: must be a list" for k, v in spec.items() if k in PLACES and PLACES[k].several and not isinstance(v, list)]
+    named = [(f"{here}.{k}", k, v) for k, v in spec.items() if k in PLACES and not PLACES[k].several]
+    named += [(f"{here}.{k}[{i}]", k, v) for k, items in spec.items() if k in PLACES and PLACES[k].several and isinstance(items, list) for i, v in enumerate(items)]
+    records: dict[tuple, dict] = {}
+    for at, position, given in named:
+        place = PLACES[position]
+        record = {"type": given} if isinstance(given, str) and not place.several else given
+        wrong = ["must have a type"] if not isinstance(record, dict) else [
+            text.format(type=record.get("type"), fields=", ".join(place.fields)) for applies, holds, text in FIELD_RULES if applies(record, place) and not holds(record, place)
+        ]
+        full = {"probe": probe, "position": position} | ({c: record.get(c) for c in ("type", "name", "after_base")} if not wrong else {})
+        if not wrong and (position, full["after_base"]) in records:
+            wrong = ["this place is taken"]
+        found += [f"{at}: {x}" for x in wrong[:1]]
+        if not wrong:
+            records[position, full["after_base"]] = full
+    return list(records.values()), found
 
 
 def declaration_problems(probes: dict) -> list[str]:
@@ -141,7 +146,10 @@ def list_text(c: Column) -> Column:
 
 def file_stem(name: str) -> str:
     """A name as the start of a file's name: other characters than letters, digits, ``_``, ``.`` and ``-`` as ``_``."""
-    return re.sub(r"[^\w.-]", "_", str(name)).lstrip(".") or "probes"
+    kept = ["_" if not c.isalnum() and c not in "_.-" else c for c in str(name)]
+    while kept and kept[0] == ".":
+        kept.pop(0)
+    return "".join(kept) if kept else "probes"
 
 
 def file_stem_column(c: Column) -> Column:
@@ -157,19 +165,19 @@ def temperature_window(protocol: dict, name: str, defaults: dict) -> tuple[float
     ('protocol'), else body temperature where other conditions are declared ('default'). Without any, and where the
     attribute declares other conditions but no temperature, a wide window without a source.
     """
-    ours = protocol.get("hybridization") or {}
-    own = own_conditions((protocol.get("attributes") or {}).get(name) or {}, defaults)
-    if "temperature_c" in own:
-        low, source = own["temperature_c"], "attribute"
-    elif any(own[k] != ours.get(k, d) for k, d in defaults.items() if k in own):
-        return (*WIDE_WINDOW, None)
-    elif "temperature_c" in ours:
-        low, source = ours["temperature_c"], "protocol"
-    elif any(k in ours for k in defaults):
-        low, source = BODY, "default"
-    else:
-        return (*WIDE_WINDOW, None)
-    return low, low + WIDTH, source
+    given = {"protocol": protocol.get("hybridization") or {}, "attribute": own_conditions((protocol.get("attributes") or {}).get(name) or {}, defaults)}
+    stated = {(who, condition): value for who, block in given.items() for condition, value in block.items()}
+    reaction = {**defaults, **given["protocol"], **given["attribute"]}
+    elsewhere = any(reaction[c] != (defaults | given["protocol"])[c] for c in defaults)  # the attribute's own reaction is another one
+    sources = [
+        (stated.get(("attribute", "temperature_c")), "attribute"),
+        (None if elsewhere else stated.get(("protocol", "temperature_c")), "protocol"),
+        (BODY if not elsewhere and any(("protocol", c) in stated for c in defaults) else None, "default"),
+    ]
+    for low, source in sources:
+        if low is not None:
+            return low, low + WIDTH, source
+    return (*WIDE_WINDOW, None)
 
 
 def own_conditions(attribute: dict, defaults: dict) -> dict:

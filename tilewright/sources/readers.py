@@ -38,7 +38,7 @@ def gene_table(gtf: DataFrame) -> DataFrame:
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(name, seq): the header up to white space, the body's lines joined. Records may span any number of lines."""
-    r = spark.read.text(path, lineSep=">").where(F.length(F.trim("value")) > 0)
+    r = spark.read.text(path, lineSep="\n>").where(F.length(F.trim("value")) > 0).select(F.regexp_replace("value", "^>", "").alias("value"))
     head = F.substring_index("value", "\n", 1)
     return r.select(F.regexp_extract(head, r"^(\S*)", 1).alias("name"), F.regexp_replace(F.substring(F.col("value"), F.length(head) + 1, F.length("value")), r"\s+", "").alias("seq"))
 
@@ -47,14 +47,35 @@ def contig_lengths(fasta: DataFrame) -> DataFrame:
     return fasta.select("name", F.length("seq").cast("long").alias("length"))
 
 
-def region_sequence(regions: DataFrame, fasta: DataFrame, name: str, start: str, end: str, strand: str | None = None) -> DataFrame:
-    """``regions`` with seq: 1-based inclusive bases, upper case, read on the strand; names match with or without ``chr``."""
-    bare = F.regexp_replace
-    both = regions.join(fasta.select(bare("name", "^chr", "").alias("bare_"), F.col("seq").alias("whole_")), bare(name, "^chr", "") == F.col("bare_"), "left")
-    seq = F.upper(F.substring(F.col("whole_"), F.col(start), F.col(end) - F.col(start) + 1))
+#: Bases of a chunk of a contig.
+CHUNK = 1 << 16
+
+
+def contig_chunks(fasta: DataFrame, size: int = CHUNK) -> DataFrame:
+    """(name, chunk, piece): the contigs in pieces of ``size`` bases, numbered from 0."""
+    starts = F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.lit(size))
+    pieces = F.transform(starts, lambda a: F.struct((a / size).cast("long").alias("chunk"), F.substring(F.col("seq"), a + 1, F.lit(size)).alias("piece")))
+    return fasta.select("name", F.explode(pieces).alias("x")).select("name", "x.*")
+
+
+def region_sequence(regions: DataFrame, fasta: DataFrame, name: str, start: str, end: str, strand: str | None = None, upper: bool = True, size: int = CHUNK) -> DataFrame:
+    """``regions`` with seq: 1-based inclusive bases, upper case, read on the strand; names match with or without ``chr``.
+
+    Regions are joined with the chunks of contigs that they touch, and each takes only its own bases of them. Null where
+    no contig has the name or the region lies beyond it.
+    """
+    bare = lambda c: F.regexp_replace(c, "^chr", "")
+    wanted = regions.select(bare(name).alias("r_"), F.col(start).cast("long").alias("a_"), F.col(end).cast("long").alias("b_")).where("a_ > 0 and b_ >= a_").distinct()
+    wanted = wanted.withColumn("chunk", F.explode(F.sequence(F.floor((F.col("a_") - 1) / size), F.floor((F.col("b_") - 1) / size))))
+    both = wanted.join(contig_chunks(fasta, size).withColumn("r_", bare("name")), ["r_", "chunk"])
+    first, last = F.greatest(F.col("a_") - 1 - F.col("chunk") * size, F.lit(0)), F.least(F.col("b_") - F.col("chunk") * size, F.lit(size))
+    both = both.select("r_", "a_", "b_", "chunk", F.substring(F.col("piece"), (first + 1).cast("int"), (last - first).cast("int")).alias("piece"))
+    pieces = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "piece"))), lambda x: x["piece"]), "")
+    found = both.groupBy("r_", "a_", "b_").agg((F.upper(pieces) if upper else pieces).alias("seq"))
+    out = regions.join(found, (bare(name) == F.col("r_")) & (F.col(start) == F.col("a_")) & (F.col(end) == F.col("b_")), "left").drop("r_", "a_", "b_")
     if strand:
-        seq = F.when(F.col(strand) == "-", F.reverse(F.translate(seq, "ACGT", "TGCA"))).otherwise(seq)
-    return both.withColumn("seq", seq).drop("bare_", "whole_")
+        out = out.withColumn("seq", F.when(F.col(strand) == "-", F.reverse(F.translate("seq", "ACGTacgt", "TGCAtgca"))).otherwise(F.col("seq")))
+    return out
 
 
 def read_bed(spark: SparkSession, path: str) -> DataFrame:
@@ -72,12 +93,20 @@ def soft_mask(fasta: DataFrame) -> DataFrame:
 
 def read_expression(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text; ``#`` lines are skipped, as are the two lines before a GCT table's header."""
-    head = [r.value for r in spark.read.text(path).limit(1).collect()]
-    lines = spark.read.text(path)
-    if head and head[0].startswith("#1."):
-        lines = lines.where(~F.col("value").rlike(r"^#1\.") & ~F.col("value").rlike(r"^\d+\t\d+\s*$"))
-    rows = lines.where(~F.col("value").startswith("#")).rdd.map(lambda r: r.value)
-    return spark.read.csv(rows, header=True, sep="," if ".csv" in Path(path).name.lower() else "\t")
+    first = [r.value for r in spark.read.text(path).limit(3).collect()]
+    gct = bool(first) and first[0].startswith("#1.")
+    header = first[2] if gct and len(first) > 2 else spark.read.text(path).where(~F.col("value").startswith("#")).limit(1).collect()
+    if not isinstance(header, str):
+        header = header[0].value if header else ""
+    sep = "," if ".csv" in Path(path).name.lower() else "\t"
+    names = [x.strip('"') for x in header.rstrip("\r").split(sep)]
+    schema = ", ".join(f"`{x}` string" for x in names)
+    lines = spark.read.text(path).where(F.col("value") != header)
+    if gct:
+        lines = lines.where(~F.col("value").isin(*first[:2]))
+    elif header:
+        lines = lines.where(~F.col("value").rlike("^#") | F.lit(header.startswith("#")))
+    return lines.where(F.length("value") > 0).select(F.from_csv("value", schema, {"sep": sep}).alias("x")).select("x.*")
 
 
 def value_column(df: DataFrame, ids: list[str], name: str | None = None) -> str:
