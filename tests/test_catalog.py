@@ -2,7 +2,7 @@
 
 import pytest
 
-from tilewright.catalog import base, relations, sequences  # noqa: F401
+from tilewright.catalog import base, relations, sequences, templates  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(base.SQL))

@@ -153,7 +153,7 @@ def test_protocol_refuses_what_it_cannot_do(spark):
 
 
 def test_final_numbers_and_modifications(spark):
-    targets = spark.createDataFrame([("t", "ACGTTGCAGGATCCATTGCAAGTCACGTTGCA")], "target string, seq string")
+    targets = spark.createDataFrame([("t", "ACGTTGCAGGATCCATTGCAAGTCACGTTGCC")], "target string, seq string")
     chemistry = {"5prime": {"type": "fluorophore", "name": "Cy5"}, "internal": [{"type": "disulfide", "after_base": 4}]}
     p = {"targets": [], "extracts": {"target_region": {"length": 8}}, "probes": {"turn": {"expr": "'ACGT'[probe_index % 4]"}, "probe": {"expr": "rc(target_region) + turn", "modifications": chemistry}, "plain": {"expr": "rc(target_region)"}}, "attributes": {"g": {"type": "base_fraction", "target": "turn", "bases": "G"}}, "post_process": {"remove_overlap": {}, "sorts": {"is_descending": ["start"]}}}
     assert protocol.reads(p["probes"], "probe_index") == {"turn", "probe"}

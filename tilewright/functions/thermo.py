@@ -32,16 +32,24 @@ RNA_DNA_37 = {
 }
 
 
-def dinucleotide_sum(s: Column, table: dict[str, float]) -> Column:
-    """Sum of a table's values over a sequence's dinucleotides; others count 0.
+def dinucleotide_sums(s: Column, *tables: dict[str, float]) -> list[Column]:
+    """Sums of tables' values over a sequence's dinucleotides; others count 0, as does a sequence of one base.
 
-    Counting each dinucleotide keeps the sum in compiled code: overlapping pairs like AAA are counted by the gaps a
-    zero-width look-ahead leaves.
+    Bases become numbers and neighbours are looked up in one literal array, so the code does not grow with the tables.
     """
-    total = F.lit(0.0)
-    for pair, value in table.items():
-        total = total + F.regexp_count(s, F.lit(f"{pair[0]}(?={pair[1]})")) * F.lit(value)
-    return total
+    names = " ACGT"
+    table = F.array(*[F.struct(*[F.lit(float(t.get(x + y, 0.0))).alias(f"t{k}") for k, t in enumerate(tables)]) for x in names for y in names])
+    codes = F.transform(F.split(s, ""), lambda c: F.instr(F.lit("ACGT"), c) * (F.length(c) == 1).cast("int"))
+    n = F.greatest(F.length(s) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(codes, F.lit(1), n), F.slice(codes, F.lit(2), n), lambda x, y: F.get(table, x * 5 + y))
+    zero = F.struct(*[F.lit(0.0).alias(f"t{k}") for k in range(len(tables))])
+    total = F.aggregate(pairs, zero, lambda a, x: F.struct(*[(a[f"t{k}"] + x[f"t{k}"]).alias(f"t{k}") for k in range(len(tables))]))
+    return [total[f"t{k}"] for k in range(len(tables))]
+
+
+def _heat(s: Column, table: dict[str, tuple[float, float]]) -> list[Column]:
+    """Sums of enthalpy and entropy."""
+    return dinucleotide_sums(s, {k: v[0] for k, v in table.items()}, {k: v[1] for k, v in table.items()})
 
 
 def _ends(s: Column, bases: str) -> Column:
@@ -57,8 +65,8 @@ def tm_primer(s: Column | str, na_mm: float = 50, mg_mm: float = 0, dntp_mm: flo
     ion = na_mm + 120 * math.sqrt(max(mg_mm - dntp_mm, 0))
     same = s == reverse_complement(s)
     at, gc = _ends(s, "AT"), _ends(s, "GC")
-    h = dinucleotide_sum(s, {k: v[0] for k, v in SANTALUCIA_1998.items()}) + at * 2.3 + gc * 0.1
-    e = dinucleotide_sum(s, {k: v[1] for k, v in SANTALUCIA_1998.items()}) + at * 4.1 + gc * -2.8
+    h, e = _heat(s, SANTALUCIA_1998)
+    h, e = h + at * 2.3 + gc * 0.1, e + at * 4.1 + gc * -2.8
     e = e + F.when(same, -1.4).otherwise(0.0) + (n - 1) * (0.368 * math.log(ion / 1000))
     rate = F.when(same, math.log(nm / 1e9)).otherwise(math.log(nm / 4e9)) * 1.987
     return h * 1000 / (e + rate) - 273.15 - (F.lit(2.88) - count_bases(s, "GC") / n * 0.453) * formamide_m
@@ -68,8 +76,8 @@ def tm_padlock(s: Column | str, na_mm: float = 50, mg_mm: float = 0, nm: float =
     """Sugimoto 1996 sums with one initiation term and a sodium and magnesium term."""
     up = F.translate(F.upper(_c(s)), "U", "T")
     s = F.when(up.rlike("^[ACGT]+$"), up)
-    h = dinucleotide_sum(s, {k: v[0] for k, v in SUGIMOTO_1996.items()}) + 0.6
-    e = dinucleotide_sum(s, {k: v[1] for k, v in SUGIMOTO_1996.items()}) - 9.0
+    h, e = _heat(s, SUGIMOTO_1996)
+    h, e = h + 0.6, e - 9.0
     salt = 16.6 * math.log10(na_mm / 1000 + 3.795 * math.sqrt(mg_mm / 1000))
     return F.when(s.isNotNull(), h * 1000 / (e + 1.9872 * math.log(nm * 1e-9)) - 273.15 + salt - 0.72 * formamide_pct)
 
@@ -78,8 +86,8 @@ def tm_miner(s: Column | str, na_mm: float = 50, nm: float = 50, formamide_pct:
     """SantaLucia 1998 with terminal terms and half the strand concentration, rounded to 2 places before formamide."""
     s = clean_dna(s)
     at, gc = _ends(s, "AT"), _ends(s, "GC")
-    h = dinucleotide_sum(s, {k: v[0] for k, v in SANTALUCIA_1998.items()}) + at * 2.3 + gc * 0.1
-    e = dinucleotide_sum(s, {k: v[1] for k, v in SANTALUCIA_1998.items()}) + at * 4.1 + gc * -2.8
+    h, e = _heat(s, SANTALUCIA_1998)
+    h, e = h + at * 2.3 + gc * 0.1, e + at * 4.1 + gc * -2.8
     e = e + (F.length(s) - 1) * (0.368 * math.log(na_mm / 1000))
     tm = h * 1000 / (e + 1.987 * math.log(nm / 2 * 1e-9)) - 273.15
     return F.round(tm, 2) - 0.65 * formamide_pct
@@ -89,8 +97,8 @@ def tm_merfish(s: Column | str, na_mm: float = 50, nm: float = 50) -> Column:
     """SantaLucia and Hicks 2004 with initiation, a term per terminal A or T, and the whole concentration."""
     s = clean_dna(s)
     at = _ends(s, "AT")
-    h = dinucleotide_sum(s, {k: v[0] for k, v in SANTALUCIA_2004.items()}) + at * 2.2 + 0.2
-    e = dinucleotide_sum(s, {k: v[1] for k, v in SANTALUCIA_2004.items()}) + at * 6.9 - 5.7
+    h, e = _heat(s, SANTALUCIA_2004)
+    h, e = h + at * 2.2 + 0.2, e + at * 6.9 - 5.7
     e = e + (F.length(s) - 1) * (0.368 * math.log(na_mm / 1000))
     return h * 1000 / (e + 1.9872 * math.log(nm * 1e-9)) - 273.15
 
@@ -99,7 +107,7 @@ def rna_dna_37(s: Column | str, of_target: bool = False, salt_m: float = 0.115)
     """Free energy of an RNA/DNA hybrid; a target's own sequence is reverse-complemented first. Null below two bases."""
     s = F.translate(F.upper(_c(s)), "U", "T")
     s = F.when(F.length(s) >= 2, reverse_complement(s) if of_target else s)
-    return dinucleotide_sum(s, RNA_DNA_37) - (math.log(salt_m) * -0.175 - 0.2)
+    return dinucleotide_sums(s, RNA_DNA_37)[0] - (math.log(salt_m) * -0.175 - 0.2)
 
 
 def tm_difference(columns: list[Column], conditions: list[object]) -> Column:

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from ..functions import sequence as S
 from ..functions import thermo
 from ..operators import selection, summary
-from ..operators.windows import expand_layouts, number_within, sliding_windows
-from . import finishing, similarity
+from ..operators.windows import expand_layouts, number_within
+from ..session import kept
+from . import extraction, finishing, similarity
 from .expression import ExpressionError, Typed, compile_expression, problems, references
 
 REQUIRED = ("targets", "extracts", "probes")
@@ -222,11 +223,38 @@ def avoid_peaks(df: DataFrame, config: dict, site_columns: list[str], group: str
     return df.join(kept, F.col(group).eqNullSafe(F.col("g_")) & (F.col("row_id") == F.col("r_")), "left").where(F.col("g_").isNotNull() | ~F.coalesce(mine, F.lit(False))).drop("g_", "r_")
 
 
-def post_process(df: DataFrame, post: dict, group: str = "target", start: str = "start", end: str = "end", site_columns: list[str] = ()) -> DataFrame:
+def bounds_of(df: DataFrame) -> tuple[str, str]:
+    """The columns that place a window along its target."""
+    return ("target_start", "target_end") if "target_start" in df.columns else ("start", "end")
+
+
+def along_targets(df: DataFrame, options: dict, group: str, start: str, end: str) -> DataFrame:
+    """The ``remove_overlap`` step: windows free of each other, an oligo with several sites as one; the transcripts of all
+    windows of a site on the one that stays."""
+    out = selection.remove_overlap_sites(df, [group], start, end, ["target_region"] if "target_region" in df.columns else ["row_id"], options.get("location_interval", 0), options.get("prefer"), report="target_region" in df.columns)
+    if "transcript_names" not in df.columns or start != "target_start":
+        return out
+    names = df.groupBy(F.col(group).alias("t_"), F.col(start).alias("s_"), F.col(end).alias("e_")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("transcript_names")))).alias("all_"))
+    out = out.join(names, (F.col(group) == F.col("t_")) & (F.col(start) == F.col("s_")) & (F.col(end) == F.col("e_")), "left")
+    more = F.size("all_") > F.size("transcript_names")
+    return out.withColumns({"n_trans": F.when(more, F.size("all_").cast("long")).otherwise(F.col("n_trans")), "transcript_names": F.when(more, F.col("all_")).otherwise(F.col("transcript_names"))}).drop("t_", "s_", "e_", "all_")
+
+
+def _quota(df: DataFrame, group: str, options: dict) -> Column:
+    """Probes to keep: a target's own entry (``name: {number_desired: n}``, or in a mapping), else ``number_desired`` for all."""
+    every = options.get("number_desired")
+    own = {k: v["number_desired"] for k, v in options.items() if isinstance(v, dict) and "number_desired" in v}
+    return selection.quota(df, group, every if isinstance(every, dict) else own, None if isinstance(every, dict) else every)
+
+
+def post_process(df: DataFrame, post: dict, group: str = "target", start: str | None = None, end: str | None = None, site_columns: list[str] = ()) -> DataFrame:
     """Filters, peaks, overlaps, pool, even spacing and order, in this order whatever the protocol's.
 
-    A filter on a column that the table lacks is an error, never left out.
+    Places are those along the target where there are any. A filter on a column that the table lacks is an error, never
+    left out. Even spacing counts an oligo that stands several times in a target once.
     """
+    if start is None or end is None:
+        start, end = bounds_of(df)
     if post.get("filters"):
         df = selection.filter_table(df, post["filters"], strict=True)
     sorts = post.get("sorts") or {}
@@ -234,14 +262,14 @@ def post_process(df: DataFrame, post: dict, group: str = "target", start: str =
     if post.get("avoid_otp"):
         df = avoid_peaks(df, post["avoid_otp"], list(site_columns), group)
     if "remove_overlap" in post:
-        o = post["remove_overlap"] or {}
-        df = selection.remove_overlap(df, [group], start, end, o.get("location_interval", 0), o.get("prefer"))
+        df = along_targets(df, post["remove_overlap"] or {}, group, start, end)
     if "off_target_pool" in post:
         p = post["off_target_pool"]
         df = selection.off_target_pool(_pooled(df, f"{p['attribute']}_off_targets"), group, f"{p['attribute']}_off_targets", p["max_probes_per_gene"], up, down)
     if "equal_space" in post:
-        e = post["equal_space"]["number_desired"]
-        df = selection.even_ranks(df, group, start, selection.quota(df, group, e if isinstance(e, dict) else {}, None if isinstance(e, dict) else e))
+        if "target_region" in df.columns:
+            df = selection.collapse_identical(df, [group], ["target_region"], start)
+        df = selection.even_ranks(df, group, start, _quota(df, group, post["equal_space"]))
     return selection.sort_table(df, up, down)
 
 
@@ -259,7 +287,7 @@ def _searched(df: DataFrame, protocol: dict, tables: dict[str, DataFrame], targe
     """
     specs = {k: a for k, a in (protocol.get("attributes") or {}).items() if a["type"] in similarity.TYPES}
     filters = (protocol.get("post_process") or {}).get("filters") or {}
-    df = selection.filter_table(df, {k: f for k, f in filters.items() if _filter_columns(f) <= set(df.columns)}, strict=True) if specs else df
+    df = kept(selection.filter_table(df, {k: f for k, f in filters.items() if _filter_columns(f) <= set(df.columns)}, strict=True)) if specs else df
     for name, a in specs.items():
         df = similarity.add(df, name, a, column_name(a["target"]), tables, targets, protocol.get("gene_expression") or {})
     for name, a in (protocol.get("attributes") or {}).items():
@@ -274,19 +302,17 @@ def scope_of(df: DataFrame) -> dict[str, Typed]:
     return scope | {c.replace("__", "."): Typed(F.col(c), "text") for c in df.columns if c.startswith("target_parts__")}
 
 
-def candidates(protocol: dict, targets: DataFrame) -> DataFrame:
-    """The numbered windows of targets (target, seq) with their layouts and probes, row by row."""
+def candidates(protocol: dict, targets: DataFrame, tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The numbered windows of targets, from their source (see ``extraction``), with their layouts and probes, row by row."""
     region = protocol["extracts"]["target_region"]
-    length = region["length"]
-    low, high = (length, length) if isinstance(length, int) else length
-    w = sliding_windows(targets, "seq", low, high, region.get("step", 1))
-    w = w.withColumns({"target_region": F.col("window"), "start": (F.col("start0") + 1).cast("long"), "end": (F.col("start0") + F.col("size")).cast("long")})
+    w = extraction.windows(protocol, targets, tables or {})
     if "layout" in region:
+        low, high = extraction.lengths(region)
         bounds = {k: (v["length"], v["length"]) if isinstance(v["length"], int) else tuple(v["length"]) for k, v in region["layout"]["parts"].items()}
-        w = expand_layouts(w, "window", bounds, low, high)
+        w = expand_layouts(w, "target_region", bounds, low, high)
         w = w.withColumnsRenamed({f"{k}_seq": f"target_parts__{k}" for k in bounds})
-    order = ["start", "size", *(["layout"] if "layout" in w.columns else [])]
-    w = number_within(w.drop("seq"), ["target"], order, "probe_index").withColumn("row_id", F.col("probe_index").cast("long"))
+    order = ["segment", "start0", "size", *(["layout"] if "layout" in w.columns else [])]
+    w = number_within(w, ["target"], order, "probe_index").withColumn("row_id", F.col("probe_index").cast("long"))
     return construct(w, protocol["probes"], protocol.get("encoding"), scope_of(w))
 
 
@@ -299,7 +325,7 @@ def renumbered(df: DataFrame, protocol: dict, order: list[Column], tables: dict[
     nodes_ = reads(protocol["probes"], "probe_index")
     if not nodes_:
         return df
-    df = df.withColumn("probe_index", F.row_number().over(Window.partitionBy("target").orderBy("start", *order)) - 1)
+    df = df.withColumn("probe_index", F.row_number().over(Window.partitionBy("target").orderBy(bounds_of(df)[0], *order)) - 1)
     df = construct(df, protocol["probes"], protocol.get("encoding"), scope_of(df), nodes_)
     mine = {k: a for k, a in (protocol.get("attributes") or {}).items() if str(a.get("target", "")).replace(":", ".") in nodes_}
     df = add_attributes(df, protocol | {"attributes": mine})
@@ -318,37 +344,81 @@ def dry_run(spark: SparkSession, protocol: dict, names: list[str], most: int = 2
     length = protocol["extracts"]["target_region"]["length"]
     n = (length if isinstance(length, int) else length[1]) + 7 * protocol["extracts"]["target_region"].get("step", 1)
     bases = ("ACGTTGCAAGCTTCGA" * (n // 16 + 1))[:n]
-    w = candidates(protocol, spark.createDataFrame([(t, bases) for t in names[:most]], "target string, seq string"))
+    direct = {k: v for k, v in protocol["extracts"]["target_region"].items() if k not in ("source", "transcripts", "masked")}
+    w = candidates(protocol | {"extracts": {"target_region": direct}}, spark.createDataFrame([(t, bases) for t in names[:most]], "target string, seq string"))
     built = F.explode(F.array(*[F.struct(F.lit(k).alias("probe"), F.length(k.replace(".", "__")).alias("size")) for k in nodes(protocol["probes"])]))
     return w.select(built.alias("x")).groupBy("x.probe").agg(F.count("*").alias("n"), F.count_if(F.col("x.size") == 0).alias("n_empty"), F.min("x.size").alias("shortest"), F.max("x.size").alias("longest"))
 
 
 def run(protocol: dict, targets: DataFrame, tables: dict[str, DataFrame] | None = None) -> DataFrame:
-    """The design of a protocol over targets (target, seq): windows, layouts, probes, attributes, selection, numbers.
-
-    Attributes that are expressions stay row by row in one projection over the numbered windows, with the filters on
-    them; those of ``similarity`` then search the ``tables`` (see there) for what is left. Candidates are numbered in
-    order of extraction (start, size, layout), which also breaks all ties; ``final_index`` numbers the result's rows of
-    each target in its order. Probes that read probe_index are made again with the final numbers along the target, and
-    declared modifications stand beside the sequences.
+    """The design of a protocol over targets: windows, layouts, probes, attributes, selection, numbers.
+
+    ``targets`` has the column target, and seq where ``extracts`` names no source (see ``extraction`` for the tables that
+    sources read). Attributes that are expressions stay row by row in one projection over the numbered windows, with the
+    filters on them; what is left is kept once, and those of ``similarity`` then search the ``tables`` (see there) for
+    it; what passes all filters is kept again, as the steps behind read it several times. Candidates are numbered in order of extraction (segment, start, size, layout), which also breaks all ties;
+    ``final_index`` numbers the result's rows of each target in its order. Probes that read probe_index are made again
+    with the final numbers along the target, and declared modifications stand beside the sequences.
     """
     found = analyse(protocol)
     if found:
         raise ValueError("; ".join(found))
-    w = add_attributes(candidates(protocol, targets), protocol)
+    tables = tables or {}
+    w = add_attributes(candidates(protocol, targets, tables), protocol)
     for k in protocol["probes"]:
         w = w.where(F.length(k) > 0)
-    w, site_columns = _searched(w, protocol, tables or {}, targets)
+    if any((a.get("exempt_copies") for a in (protocol.get("attributes") or {}).values())):
+        targets = extraction.sequences(protocol, targets, tables)
+    w, site_columns = _searched(w, protocol, tables, targets)
     post = protocol.get("post_process") or {}
-    out = post_process(w, post, site_columns=site_columns)
+    w = kept(selection.filter_table(w, post.get("filters") or {}, strict=True))
+    out = post_process(w, {k: v for k, v in post.items() if k != "filters"}, site_columns=site_columns)
     sorts = post.get("sorts") or {}
     up, down = sorts.get("is_ascending") or [], sorts.get("is_descending") or []
     keys = selection.rank_order(out, up, down)
     out = out.withColumn("final_index", F.row_number().over(Window.partitionBy("target").orderBy(*keys)) - 1)
-    out = renumbered(out, protocol, [F.col("final_index")], tables or {}, targets)
+    out = renumbered(out, protocol, [F.col("final_index")], tables, targets)
     return finishing.annotate(selection.sort_table(out, up, down), protocol["probes"])
 
 
+#: The keys that a protocol's blocks may have; all of them are carried out, or describe and do nothing.
+TOP = ("name", "description", "meta", "genome", "targets", "encoding", "extracts", "probes", "hybridization", "attributes", "post_process", "gene_expression", "summary")
+REGION = ("source", "transcripts", "masked", "length", "step", "overlap", "layout")
+STEPS = {"filters": None, "avoid_otp": None, "sorts": ("is_ascending", "is_descending"), "remove_overlap": ("location_interval", "prefer"), "off_target_pool": ("attribute", "max_probes_per_gene"), "equal_space": None}
+REACTION = ("temperature_c", *CONDITIONS)
+OPTIONS = {
+    "base_fraction": ("bases", "positions"), "max_homopolymer": ("bases", "positions"), "max_window_count": ("bases", "window", "positions"), "rna_dna_dg37": ("sequence",),
+    "annealing_temperature": ("tm_method", *REACTION), "difference": ("of",), "mapped_genes": ("aligner", "max_mismatches", "strand", "oligos", "max_gap", "exempt_copies"),
+    "mapped_sites": ("aligner", "max_mismatches", "strand"), "kmer_count": ("kmer_len", "aligner", "strand", "locus_only", "size", "threads"),
+}
+EXPRESSION = ("min_value", "min_fraction_of_target", "absent", "level")
+
+
+def unknown_keys(protocol: dict) -> list[str]:
+    """Keys that nothing reads, each with its place: a misspelled option must not pass in silence."""
+    out = []
+
+    def check(at: str, given: object, known: tuple[str, ...]) -> None:
+        out.extend(f"{at}{'.' if at else ''}{k}: unknown key{closest(str(k), list(known))}" for k in (given if isinstance(given, dict) else {}) if k not in known)
+
+    check("", protocol, TOP)
+    check("extracts.target_region", (protocol.get("extracts") or {}).get("target_region"), REGION)
+    check("hybridization", protocol.get("hybridization"), REACTION)
+    check("gene_expression", protocol.get("gene_expression"), EXPRESSION)
+    for name, a in (protocol.get("attributes") or {}).items():
+        if a.get("type") in (*ATTRIBUTES, "difference", *similarity.TYPES):
+            check(f"attributes.{name}", a, ("type", "target", "hybridization", *OPTIONS.get(a["type"], ())))
+            check(f"attributes.{name}.hybridization", a.get("hybridization"), REACTION)
+    post = protocol.get("post_process") or {}
+    check("post_process", post, tuple(STEPS))
+    for step, known in STEPS.items():
+        if known:
+            check(f"post_process.{step}", post.get(step), known)
+    for name, f in (post.get("filters") or {}).items():
+        check(f"post_process.filters.{name}", f, ("condition", "type", "target", "exclude_patterns", "patterns"))
+    return out
+
+
 def analyse(protocol: dict) -> list[str]:
     """All problems of a protocol, each with its place."""
     out = [f"{k}: missing" for k in REQUIRED if k not in protocol]
@@ -357,6 +427,9 @@ def analyse(protocol: dict) -> list[str]:
     region = (protocol["extracts"] or {}).get("target_region")
     if not isinstance(region, dict) or "length" not in region:
         return ["extracts.target_region.length: missing"]
+    out += unknown_keys(protocol) + extraction.problems(region)
+    if (protocol.get("gene_expression") or {}).get("level", "gene") != "gene":
+        out.append("gene_expression.level: only levels of genes are known")
     try:
         all_nodes = nodes(protocol["probes"])
         ordered(all_nodes)
@@ -382,7 +455,8 @@ def analyse(protocol: dict) -> list[str]:
             out.append(f"attributes.{k}: no column {a.get('target')!r}{closest(str(a.get('target')), sorted(columns))}")
         elif a["type"] in similarity.TYPES:
             out += similarity.problems(k, a, list(layout))
-    there = {*attributes, "start", "end", "tm_diff", *columns, *(c for k, a in attributes.items() if a.get("type") in similarity.TYPES for c in similarity.columns(k, a["type"]))}
+    placed = {"target_start", "target_end", "n_trans"} if region.get("source") in extraction.RNA else set()
+    there = {*attributes, "start", "end", "tm_diff", *placed, *columns, *(c for k, a in attributes.items() if a.get("type") in similarity.TYPES for c in similarity.columns(k, a["type"]))}
     post = protocol.get("post_process") or {}
     if post.get("avoid_otp") and not any(a.get("type") == "mapped_sites" for a in attributes.values()):
         out.append("post_process.avoid_otp: needs an attribute of type mapped_sites")

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sequence import reverse_complement
 from ..operators import search
 
 TYPES = ("mapped_genes", "mapped_sites", "kmer_count")
@@ -57,21 +58,37 @@ def _needed(tables: dict[str, DataFrame], name: str, table: str) -> DataFrame:
     return tables[table]
 
 
+def _unit(spec: dict, column: str) -> Column:
+    """What is searched for: the column's sequence, or the sequences of its oligos, which tell layouts of a window apart."""
+    return F.concat_ws("|", *_oligos(spec)) if spec.get("oligos") else F.col(column)
+
+
+def _oligos(spec: dict) -> list[Column]:
+    return [F.concat(*(F.col(f"target_parts__{p}") for p in ([o] if isinstance(o, str) else o))) for o in spec["oligos"]]
+
+
 def _genes_hit(df: DataFrame, name: str, spec: dict, column: str, records: DataFrame) -> DataFrame:
     """(query, gene, mismatches) of the distinct sequences of ``column``; units of several oligos where they are named."""
     n, strand = spec.get("max_mismatches", MISMATCHES), spec.get("strand", STRAND)
     if spec.get("aligner", "bowtie") == "bowtie2":
-        found = search.heuristic_sites(df.select(column), records, column, "record", "seq").withColumn("mismatches", F.lit(0))
-        return search.fewest_mismatches(found)
+        return search.fewest_mismatches(_local_sites(df.select(column), records, column, strand))
     if not spec.get("oligos"):
         return search.fewest_mismatches(search.mismatch_sites(df.select(column), records, column, "record", "seq", n, strand))
-    oligos = [F.concat(*(F.col(f"target_parts__{p}") for p in ([o] if isinstance(o, str) else o))) for o in spec["oligos"]]
-    members = df.select(F.col(column).alias("unit"), F.explode(F.array(*oligos)).alias("oligo")).distinct()
+    members = df.select(_unit(spec, column).alias("unit"), F.explode(F.array(*_oligos(spec))).alias("oligo")).distinct()
     hits = search.mismatch_sites(members, records, "oligo", "record", "seq", n, strand)
     whole = search.units(members, hits, "unit", "oligo", spec.get("max_gap"))
     return search.fewest_mismatches(whole.withColumnRenamed("unit", "query"))
 
 
+def _local_sites(queries: DataFrame, records: DataFrame, column: str, strand: str) -> DataFrame:
+    """(query, strand, record, start0, mismatches = 0) of the heuristic search, on the strands that are asked for."""
+    signs = {"sense": ["+"], "antisense": ["-"], "both": ["+", "-"]}[strand]
+    words = F.array(*[F.struct(F.lit(s).alias("strand"), (F.col(column) if s == "+" else reverse_complement(column)).alias("word")) for s in signs])
+    both = queries.select(F.col(column).alias("q_"), F.explode(words).alias("x")).distinct().select("q_", "x.*")
+    found = search.heuristic_sites(both, records, "word", "record", "seq").withColumnRenamed("query", "word")
+    return found.join(both, "word").select(F.col("q_").alias("query"), "strand", "record", "start0", F.lit(0).alias("mismatches")).distinct()
+
+
 def _copies(spec: dict, name: str, tables: dict[str, DataFrame], targets: DataFrame, records: DataFrame) -> DataFrame | None:
     """(target, gene): genes that are not protein coding and hold enough of a target's k-mers."""
     if not spec.get("exempt_copies"):
@@ -88,7 +105,7 @@ def _copies(spec: dict, name: str, tables: dict[str, DataFrame], targets: DataFr
 def _mapped_genes(df: DataFrame, name: str, spec: dict, column: str, tables: dict, targets: DataFrame, options: dict) -> DataFrame:
     records = _needed(tables, name, "records")
     hits = _genes_hit(df, name, spec, column, records)
-    own = df.select(F.col(column).alias("query"), "target").distinct()
+    own = df.select(_unit(spec, column).alias("query"), "target").distinct()
     genes = tables.get("target_genes")
     own = own.join(genes.select("target", "gene"), "target", "left") if genes is not None else own.withColumn("gene", F.col("target"))
     labels = tables["genes"] if "label" in getattr(tables.get("genes"), "columns", ()) else hits.select("gene").distinct().withColumn("label", F.col("gene"))
@@ -96,7 +113,7 @@ def _mapped_genes(df: DataFrame, name: str, spec: dict, column: str, tables: dic
     level = {"expression": tables["expression"], "least": float(e.get("min_value", 0)), "fraction": float(e.get("min_fraction_of_target", 0)), "absent": e.get("absent", "count")} if tables.get("expression") is not None else {}
     found = search.annotate(hits, own, labels.select("gene", "label"), copies=_copies(spec, name, tables, targets, records), **level)
     found = found.select(F.col("query").alias("q_"), F.col("target").alias("t_"), F.col("mapped_genes").alias(name), *(F.col(x).alias(f"{name}_{x}") for x in BESIDE["mapped_genes"]))
-    out = df.join(found, F.col(column).eqNullSafe(F.col("q_")) & F.col("target").eqNullSafe(F.col("t_")), "left").drop("q_", "t_")
+    out = df.join(found, _unit(spec, column).eqNullSafe(F.col("q_")) & F.col("target").eqNullSafe(F.col("t_")), "left").drop("q_", "t_")
     return out.withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
 
 
@@ -108,7 +125,9 @@ def add(df: DataFrame, name: str, spec: dict, column: str, tables: dict[str, Dat
     if spec["type"] == "kmer_count":
         found = search.max_kmer_count(df.select(column).distinct(), genome, column, "seq", spec["kmer_len"], spec.get("strand", STRAND) == "both", bool(spec.get("locus_only")))
         return df.join(found.select(F.col(column).alias("q_"), F.col("kmer_count").cast("long").alias(name)), F.col(column).eqNullSafe(F.col("q_")), "left").drop("q_")
-    sites = search.site_lists(search.mismatch_sites(df.select(column), genome, column, "record", "seq", spec.get("max_mismatches", 0), spec.get("strand", STRAND)))
+    local = spec.get("aligner") == "bowtie2"
+    sites = _local_sites(df.select(column), genome, column, spec.get("strand", STRAND)) if local else search.mismatch_sites(df.select(column), genome, column, "record", "seq", spec.get("max_mismatches", 0), spec.get("strand", STRAND))
+    sites = search.site_lists(sites)
     found = sites.select(F.col("query").alias("q_"), F.col("mapped_sites").alias(name), F.col("mapped_sites_num").alias(f"{name}_num"))
     return df.join(found, F.col(column).eqNullSafe(F.col("q_")), "left").drop("q_").withColumn(f"{name}_num", F.coalesce(f"{name}_num", F.lit(0).cast("long")))
 

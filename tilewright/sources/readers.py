@@ -71,7 +71,7 @@ def region_sequence(regions: DataFrame, fasta: DataFrame, name: str, start: str,
     first, last = F.greatest(F.col("a_") - 1 - F.col("chunk") * size, F.lit(0)), F.least(F.col("b_") - F.col("chunk") * size, F.lit(size))
     both = both.select("r_", "a_", "b_", "chunk", F.substring(F.col("piece"), (first + 1).cast("int"), (last - first).cast("int")).alias("piece"))
     pieces = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "piece"))), lambda x: x["piece"]), "")
-    found = both.groupBy("r_", "a_", "b_").agg((F.upper(pieces) if upper else pieces).alias("seq"))
+    found = both.groupBy("r_", "a_", "b_").agg((F.upper(pieces) if upper else pieces).alias("seq")).where(F.length("seq") > 0)
     out = regions.join(found, (bare(name) == F.col("r_")) & (F.col(start) == F.col("a_")) & (F.col(end) == F.col("b_")), "left").drop("r_", "a_", "b_")
     if strand:
         out = out.withColumn("seq", F.when(F.col(strand) == "-", F.reverse(F.translate("seq", "ACGTacgt", "TGCAtgca"))).otherwise(F.col("seq")))
