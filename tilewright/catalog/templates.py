@@ -53,6 +53,7 @@ def design(region: dict, probes: dict, hybridization: dict, attributes: dict, fi
 ONE_GENE = {"target_mapped_genes": {"condition": "target_mapped_genes <= 1"}}
 COPIES = {"exempt_copies": {"kmer": 30, "min_shared": 0.5}}
 SIX = {"na_mM": 300, "mg_mM": 0, "dntp_mM": 0, "probe_nM": 5, "formamide_pct": 0}
+PLAIN = SIX | {"na_mM": 50, "probe_nM": 50}
 MRNA, CDS = {"source": "mRNA", "transcripts": "mane"}, {"source": "CDS", "transcripts": "mane"}
 
 
@@ -128,8 +129,19 @@ DESIGNS = {
          "tm_balance": {"type": "difference", "of": ["padlock_tm", "primer_tm"]}, "target_mapped_genes": genes({"oligos": ["padlock_site", "primer_site"]})},
         ONE_GENE | {"padlock_tm": between("padlock_tm", 56, 70), "primer_tm": between("primer_tm", 56, 70)}, ["target_mapped_genes"], {"location_interval": 0, "prefer": "tm_balance"}, 4,
     ),
+    "double_hyb": design(
+        CDS | {"length": 40, "step": 20, "layout": sized(arm_site=26, gap=1, primer_site=13)},
+        {"circle_probe": {"template": "{part1}{part2}{part3}", "parts": {"part1": {"expr": "rc(target_region[0:13])"}, "part3": {"expr": "rc(target_region[13:26])"},
+                          "part2": {"template": "{barcode1}N{barcode2}", "parts": {"barcode1": {"expr": "encoding['all']['barcodes'][0]"}, "barcode2": {"expr": "encoding['all']['barcodes'][1]"}}}}},
+         "amp_probe": {"template": "{part2}N{part1}", "parts": {"part1": {"expr": "rc(circle_probe.part2.barcode2)"}, "part2": {"expr": "rc(target_region[-13:])"}}}},
+        FISH | {"formamide_pct": 10, "probe_nM": 30},
+        {"fold_score": {"target": "circle_probe:part1", "type": "fold_score"}, "n_mapped_genes": {"target": "target_region", "type": "mapped_genes", "aligner": "bowtie2", "strand": "sense"}, "arm_mapped_genes": genes({}, target="target_parts.arm_site"),
+         "target_gc_content": gc("target_region"), "tm1": tm("circle_probe:part1", hybridization=PLAIN), "tm2": tm("circle_probe:part3", hybridization=PLAIN), "tm3": tm("amp_probe:part2", hybridization=PLAIN),
+         "circle_fold_score": {"target": "circle_probe", "type": "fold_score"}, "amp_fold_score": {"target": "amp_probe", "type": "fold_score"}},
+        {**{k: between(k, 35, 45) for k in ("tm1", "tm2", "tm3")}, **{k: {"condition": f"{k} <= 1"} for k in ("n_mapped_genes", "arm_mapped_genes")}}, ["circle_fold_score", "amp_fold_score", "tm1"], {"location_interval": 0}, None,
+    ),
 }
-ENCODING = {"all": {"init_odd": INITIATORS[0], "init_even": INITIATORS[1], "spacer_odd": SPACERS[0], "spacer_even": SPACERS[1], "readouts": READOUTS, "id": "TAGACGTAGTGAGCATGACT", "b1": "GAG", "b2": "CAT", "code": "AAA"}}
+ENCODING = {"all": {"init_odd": INITIATORS[0], "init_even": INITIATORS[1], "spacer_odd": SPACERS[0], "spacer_even": SPACERS[1], "readouts": READOUTS, "id": "TAGACGTAGTGAGCATGACT", "b1": "GAG", "b2": "CAT", "code": "AAA", "barcodes": ["GATTACAGCCTTAGCAT", "CTTGACCAGTACGTTGA"]}}
 
 SEGMENTS = {"T1": {"exon": [(101, 500), (701, 1000)], "CDS": [(201, 500), (701, 900)]}, "T2": {"exon": [(101, 300)]}}
 PER_CONTIG, LEAST = 200, 40

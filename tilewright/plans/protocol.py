@@ -11,8 +11,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import folding, thermo
 from ..functions import sequence as S
-from ..functions import thermo
 from ..operators import selection, summary
 from ..operators.windows import expand_layouts, number_within
 from ..session import kept
@@ -153,6 +153,8 @@ ATTRIBUTES = {
     "max_window_count": lambda c, o, h: S.max_window_count(c, o["bases"], o["window"], tuple(o["positions"]) if o.get("positions") else None),
     "self_match": lambda c, o, h: S.self_match(c),
     "stem_score": lambda c, o, h: thermo.stem_score(c),
+    "fold_score": lambda c, o, h: folding.fold_score(c),
+    "blocks": lambda c, o, h: folding.blocks(c, o.get("offset", 0)),
     "rna_dna_dg37": lambda c, o, h: thermo.rna_dna_37(c, o.get("sequence") == "target"),
     "annealing_temperature": lambda c, o, h: _temperature(c, o.get("tm_method", "primer"), h),
 }
@@ -387,7 +389,7 @@ REGION = ("source", "transcripts", "masked", "length", "step", "overlap", "layou
 STEPS = {"filters": None, "avoid_otp": None, "sorts": ("is_ascending", "is_descending"), "remove_overlap": ("location_interval", "prefer"), "off_target_pool": ("attribute", "max_probes_per_gene"), "equal_space": None}
 REACTION = ("temperature_c", *CONDITIONS)
 OPTIONS = {
-    "base_fraction": ("bases", "positions"), "max_homopolymer": ("bases", "positions"), "max_window_count": ("bases", "window", "positions"), "rna_dna_dg37": ("sequence",),
+    "base_fraction": ("bases", "positions"), "max_homopolymer": ("bases", "positions"), "max_window_count": ("bases", "window", "positions"), "rna_dna_dg37": ("sequence",), "fold_score": REACTION, "blocks": ("offset",),
     "annealing_temperature": ("tm_method", *REACTION), "difference": ("of",), "mapped_genes": ("aligner", "max_mismatches", "strand", "oligos", "max_gap", "exempt_copies"),
     "mapped_sites": ("aligner", "max_mismatches", "strand"), "kmer_count": ("kmer_len", "aligner", "strand", "locus_only", "size", "threads"),
 }
@@ -455,6 +457,8 @@ def analyse(protocol: dict) -> list[str]:
             out.append(f"attributes.{k}: no column {a.get('target')!r}{closest(str(a.get('target')), sorted(columns))}")
         elif a["type"] in similarity.TYPES:
             out += similarity.problems(k, a, list(layout))
+        elif a["type"] == "fold_score" and conditions(protocol, a).get("temperature_c", finishing.BODY) != finishing.BODY:
+            out.append(f"attributes.{k}: energies are known at 37 degrees only")
     placed = {"target_start", "target_end", "n_trans"} if region.get("source") in extraction.RNA else set()
     there = {*attributes, "start", "end", "tm_diff", *placed, *columns, *(c for k, a in attributes.items() if a.get("type") in similarity.TYPES for c in similarity.columns(k, a["type"]))}
     post = protocol.get("post_process") or {}
