@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from tilewright.functions import sequence
 from tilewright.operators import search, selection, windows
 
 
@@ -128,3 +129,26 @@ def test_even_spacing_of_one_and_none(spark):
     assert [x["p"] for x in selection.even_ranks(df, "t", "p", F.lit(1)).collect()] == [0]
     assert sorted(x["p"] for x in selection.even_ranks(df, "t", "p", F.lit(4)).collect()) == [0, 3, 6, 9]
     assert selection.even_ranks(df, "t", "p", F.lit(None).cast("int")).count() == 10
+
+
+def test_packed_bases_differ_as_their_letters(spark):
+    r = random.Random(3)
+    rows = []
+    for n in (1, 2, 13, 30, 31, 32, 60):
+        for _ in range(8):
+            a = "".join(r.choices("ACGT", k=n))
+            rows.append((a, "".join(r.choice("ACGT") if r.random() < 0.4 else c for c in a)))
+    rows += [("ACGN", "ACGT"), ("acgt", "ACGT"), ("", "")]
+    a, b = sequence.packed_bases("a"), sequence.packed_bases("b")
+    for x in spark.createDataFrame(rows, "a string, b string").select("a", "b", sequence.packed_distance(a, b).alias("fast"), sequence.hamming("a", "b").alias("slow")).collect():
+        assert x.slow == sum(c != d for c, d in zip(x.a, x.b, strict=True))
+        assert x.fast == (x.slow if 0 < len(x.a) <= 31 and set(x.a) <= set("ACGT") else None)
+
+
+def test_sites_of_very_short_queries(spark):
+    """Words no longer than the mismatches allowed fit everywhere; the others are found by their pieces."""
+    record = "ACGTTGCAAGCN"
+    words = ["A", "GT", "TGC", "CAAG", "GGGGGG"]
+    got = search.mismatch_sites(spark.createDataFrame([(w,) for w in words], "q string"), spark.createDataFrame([("r", record)], "record string, seq string"), "q", "record", "seq", 2).collect()
+    want = {(w, i, d) for w in words for i in range(len(record) - len(w) + 1) if (d := sum(x != y for x, y in zip(w, record[i:], strict=False))) <= 2}
+    assert {(x["query"], x["start0"], x["mismatches"]) for x in got} == want and len(got) == len(want)

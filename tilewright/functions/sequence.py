@@ -104,6 +104,20 @@ def hamming(a: Column | str, b: Column | str) -> Column:
     return F.when(F.length(a) == F.length(b), F.aggregate(both, F.lit(0), lambda n, i: n + (F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1))).cast("int")))
 
 
+def packed_bases(s: Column | str) -> Column:
+    """Up to 31 letters of ACGT as a number of two bits each; null for other words."""
+    s = _c(s)
+    plain = (F.length(s) <= 31) & (F.length(s) > 0) & (F.length(F.translate(s, "ACGT", "")) == 0)
+    return F.when(plain, F.conv(F.translate(s, "ACGT", "0123"), 4, 10).cast("bigint"))
+
+
+def packed_distance(a: Column, b: Column) -> Column:
+    """Bases that differ between two packed words of one length."""
+    both = a.bitwiseXOR(b)
+    either = both.bitwiseOR(F.shiftrightunsigned(both, 1))
+    return F.bit_count(either.bitwiseAND(F.lit(0x5555555555555555)))
+
+
 def occurrences(text: Column | str, word: Column | str) -> Column:
     """1-based starts of all, also overlapping, occurrences of a word."""
     text, word = _c(text), _c(word)

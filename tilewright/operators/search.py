@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import canonical, dna_kmers, hamming, reverse_complement
+from ..functions.sequence import canonical, dna_kmers, hamming, packed_bases, packed_distance, reverse_complement
 
 
 def seeds(length: int, mismatches: int) -> list[tuple[int, int]]:
@@ -26,12 +26,12 @@ def mismatch_sites(queries: DataFrame, records: DataFrame, query: str, record: s
     """
     strands = {"sense": ["+"], "antisense": ["-"], "both": ["+", "-"]}[strand]
     q = queries.select(F.col(query).alias("query"), F.explode(F.array(*[F.struct(F.lit(s).alias("strand"), (F.col(query) if s == "+" else reverse_complement(query)).alias("word")) for s in strands])).alias("x"))
-    q = q.select("query", "x.strand", "x.word").distinct()
+    q = q.select("query", "x.strand", "x.word").distinct().withColumn("code", packed_bases("word"))
     n = mismatches + 1
     size = F.length("word")
     pieces = F.transform(F.sequence(F.lit(0), F.lit(mismatches)), lambda i: F.struct(F.floor(i * size / n).cast("int").alias("at"), (F.floor((i + 1) * size / n) - F.floor(i * size / n)).cast("int").alias("k")))
     short = _short_sites(q.where(size <= mismatches), records, record, seq)
-    q = q.where(size > mismatches).withColumn("p", F.explode(pieces)).select("query", "strand", "word", "p.at", "p.k", F.substring(F.col("word"), F.col("p.at") + 1, F.col("p.k")).alias("seed"))
+    q = q.where(size > mismatches).withColumn("p", F.explode(pieces)).select("query", "strand", "word", "code", "p.at", "p.k", F.substring(F.col("word"), F.col("p.at") + 1, F.col("p.k")).alias("seed"))
     reach = queries.agg(F.max(F.length(F.col(query)))).first()[0] or 0
     lengths = q.select("k").distinct()
     r = records.select(F.col(record).alias("record"), F.col(seq).alias("seq")).crossJoin(F.broadcast(lengths))  # as many lengths as queries have
@@ -39,7 +39,8 @@ def mismatch_sites(queries: DataFrame, records: DataFrame, query: str, record: s
     r = r.where(F.length("seq") >= F.col("k")).withColumn("s", F.explode(starts)).select("record", "k", F.col("s").alias("seed_start"), F.substring(F.col("seq"), F.col("s"), F.col("k")).alias("seed"), F.length("seq").alias("n"), F.greatest(F.col("s") - 1 - reach, F.lit(0)).alias("left"), "seq")
     r = r.withColumn("seq", F.substring(F.col("seq"), F.col("left") + 1, F.lit(2 * reach) + F.col("k")))
     both = q.join(r, ["k", "seed"]).withColumn("start0", F.col("seed_start") - 1 - F.col("at")).where((F.col("start0") >= 0) & (F.col("start0") + F.length("word") <= F.col("n")))
-    found = both.withColumn("mismatches", hamming(F.col("word"), F.substring(F.col("seq"), F.col("start0") - F.col("left") + 1, F.length("word"))))
+    both = both.select("query", "strand", "record", "start0", "word", "code", F.substring(F.col("seq"), F.col("start0") - F.col("left") + 1, F.length("word")).alias("there")).withColumn("packed", packed_bases("there"))
+    found = both.withColumn("mismatches", F.coalesce(packed_distance(F.col("code"), F.col("packed")), hamming(F.col("word"), F.col("there"))))
     return found.where(F.col("mismatches") <= mismatches).select("query", "strand", "record", "start0", "mismatches").distinct().unionByName(short)
 
 
