@@ -12,7 +12,11 @@ def test_query_matches_sql(name, spark, tables, oracle, as_rows):
     assert as_rows(ours) == as_rows(theirs)
 
 
-@pytest.mark.parametrize("name", sorted(set(base.QUERIES) - set(base.SQL)))
+#: Its one gene on the smallest tables has a pseudogene, which this design does not exempt, so no window is left there.
+NEEDS_MORE_GENES = {"p_double_hyb"}
+
+
+@pytest.mark.parametrize("name", sorted(set(base.QUERIES) - set(base.SQL) - NEEDS_MORE_GENES))
 def test_query_without_sql_runs(name, spark, tables):
     assert base.QUERIES[name](spark, tables).count() > 0
 
@@ -36,3 +40,16 @@ def test_larger_tables_match_sql(name, spark, as_rows):
     ours = base.QUERIES[name](spark, sf).toPandas()
     assert as_rows(ours) == as_rows(c.execute(base.SQL[name]).df())
     assert len(ours) > 1_000
+
+
+def test_double_hybridisation_on_more_genes(spark):
+    """Both probes bind next to each other, free of other windows; the one gene whose windows all hit its pseudogene is out."""
+    from tilewright.catalog import templates
+
+    rows = base.QUERIES["p_double_hyb"](spark, "/root/testdata/sf0.01").collect()
+    first, second = templates.ENCODING["all"]["barcodes"]
+    flip = lambda s: s.translate(str.maketrans("ACGTN", "TGCAN"))[::-1]
+    assert len(rows) > 5 and all(r.circle_probe[13:-13] == f"{first}N{second}" and r.amp_probe[13:] == f"N{flip(second)}" for r in rows)
+    places = sorted((r.target, r.start) for r in rows)
+    assert all(a[0] != b[0] or b[1] - a[1] >= 40 for a, b in zip(places, places[1:], strict=False)) and all(s % 20 == 1 for _, s in places)
+    assert not any(int(t[1:]) % 3 == 0 and s <= 360 for t, s in places)
