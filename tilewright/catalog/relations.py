@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import sequence as S
 from ..functions.sequence import digest_bases
 from ..operators import annotation as A
-from ..operators import intervals, recovery, search, selection, summary
+from ..operators import alignment, intervals, recovery, search, selection, summary
 from ..operators import windows as W
 from .base import PARTS, Tables, bases_sql, long, parts, query, rc_sql, six
 
@@ -164,6 +164,13 @@ def e2(t: Tables) -> DataFrame:
     return search.heuristic_sites(whole, records(t), "q", "record", "r")
 
 
+@query("e2_gapped_local_sites")
+def e2_gapped(t: Tables) -> DataFrame:
+    """Each part's bases without the 16th, on both strands: every one has a site with a gap in its own record."""
+    short = t.part.select(F.concat(F.substring(digest_bases("p_partkey"), 1, 15), F.substring(digest_bases("p_partkey"), 17, 16)).alias("q"))
+    return alignment.local_sites(short, records(t), "q", "record", "r", "both")
+
+
 @query("e3_site_lists", f"SELECT query, count(*) AS mapped_sites_num, string_agg(record || ':' || start0, ';' ORDER BY record, start0) AS mapped FROM {_SITES} GROUP BY query")
 def e3(t: Tables) -> DataFrame:
     out = search.site_lists(sites(t))

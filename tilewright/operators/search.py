@@ -55,7 +55,7 @@ def _short_sites(q: DataFrame, records: DataFrame, record: str, seq: str) -> Dat
 def heuristic_sites(queries: DataFrame, records: DataFrame, query: str, record: str, seq: str, seed: int = 12, most: int = 100) -> DataFrame:
     """An approximation of a local aligner: exact seeds, ungapped extension over the query, score 2 a match and -6 a mismatch.
 
-    At least 20 + 8 ln(length) is asked, and the best ``most`` sites a query are kept. Gaps are not found.
+    At least 20 + 8 ln(length) is asked, and the best ``most`` sites a query are kept. Gaps are not found; ``alignment`` does.
     """
     q = queries.select(F.col(query).alias("query")).distinct()
     q = q.select("query", F.explode(F.filter(F.sequence(F.lit(1), F.length("query"), F.lit(4)), lambda i: i + seed - 1 <= F.length("query"))).alias("at")).withColumn("seed", F.substring(F.col("query"), F.col("at"), F.lit(seed)))
@@ -80,8 +80,9 @@ def fewest_mismatches(hits: DataFrame) -> DataFrame:
 
 
 def site_lists(hits: DataFrame) -> DataFrame:
-    """(query, mapped_sites, mapped_sites_num), sites in order of record and start."""
-    sites = F.array_sort(F.collect_list(F.struct("record", "start0", (F.col("start0") + F.length("query")).alias("end0"))))
+    """(query, mapped_sites, mapped_sites_num), sites in order of record and start; without end0 a site is as long as its query."""
+    end = F.col("end0") if "end0" in hits.columns else (F.col("start0") + F.length("query")).alias("end0")
+    sites = F.array_sort(F.collect_list(F.struct("record", "start0", end)))
     return hits.groupBy("query").agg(sites.alias("mapped_sites"), F.count("*").alias("mapped_sites_num"))
 
 

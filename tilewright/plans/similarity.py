@@ -15,8 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import reverse_complement
-from ..operators import search
+from ..operators import alignment, search
 
 TYPES = ("mapped_genes", "mapped_sites", "kmer_count")
 #: What a protocol's options mean where they are left out.
@@ -81,12 +80,8 @@ def _genes_hit(df: DataFrame, name: str, spec: dict, column: str, records: DataF
 
 
 def _local_sites(queries: DataFrame, records: DataFrame, column: str, strand: str) -> DataFrame:
-    """(query, strand, record, start0, mismatches = 0) of the heuristic search, on the strands that are asked for."""
-    signs = {"sense": ["+"], "antisense": ["-"], "both": ["+", "-"]}[strand]
-    words = F.array(*[F.struct(F.lit(s).alias("strand"), (F.col(column) if s == "+" else reverse_complement(column)).alias("word")) for s in signs])
-    both = queries.select(F.col(column).alias("q_"), F.explode(words).alias("x")).distinct().select("q_", "x.*")
-    found = search.heuristic_sites(both, records, "word", "record", "seq").withColumnRenamed("query", "word")
-    return found.join(both, "word").select(F.col("q_").alias("query"), "strand", "record", "start0", F.lit(0).alias("mismatches")).distinct()
+    """(query, strand, record, start0, end0, mismatches = 0) of gapped local alignments, on the strands that are asked for."""
+    return alignment.local_sites(queries, records, column, "record", "seq", strand).drop("score").withColumn("mismatches", F.lit(0))
 
 
 def _copies(spec: dict, name: str, tables: dict[str, DataFrame], targets: DataFrame, records: DataFrame) -> DataFrame | None:
