@@ -407,6 +407,14 @@ def j2(t: Tables) -> DataFrame:
     return _rounded(summary.column_stats(t.customer, "c_acctbal", ["c_mktsegment"]), ["c_mktsegment"])
 
 
+_LAST = ("l_quantity", "l_extendedprice", "l_discount")
+
+
+@query("j6_attribute_stats", " UNION ALL ".join(f"SELECT l_returnflag, '{c}' AS attribute, count({c}) AS count, round(CAST(min({c}) AS DOUBLE), 4) AS min, round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 4) AS median, round(CAST(max({c}) AS DOUBLE), 4) AS max FROM lineitem GROUP BY l_returnflag" for c in _LAST))
+def j6(t: Tables) -> DataFrame:
+    return summary.attribute_stats(t.lineitem, list(_LAST), ["l_returnflag"])
+
+
 @query("j3_overview", "SELECT CAST(sum(n) AS BIGINT) AS total, count(*) AS groups, max(n) AS most, min(n) AS least FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey)")
 def j3(t: Tables) -> DataFrame:
     return summary.overview(t.orders, "o_custkey")
@@ -429,9 +437,9 @@ def j5(t: Tables) -> DataFrame:
     return summary.run_summary(_staged(t), ["quantity", "discount", "tax"], "l_returnflag")
 
 
-@query("j7_off_target_summary", "SELECT count(DISTINCT l_suppkey) AS genes, count(DISTINCT CASE WHEN l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) THEN l_suppkey END) AS low FROM lineitem WHERE l_quantity < 3")
+@query("j7_off_target_summary", "SELECT count(DISTINCT l_suppkey) AS genes, count(DISTINCT CASE WHEN l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) THEN l_suppkey END) AS low FROM lineitem")
 def j7(t: Tables) -> DataFrame:
-    hit = t.lineitem.where("l_quantity < 3").select("l_suppkey").distinct()
+    hit = t.lineitem.select("l_suppkey").distinct()
     low = t.supplier.where("s_acctbal < 0").select(F.col("s_suppkey").alias("l_suppkey")).withColumn("low", F.lit(1))
     return hit.join(low, "l_suppkey", "left").agg(F.count("*").alias("genes"), F.count("low").alias("low"))
 
@@ -503,9 +511,9 @@ def k5(t: Tables) -> DataFrame:
     return recovery.set_recovery(kept(t).withColumn("rset", F.floor(F.col("p_partkey") / 2)), generated(t), "rset", "gset")
 
 
-@query("k6_wide_long_consistency", "SELECT l_suppkey, l_returnflag, 'wide' AS only_in FROM (SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem WHERE l_quantity < 5 EXCEPT SELECT l_suppkey, l_returnflag FROM lineitem WHERE l_quantity > 46) UNION ALL SELECT l_suppkey, l_returnflag, 'long' FROM (SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem WHERE l_quantity > 46 EXCEPT SELECT l_suppkey, l_returnflag FROM lineitem WHERE l_quantity < 5)")
+@query("k6_wide_long_consistency", "SELECT l_suppkey, l_returnflag, 'wide' AS only_in FROM (SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem WHERE l_linestatus = 'O' EXCEPT SELECT l_suppkey, l_returnflag FROM lineitem WHERE l_linestatus = 'F') UNION ALL SELECT l_suppkey, l_returnflag, 'long' FROM (SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem WHERE l_linestatus = 'F' EXCEPT SELECT l_suppkey, l_returnflag FROM lineitem WHERE l_linestatus = 'O')")
 def k6(t: Tables) -> DataFrame:
-    return recovery.same_pairs(t.lineitem.where("l_quantity < 5"), t.lineitem.where("l_quantity > 46"), ["l_suppkey", "l_returnflag"])
+    return recovery.same_pairs(t.lineitem.where("l_linestatus = 'O'"), t.lineitem.where("l_linestatus = 'F'"), ["l_suppkey", "l_returnflag"])
 
 
 @query("k7_j11_recovery_rates", f"""
@@ -550,9 +558,9 @@ def l10(t: Tables) -> DataFrame:
     return t.lineitem.groupBy("l_suppkey").agg(F.min("l_orderkey").alias("first"))
 
 
-@query("l11_intersect_difference", "SELECT 'both' AS k, count(*) AS n FROM (SELECT l_suppkey FROM lineitem WHERE l_quantity < 2 INTERSECT SELECT l_suppkey FROM lineitem WHERE l_quantity > 49) UNION ALL SELECT 'left', count(*) FROM (SELECT l_suppkey FROM lineitem WHERE l_quantity < 2 EXCEPT SELECT l_suppkey FROM lineitem WHERE l_quantity > 49)")
+@query("l11_intersect_difference", "SELECT 'both' AS k, count(*) AS n FROM (SELECT l_partkey FROM lineitem WHERE l_linestatus = 'O' INTERSECT SELECT l_partkey FROM lineitem WHERE l_linestatus = 'F') UNION ALL SELECT 'left', count(*) FROM (SELECT l_partkey FROM lineitem WHERE l_linestatus = 'O' EXCEPT SELECT l_partkey FROM lineitem WHERE l_linestatus = 'F')")
 def l11(t: Tables) -> DataFrame:
-    a, b = t.lineitem.where("l_quantity < 2").select("l_suppkey"), t.lineitem.where("l_quantity > 49").select("l_suppkey")
+    a, b = t.lineitem.where("l_linestatus = 'O'").select("l_partkey"), t.lineitem.where("l_linestatus = 'F'").select("l_partkey")
     n = lambda df, k: df.agg(F.count("*").alias("n")).select(F.lit(k).alias("k"), "n")
     return n(a.intersect(b), "both").unionAll(n(a.subtract(b), "left"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
 
 def _finite(c: str) -> Column:
     x = F.col(f"`{c}`").cast("double")
@@ -12,17 +13,25 @@ def _finite(c: str) -> Column:
 
 
 def column_stats(df: DataFrame, column: str, by: list[str] = ()) -> DataFrame:
-    """count, mean, std (n - 1), min, max, median, q25, q75 (linear) and range; NaN and null left out."""
-    x = _finite(column)
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy(*by).agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), q.alias("q_"), (F.max(x) - F.min(x)).alias("range"))
-    return out.select(*by, "count", "mean", "std", "min", "max", F.col("q_")[1].alias("median"), F.col("q_")[0].alias("q25"), F.col("q_")[2].alias("q75"), "range")
+    """count, mean, std (n - 1), min, max, median, q25, q75 (linear, exact) and range; NaN and null left out."""
+    x = F.col("x_")
+    beside = [F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")]
+    out = ranks.linear_quantiles(df, _finite(column), (0.25, 0.5, 0.75), by, beside)
+    return out.select(*by, F.col("n_").alias("count"), "mean", "std", "min", "max", F.col("q_")[1].alias("median"), F.col("q_")[0].alias("q25"), F.col("q_")[2].alias("q75"), (F.col("max") - F.col("min")).alias("range"))
 
 
 def quantiles(df: DataFrame, column: str, points: tuple[float, ...] = (0, 0.05, 0.25, 0.5, 0.75, 0.95, 1)) -> DataFrame:
-    """(point, value) of exact linear quantiles."""
-    row = df.agg(F.percentile(_finite(column), F.array(*map(F.lit, map(float, points)))).alias("v"))
-    return row.select(F.explode(F.arrays_zip(F.array(*map(F.lit, map(float, points))).alias("point"), F.col("v").alias("value"))).alias("x")).select("x.point", "x.value")
+    """(point, value) of exact linear quantiles; null where there is no value."""
+    row = ranks.linear_quantiles(df, _finite(column), points)
+    return row.select(F.explode(F.arrays_zip(F.array(*map(F.lit, map(float, points))).alias("point"), F.coalesce("q_", F.array().cast("array<double>")).alias("value"))).alias("x")).select("x.point", "x.value")
+
+
+def attribute_stats(df: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame:
+    """(by, attribute, count, min, median, max) of the final attributes: infinities, NaN and null left out, four decimals."""
+    known = F.array(*[F.struct(F.lit(c).alias("attribute"), F.col(f"`{c}`").cast("double").alias("v")) for c in columns])
+    long = df.select(*by, F.explode(known).alias("x")).select(*by, "x.attribute", F.when(F.abs("x.v") < float("inf"), F.col("x.v")).alias("v"))
+    out = ranks.linear_quantiles(long, F.col("v"), (0.0, 0.5, 1.0), [*by, "attribute"])
+    return out.select(*by, "attribute", F.col("n_").alias("count"), *[F.round(F.col("q_")[i], 4).alias(n) for i, n in enumerate(("min", "median", "max"))])
 
 
 def histogram(df: DataFrame, column: str, bins: int = 12) -> DataFrame:
