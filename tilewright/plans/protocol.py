@@ -158,8 +158,7 @@ ATTRIBUTES = {
     "rna_dna_dg37": lambda c, o, h: thermo.rna_dna_37(c, o.get("sequence") == "target"),
     "annealing_temperature": lambda c, o, h: _temperature(c, o.get("tm_method", "primer"), h),
 }
-#: Reaction conditions where a protocol gives none.
-CONDITIONS = {"na_mM": 50, "mg_mM": 0, "dntp_mM": 0.6, "probe_nM": 50, "formamide_pct": 0}
+CONDITIONS = finishing.CONDITIONS
 
 
 def conditions(protocol: dict, attribute: dict) -> dict:
@@ -361,6 +360,9 @@ def run(protocol: dict, targets: DataFrame, tables: dict[str, DataFrame] | None
     it; what passes all filters is kept again, as the steps behind read it several times. Candidates are numbered in order of extraction (segment, start, size, layout), which also breaks all ties;
     ``final_index`` numbers the result's rows of each target in its order. Probes that read probe_index are made again
     with the final numbers along the target, and declared modifications stand beside the sequences.
+
+    The protocol runs as it stands: a step written as an empty block runs with its defaults. ``rewrite.pruned`` takes such
+    blocks as placeholders and leaves them out, ``rewrite.normalised`` also adds what is missing; call them before.
     """
     found = analyse(protocol)
     if found:
