@@ -152,3 +152,17 @@ def test_sites_of_very_short_queries(spark):
     got = search.mismatch_sites(spark.createDataFrame([(w,) for w in words], "q string"), spark.createDataFrame([("r", record)], "record string, seq string"), "q", "record", "seq", 2).collect()
     want = {(w, i, d) for w in words for i in range(len(record) - len(w) + 1) if (d := sum(x != y for x, y in zip(w, record[i:], strict=False))) <= 2}
     assert {(x["query"], x["start0"], x["mismatches"]) for x in got} == want and len(got) == len(want)
+
+
+def test_transcript_values(spark):
+    hits = spark.createDataFrame([("q", "G1_T1", 0), ("q", "G1_T1", 5), ("q", "G1_T2.1", 0), ("q", "G2_T3", 1), ("p", "G2_T4.9", 1), ("p", "G3_N_5", 0)], "query string, record string, start0 int")
+    table = spark.createDataFrame([(" T1.4 ", 2.0), ("T1.4", 3.0), ("T2.1", 1.5), ("T2.2", 9.0), ("T3.1", 1.0), ("T3.2", 1.0), ("T4", 0.0), ("", 7.0), (None, 1.0), ("N_5", float("nan"))], "id string, value double")
+    got = {(x.query, x.gene): (x.value, x.missing, [tuple(t) for t in x.hit_transcripts]) for x in search.transcript_values(hits, table).collect()}
+    assert got == {
+        ("q", "G1"): (4.5, [], [("T1", 3.0), ("T2.1", 1.5)]),  # without version only one id fits T1; T2.1 is listed itself
+        ("q", "G2"): (None, ["T3"], [("T3", None)]),  # two ids without version
+        ("p", "G2"): (0.0, [], [("T4.9", 0.0)]),
+        ("p", "G3"): (None, ["N_5"], [("N_5", None)]),
+    }
+    assert search.transcript_values(hits.limit(0), table).count() == 0
+    assert search.transcript_values(hits, table.limit(0)).where("value is not null").count() == 0

@@ -266,6 +266,22 @@ def e14(t: Tables) -> DataFrame:
     return hits.join(table, "record").groupBy("query", search.gene_of(F.col("record")).alias("gene")).agg(F.sum("p_size").alias("value"))
 
 
+@query("e14_transcript_values", f"""
+WITH h AS (SELECT DISTINCT query, split_part(record, '_', 1) AS gene, split_part(record, '_', 2) AS transcript FROM {_SITES}),
+x AS (SELECT p_partkey || '.1' AS id, p_size AS v FROM part WHERE p_partkey % 3 > 0 UNION ALL SELECT p_partkey || '.2', p_size + 1 FROM part WHERE p_partkey % 5 = 0 UNION ALL SELECT p_partkey || '', p_size * 2 FROM part WHERE p_partkey % 7 = 0),
+u AS (SELECT split_part(id, '.', 1) AS base, max(v) AS v FROM x GROUP BY 1 HAVING count(*) = 1)
+SELECT query, gene, CAST(sum(coalesce(x.v, u.v)) AS DOUBLE) AS value, count(*) FILTER (WHERE coalesce(x.v, u.v) IS NULL) AS missing
+FROM h LEFT JOIN x ON x.id = transcript LEFT JOIN u ON u.base = transcript GROUP BY 1, 2""")
+def e14_values(t: Tables) -> DataFrame:
+    """Every hit, valued by a made table in which some ids have a version, some two, and some are not listed."""
+    key = F.col("p_partkey")
+    some = [(key % 3 > 0, ".1", F.col("p_size")), (key % 5 == 0, ".2", F.col("p_size") + 1), (key % 7 == 0, "", F.col("p_size") * 2)]
+    ids = F.array(*[F.when(test, F.struct(F.concat(key.cast("string"), F.lit(version)).alias("id"), value.alias("value"))) for test, version, value in some])
+    table = t.part.select(F.explode(ids).alias("x")).where("x is not null").select("x.*")
+    out = search.transcript_values(sites(t), table)
+    return out.select("query", "gene", "value", long(F.size("missing"), "missing"))
+
+
 @query("e17_shared_kmers", f"""
 WITH a AS (SELECT DISTINCT s_suppkey AS target, substr(b, CAST(i AS INT), 5) AS kmer FROM (SELECT s_suppkey, {bases_sql('s_suppkey')} AS b FROM supplier), generate_series(1, 28) x(i)),
 r AS (SELECT DISTINCT record, substr(r, CAST(i AS INT), 5) AS kmer FROM {_R}, generate_series(1, 28) x(i)),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import canonical, dna_kmers, hamming, packed_bases, packed_distance, reverse_complement
+from ..functions.sequence import canonical, dna_kmers, hamming, packed_bases, packed_distance, reverse_complement, strip_version
 
 
 def seeds(length: int, mismatches: int) -> list[tuple[int, int]]:
@@ -142,6 +142,24 @@ def expression_values(wanted: DataFrame, table: DataFrame, key: str, name: str,
     return by_key.join(v.withColumnRenamed("v_", "vn_"), F.col(name) == F.col("id_"), "left").withColumn("value", F.coalesce("vk_", "vn_")).drop("id_", "vk_", "vn_")
 
 
+def transcript_values(hits: DataFrame, expression: DataFrame) -> DataFrame:
+    """(query, gene, value, missing, hit_transcripts): each gene by the transcripts of it that a sequence hits.
+
+    hits: (query, record) with records named ``gene_transcript``; expression: (id, value) of transcripts. An id listed twice
+    has its largest value; ids and values that are null or blank are left out. A transcript is found by its id, else by its
+    id without version where only one listed id has that. value: the sum over those found, null where none is; missing: the
+    others, in order; hit_transcripts: (transcript, value) of all, in order. A site's count on a transcript does not matter.
+    """
+    listed_ids = expression.select(F.trim("id").alias("id_"), F.col("value").cast("double").alias("v")).where((F.col("id_") != "") & F.col("v").isNotNull() & ~F.isnan("v")).groupBy("id_").agg(F.max("v").alias("exact_"))
+    bare = listed_ids.groupBy(strip_version(F.col("id_")).alias("base_")).agg(F.count("*").alias("n_"), F.max("exact_").alias("only_")).where("n_ = 1").drop("n_")
+    h = hits.select("query", "record").distinct().select("query", gene_of(F.col("record")).alias("gene"), F.expr("substr(record, locate('_', record) + 1)").alias("transcript"))
+    h = h.join(listed_ids, F.col("transcript") == F.col("id_"), "left").drop("id_").withColumn("key_", strip_version(F.col("transcript")))
+    h = h.join(bare, F.col("key_") == F.col("base_"), "left").withColumn("value", F.coalesce("exact_", "only_"))
+    each = F.array_sort(F.collect_list(F.struct("transcript", "value")))  # as many as a gene has transcripts
+    out = h.groupBy("query", "gene").agg(F.sum("value").alias("value"), each.alias("hit_transcripts"))
+    return out.select("query", "gene", "value", F.transform(F.filter("hit_transcripts", lambda x: x["value"].isNull()), lambda x: x["transcript"]).alias("missing"), "hit_transcripts")
+
+
 def annotate(hits: DataFrame, targets: DataFrame, labels: DataFrame, expression: DataFrame | None = None, least: float = 0.0, fraction: float = 0.0, absent: str = "count", copies: DataFrame | None = None) -> DataFrame:
     """Per (query, target): how many genes count, and the lists of off-targets, unexpressed genes and copies.
 
