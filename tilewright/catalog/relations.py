@@ -527,9 +527,9 @@ def k5(t: Tables) -> DataFrame:
     return recovery.set_recovery(kept(t).withColumn("rset", F.floor(F.col("p_partkey") / 2)), generated(t), "rset", "gset")
 
 
-@query("k6_wide_long_consistency", "SELECT l_suppkey, l_returnflag, 'wide' AS only_in FROM (SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem WHERE l_linestatus = 'O' EXCEPT SELECT l_suppkey, l_returnflag FROM lineitem WHERE l_linestatus = 'F') UNION ALL SELECT l_suppkey, l_returnflag, 'long' FROM (SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem WHERE l_linestatus = 'F' EXCEPT SELECT l_suppkey, l_returnflag FROM lineitem WHERE l_linestatus = 'O')")
+@query("k6_wide_long_consistency", "SELECT l_partkey, l_returnflag, 'wide' AS only_in FROM (SELECT DISTINCT l_partkey, l_returnflag FROM lineitem WHERE l_linestatus = 'O' EXCEPT SELECT l_partkey, l_returnflag FROM lineitem WHERE l_linestatus = 'F') UNION ALL SELECT l_partkey, l_returnflag, 'long' FROM (SELECT DISTINCT l_partkey, l_returnflag FROM lineitem WHERE l_linestatus = 'F' EXCEPT SELECT l_partkey, l_returnflag FROM lineitem WHERE l_linestatus = 'O')")
 def k6(t: Tables) -> DataFrame:
-    return recovery.same_pairs(t.lineitem.where("l_linestatus = 'O'"), t.lineitem.where("l_linestatus = 'F'"), ["l_suppkey", "l_returnflag"])
+    return recovery.same_pairs(t.lineitem.where("l_linestatus = 'O'"), t.lineitem.where("l_linestatus = 'F'"), ["l_partkey", "l_returnflag"])
 
 
 @query("k7_j11_recovery_rates", f"""
