@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import sequence as S
 from ..functions.sequence import digest_bases
 from ..operators import annotation as A
-from ..operators import alignment, intervals, recovery, search, selection, summary
+from ..operators import alignment, intervals, recovery, search, seeds, selection, summary
 from ..operators import windows as W
 from .base import PARTS, Tables, bases_sql, long, parts, query, rc_sql, six
 
@@ -157,6 +157,13 @@ def e1b(t: Tables) -> DataFrame:
     return sites(t, "both", 1).select("query", "strand", "record", long("start0", "start0"))
 
 
+@query("e1_e3_e7_indexed_sites", f"SELECT query, split_part(record, '_', 1) AS gene, CAST(min(mismatches) AS BIGINT) AS mismatches, CAST(any_value(n) AS BIGINT) AS mapped_sites_num FROM (SELECT *, count(*) OVER (PARTITION BY query) AS n FROM {_SITES}) GROUP BY 1, 2")
+def e1_indexed(t: Tables) -> DataFrame:
+    """Two attributes of the same oligos from one index of the records."""
+    hits = seeds.indexed_sites(oligos(t), seeds.write_index(records(t), "record", "r", 9), "q", 2)
+    return search.fewest_mismatches(hits).join(search.site_lists(hits), "query").select("query", "gene", long("mismatches", "mismatches"), "mapped_sites_num")
+
+
 @query("e2_heuristic_sites")
 def e2(t: Tables) -> DataFrame:
     """An approximation by design; see the operator."""
@@ -214,7 +221,7 @@ def e8(t: Tables) -> DataFrame:
 
 def oligo_units(t: Tables, gap: int | None = None) -> DataFrame:
     half = t.part.select(F.col("p_partkey").alias("unit"), F.explode(F.array(F.substring(digest_bases("p_partkey"), 1, 10), F.substring(digest_bases("p_partkey"), 15, 10))).alias("w"))
-    hits = search.mismatch_sites(half, records(t), "w", "record", "r", 1)
+    hits = seeds.indexed_sites(half, seeds.write_index(records(t), "record", "r"), "w", 1)
     return search.units(half, hits, "unit", "w", gap).select("unit", "record", long("mismatches", "mismatches"))
 
 

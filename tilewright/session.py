@@ -30,14 +30,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` computed once, in the folder that driver and executors share; one of our own only where the session names
-    none, as in tests."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of our own only where the session names none, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = tempfile.mkdtemp(prefix="tilewright-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once, in the folder that driver and executors share."""
+    spark = df.sparkSession
+    folder = shared_folder(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
