@@ -166,3 +166,18 @@ def test_transcript_values(spark):
     }
     assert search.transcript_values(hits.limit(0), table).count() == 0
     assert search.transcript_values(hits, table.limit(0)).where("value is not null").count() == 0
+
+
+def test_pool_of_one_large_target(spark):
+    """Rows of one target over many batches, genes null and repeated, against a plain pass in rank order."""
+    r = random.Random(4)
+    rows = [(r.choice(["a", "a", "a", None]), None if i % 11 == 0 else [r.choice("vwxyz") for _ in range(r.randrange(4))], r.randrange(50), i) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "t string, genes array<string>, score int, row_id long")
+    got = {x.row_id for x in selection.off_target_pool(df, "t", "genes", 40, ["score"]).collect()}
+    used, want = {}, set()
+    for t, genes, _, i in sorted(rows, key=lambda x: (x[2], x[3])):
+        if all(used.get((t, g), 0) < 40 for g in set(genes or ())):
+            want.add(i)
+            for g in set(genes or ()):
+                used[t, g] = used.get((t, g), 0) + 1
+    assert got == want and len(got) < 3_000
