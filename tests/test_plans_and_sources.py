@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tilewright.operators import seeds
 from tilewright.plans import finishing, protocol
 from tilewright.plans.expression import ExpressionError, Typed, compile_expression, problems, references
 from tilewright.sources import readers, writers
@@ -140,6 +141,9 @@ def test_protocol_searches_other_tables(spark):
     assert kept(k, {"genome": records}) == [("a", 13), ("b", 1)]
     sites = p | {"attributes": {"s": {"type": "mapped_sites", "target": "target_region", "strand": "sense"}}, "post_process": {"filters": {"f": {"condition": "s_num == 1"}}}}
     assert kept(sites, {"genome": records}) == [("a", 13), ("b", 1)]
+    index = seeds.write_index(records, "record", "seq", 6)
+    assert kept(p, {"records": records, "records_index": index, "genes": genes}) == [("a", 13), ("b", 1)]
+    assert kept(sites, {"genome": records, "genome_index": index}) == [("a", 13), ("b", 1)]
     peaks = sites | {"post_process": {"avoid_otp": {"a": {"target_regions": [["a_1", 0, 24]]}}}}
     got = protocol.run(peaks, targets, {"genome": records}).collect()
     assert sorted((r["target"], r["start"], r["on_target"]) for r in got if r["target"] == "a") == [("a", 1, 1), ("a", 13, 1)]

@@ -192,6 +192,21 @@ def e4(t: Tables) -> DataFrame:
     return search.max_kmer_count(oligos(t), records(t), "q", "r", 7).select("s_suppkey", long("kmer_count", "kmer_count"))
 
 
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+_AS_BASES = ("ACGT" * 13)[:52]
+
+
+@query("e4_long_kmer_spectrum", f"""
+WITH d AS (SELECT translate(regexp_replace(text, '[^A-Za-z]', '', 'g'), '{_LETTERS}', '{_AS_BASES}') AS s FROM documents),
+k AS (SELECT substr(s, CAST(i AS INT), 24) AS k FROM d, unnest(generate_series(1, length(s) - 23)) x(i) WHERE length(s) >= 24),
+c AS (SELECT least(k, {rc_sql('k')}) AS kmer, count(*) AS n FROM k GROUP BY 1)
+SELECT n, count(*) AS kmers FROM c GROUP BY n""")
+def e4_long(t: Tables) -> DataFrame:
+    """How many words of 24 bases occur n times in all documents, whose letters stand for bases."""
+    texts = t.documents.select(F.translate(F.regexp_replace("text", "[^A-Za-z]", ""), _LETTERS, _AS_BASES).alias("s"))
+    return search.kmer_table(texts, "s", 24).groupBy(long("n", "n")).agg(F.count("*").alias("kmers"))
+
+
 @query("e5_locus_kmer_count", f"SELECT s_suppkey, CAST(max(coalesce(n, 0)) AS BIGINT) AS kmer_count FROM (SELECT s_suppkey, least(substr(q, CAST(i AS INT), 7), {rc_sql('substr(q, CAST(i AS INT), 7)')}) AS kmer FROM {_Q}, generate_series(1, 12) x(i)) LEFT JOIN {_KM} USING (kmer) GROUP BY s_suppkey")
 def e5(t: Tables) -> DataFrame:
     return search.max_kmer_count(oligos(t), records(t), "q", "r", 7, restrict=True).select("s_suppkey", long("kmer_count", "kmer_count"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import canonical, dna_kmers, hamming, packed_bases, packed_distance, reverse_complement, strip_version
+from . import kmers
 
 
 def seeds(length: int, mismatches: int) -> list[tuple[int, int]]:
@@ -87,13 +88,19 @@ def site_lists(hits: DataFrame) -> DataFrame:
 
 
 def kmer_table(records: DataFrame, seq: str, k: int, both_strands: bool = True, only: DataFrame | None = None) -> DataFrame:
-    """(kmer, n) over all records; with ``only`` (kmer), the others are dropped before they are counted."""
-    kmers = records.select(F.explode(dna_kmers(seq, k)).alias("kmer"))
+    """(kmer, n) over all records; with ``only`` (kmer), the others are dropped before they are counted.
+
+    Words of up to ``kmers.FEW`` bases are so few that each task counts them before they are moved; longer ones travel
+    in runs. With ``only`` what is left is moved, so words are made apart.
+    """
+    if only is None and kmers.FEW < k <= kmers.MOST:
+        return kmers.counts(records, seq, k, both_strands)
+    words = records.select(F.explode(dna_kmers(seq, k)).alias("kmer"))
     if both_strands:
-        kmers = kmers.select(canonical("kmer").alias("kmer"))
+        words = words.select(canonical("kmer").alias("kmer"))
     if only is not None:
-        kmers = kmers.join(only, "kmer", "left_semi")
-    return kmers.groupBy("kmer").agg(F.count("*").alias("n"))
+        words = words.join(only, "kmer", "left_semi")
+    return words.groupBy("kmer").agg(F.count("*").alias("n"))
 
 
 def max_kmer_count(queries: DataFrame, records: DataFrame, query: str, seq: str, k: int, both_strands: bool = True, restrict: bool = False) -> DataFrame:

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import hamming, packed_bases, reverse_complement
 from ..session import shared_folder
+from .kmers import chunks, windows
 from .search import mismatch_sites
 
-#: Bases that a packed number holds.
+#: Bases that a packed number holds, and stand before a chunk's own.
 WORD = 31
 #: Letters other than A, C, G, T that a seed may hold, and the most substitutions a seed is looked up with.
 ODD = 2
@@ -50,36 +51,6 @@ def substitutions(k: int, most: int) -> tuple[list[int], list[int]]:
     return out, counts
 
 
-def chunks(records: DataFrame, record: str, seq: str) -> DataFrame:
-    """(record, block, first, lead, own, n, seq): texts of ``CHUNK`` bases with ``lead`` before and up to ``REACH`` behind them.
-
-    Cut in one reading of a text; what is moved is the records once, so one long record is spread over all tasks.
-    """
-    pieces = records.where(F.length(seq) > 0).select(F.col(record).cast("string").alias("record"), F.length(seq).cast("long").alias("n"), F.regexp_extract_all(F.col(seq), F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)).alias("p"))
-
-    def row(text: Column, i: Column) -> Column:
-        lead = F.when(i > 0, F.substring(F.get("p", i - 1), CHUNK - WORD + 1, WORD)).otherwise("")
-        behind = F.coalesce(F.substring(F.get("p", i + 1), 1, REACH), F.lit(""))
-        return F.struct(i.cast("long").alias("block"), F.length(lead).alias("lead"), F.length(text).alias("own"), F.concat(lead, text, behind).alias("seq"))
-
-    out = pieces.select("record", "n", F.explode(F.transform("p", row)).alias("x"))
-    return out.select("record", "x.block", (F.col("x.block") * CHUNK).alias("first"), "x.lead", "x.own", "n", "x.seq")
-
-
-def _windows(values: np.ndarray) -> np.ndarray:
-    """Each place's next ``WORD`` values of two bits as one number: doubled widths 1, 2, 4, 8, 16, then joined to 31."""
-    total, width, parts = values, 1, []
-    while width <= WORD:
-        parts.append((width, total))
-        total = (total[: total.size - width] << 2 * width) | total[width:]
-        width *= 2
-    out, have = np.zeros(values.size - WORD + 1, np.int64), 0
-    for width, part in parts:
-        out = (out << 2 * width) | part[have : have + out.size]
-        have += width
-    return out
-
-
 def _packed_places(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     code, odd = np.zeros(256, np.int64), np.ones(256, np.int64)
     code[list(b"ACGT")], odd[list(b"ACGT")] = range(4), 0
@@ -90,7 +61,7 @@ def _packed_places(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Rec
             first, lead, own, n = (batch.column(c).to_numpy().astype(np.int64) for c in ("first", "lead", "own", "n"))
             flat = np.frombuffer((gap + gap.join(texts) + gap).encode("ascii", "replace"), np.uint8)
             steps = np.array([len(x) + WORD for x in texts])
-            bases, strange = _windows(code[flat]), _windows(odd[flat])
+            bases, strange = windows(code[flat], WORD), windows(odd[flat], WORD)
             row = np.repeat(np.arange(own.size), own)
             within = np.arange(row.size) - np.repeat(np.cumsum(own) - own, own)
             at, s = first[row] + within, (WORD + np.cumsum(steps) - steps + lead)[row] + within
@@ -122,7 +93,7 @@ def write_index(records: DataFrame, record: str, seq: str, k: int = 10, buckets:
         df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", f"{folder}/{name}/{part}").saveAsTable(f"{name}_{part}")
         return spark.table(f"{name}_{part}")
 
-    texts = saved(chunks(records, record, seq), "chunks", ["record", "block"])
+    texts = saved(chunks(records, record, seq, CHUNK, WORD, REACH), "chunks", ["record", "block"])
     places = texts.mapInArrow(lambda batches: _packed_places(batches, k), PLACES)
     counts = places.groupBy("seed").count()
     least = max((counts.agg(F.sum("count")).first()[0] or 0) / HOT, split_above)

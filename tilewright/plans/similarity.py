@@ -5,7 +5,8 @@
 * ``records`` (record, seq): transcripts named ``gene_transcript``, for ``mapped_genes``;
 * ``genes`` (gene[, label, biotype]): names, and the kinds that ``exempt_copies`` needs;
 * ``target_genes`` (target, gene): the genes that are a target; without it a target is the gene of its name;
-* ``expression`` (gene, value); ``genome`` (record, seq), for ``kmer_count`` and ``mapped_sites``.
+* ``expression`` (gene, value); ``genome`` (record, seq), for ``kmer_count`` and ``mapped_sites``;
+* ``records_index``, ``genome_index``: a ``seeds.SeedIndex`` of these tables, which all attributes and runs may share.
 
 Each attribute searches the distinct sequences that the cheaper filters have left, and is joined back by them.
 """
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import alignment, search
+from ..operators import alignment, search, seeds
 
 TYPES = ("mapped_genes", "mapped_sites", "kmer_count")
 #: What a protocol's options mean where they are left out.
@@ -66,15 +67,22 @@ def _oligos(spec: dict) -> list[Column]:
     return [F.concat(*(F.col(f"target_parts__{p}") for p in ([o] if isinstance(o, str) else o))) for o in spec["oligos"]]
 
 
-def _genes_hit(df: DataFrame, name: str, spec: dict, column: str, records: DataFrame) -> DataFrame:
+def _sites(queries: DataFrame, tables: dict, table: str, column: str, mismatches: int, strand: str) -> DataFrame:
+    """The sites of ``column`` in a table: from its index where the run has one, with the same result."""
+    if (index := tables.get(f"{table}_index")) is not None:
+        return seeds.indexed_sites(queries, index, column, mismatches, strand)
+    return search.mismatch_sites(queries, tables[table], column, "record", "seq", mismatches, strand)
+
+
+def _genes_hit(df: DataFrame, spec: dict, column: str, tables: dict) -> DataFrame:
     """(query, gene, mismatches) of the distinct sequences of ``column``; units of several oligos where they are named."""
     n, strand = spec.get("max_mismatches", MISMATCHES), spec.get("strand", STRAND)
     if spec.get("aligner", "bowtie") == "bowtie2":
-        return search.fewest_mismatches(_local_sites(df.select(column), records, column, strand))
+        return search.fewest_mismatches(_local_sites(df.select(column), tables["records"], column, strand))
     if not spec.get("oligos"):
-        return search.fewest_mismatches(search.mismatch_sites(df.select(column), records, column, "record", "seq", n, strand))
+        return search.fewest_mismatches(_sites(df.select(column), tables, "records", column, n, strand))
     members = df.select(_unit(spec, column).alias("unit"), F.explode(F.array(*_oligos(spec))).alias("oligo")).distinct()
-    hits = search.mismatch_sites(members, records, "oligo", "record", "seq", n, strand)
+    hits = _sites(members, tables, "records", "oligo", n, strand)
     whole = search.units(members, hits, "unit", "oligo", spec.get("max_gap"))
     return search.fewest_mismatches(whole.withColumnRenamed("unit", "query"))
 
@@ -99,7 +107,7 @@ def _copies(spec: dict, name: str, tables: dict[str, DataFrame], targets: DataFr
 
 def _mapped_genes(df: DataFrame, name: str, spec: dict, column: str, tables: dict, targets: DataFrame, options: dict) -> DataFrame:
     records = _needed(tables, name, "records")
-    hits = _genes_hit(df, name, spec, column, records)
+    hits = _genes_hit(df, spec, column, tables)
     own = df.select(_unit(spec, column).alias("query"), "target").distinct()
     genes = tables.get("target_genes")
     own = own.join(genes.select("target", "gene"), "target", "left") if genes is not None else own.withColumn("gene", F.col("target"))
@@ -121,7 +129,7 @@ def add(df: DataFrame, name: str, spec: dict, column: str, tables: dict[str, Dat
         found = search.max_kmer_count(df.select(column).distinct(), genome, column, "seq", spec["kmer_len"], spec.get("strand", STRAND) == "both", bool(spec.get("locus_only")))
         return df.join(found.select(F.col(column).alias("q_"), F.col("kmer_count").cast("long").alias(name)), F.col(column).eqNullSafe(F.col("q_")), "left").drop("q_")
     local = spec.get("aligner") == "bowtie2"
-    sites = _local_sites(df.select(column), genome, column, spec.get("strand", STRAND)) if local else search.mismatch_sites(df.select(column), genome, column, "record", "seq", spec.get("max_mismatches", 0), spec.get("strand", STRAND))
+    sites = _local_sites(df.select(column), genome, column, spec.get("strand", STRAND)) if local else _sites(df.select(column), tables, "genome", column, spec.get("max_mismatches", 0), spec.get("strand", STRAND))
     sites = search.site_lists(sites)
     found = sites.select(F.col("query").alias("q_"), F.col("mapped_sites").alias(name), F.col("mapped_sites_num").alias(f"{name}_num"))
     return df.join(found, F.col(column).eqNullSafe(F.col("q_")), "left").drop("q_").withColumn(f"{name}_num", F.coalesce(f"{name}_num", F.lit(0).cast("long")))
