@@ -9,13 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import canonical
-
-#: Longer words than FEW travel in runs; MOST is the longest of these.
-FEW, MOST = 10, 63
+#: Longer words than FEW travel in runs; MOST is the longest of these, so that a run of 31 bases holds at least five.
+FEW, MOST = 10, 27
+WORD = 31
 CHUNK = 4096
-#: Most words of a run: runs of repeats are cut into equal pieces, which a task counts as one row.
-RUN = 64
 ROWS = 512
 
 
@@ -73,14 +70,13 @@ def minimizers(codes: np.ndarray, k: int, m: int, both_strands: bool) -> np.ndar
     return _least((mixed >> np.uint64(2)).astype(np.int64), k - m + 1)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], k: int, m: int, both_strands: bool) -> Iterator[pa.RecordBatch]:
+def _runs(batches: Iterator[pa.RecordBatch], k: int, m: int, both_strands: bool, buckets: int) -> Iterator[pa.RecordBatch]:
     code, odd = np.zeros(256, np.int64), np.ones(256, np.int64)
     code[list(b"ACGT")], odd[list(b"ACGT")] = range(4), 0
     for whole in batches:
         for batch in (whole.slice(i, ROWS) for i in range(0, whole.num_rows, ROWS)):
             texts, own = batch.column("seq").to_pylist(), batch.column("own").to_numpy().astype(np.int64)
-            text = "-".join(texts).encode("ascii", "replace").decode() + "-" * k
-            flat = np.frombuffer(text.encode(), np.uint8)
+            flat = np.frombuffer(("-".join(texts) + "-" * WORD).encode("ascii", "replace"), np.uint8)
             steps = np.array([len(x) + 1 for x in texts])
             starts = np.cumsum(steps) - steps
             least = minimizers(code[flat], k, m, both_strands)
@@ -95,29 +91,47 @@ def _runs(batches: Iterator[pa.RecordBatch], k: int, m: int, both_strands: bool)
             new = np.ones(at.size, bool)
             new[1:] = (np.diff(at) > 1) | (least[at[1:]] != least[at[:-1]])
             head = np.flatnonzero(new)
-            new |= (np.arange(at.size) - np.repeat(head, np.diff(np.append(head, at.size)))) % RUN == 0
+            new |= (np.arange(at.size) - np.repeat(head, np.diff(np.append(head, at.size)))) % (WORD - k + 1) == 0
             head = np.flatnonzero(new)
-            begin, words = at[head], np.diff(np.append(head, at.size))
-            runs = [text[a : a + n + k - 1] for a, n in zip(begin.tolist(), words.tolist(), strict=True)]
-            table = pa.table({"minimizer": least[begin], "run": runs, "times": np.ones(head.size, np.int64)}).group_by(["minimizer", "run"]).aggregate([("times", "sum")])
-            yield from table.rename_columns(["minimizer", "run", "times"]).to_batches()
+            begin, size = at[head], np.diff(np.append(head, at.size)) + k - 1
+            packed = windows(code[flat], WORD)[begin] >> 2 * (WORD - size) | np.int64(1) << 2 * size  # a 1 in front tells how long it is
+            run, first, times = np.unique(packed, return_index=True, return_counts=True)
+            bucket = least[begin[first]] % buckets
+            order = np.lexsort((times, bucket))
+            run, bucket, times = run[order], bucket[order], times[order]
+            cut = np.flatnonzero(np.append(True, (np.diff(bucket) != 0) | (np.diff(times) != 0)))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(cut, run.size).astype(np.int32)), pa.array(run))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array(times[cut].astype(np.int64)), lists], ["bucket", "times", "runs"])
 
 
 def runs(records: DataFrame, seq: str, k: int, both_strands: bool = True) -> DataFrame:
-    """(minimizer, run, times): stretches of A, C, G, T whose k-mers share a minimizer, equal ones of a batch counted as one."""
-    m = min(k - 1, 9 if k < 20 else 11)
+    """(bucket, times, runs): packed stretches of A, C, G, T whose k-mers share a minimizer, by its bucket; equal ones of a
+    batch are one that counts so many times, so a repeat of any length is a few runs a batch."""
+    m, buckets = min(k - 1, 9 if k < 20 else 11), 8 * int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = chunks(records.withColumn("r_", F.lit("")), "r_", seq, CHUNK, 0, k - 1).select("own", "seq")
-    return texts.mapInArrow(lambda batches: _runs(batches, k, m, both_strands), "minimizer long, run string, times long")
+    return texts.mapInArrow(lambda batches: _runs(batches, k, m, both_strands, buckets), "bucket long, times long, runs array<long>")
+
+
+def turned(df: DataFrame, word: str, k: int, name: str) -> DataFrame:
+    """``df`` with the reverse complement of a packed word of k bases: its bits inverted, then pairs, fours, ... exchanged."""
+    out = df.withColumn(name, F.expr(f"~{word}"))
+    for shift, half in ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF), (32, 0x00000000FFFFFFFF)):
+        out = out.withColumn(name, F.expr(f"(shiftrightunsigned({name}, {shift}) & {half}L) | shiftleft({name} & {half}L, {shift})"))
+    return out.withColumn(name, F.expr(f"shiftrightunsigned({name}, {64 - 2 * k})"))
 
 
 def counts(records: DataFrame, seq: str, k: int, both_strands: bool = True) -> DataFrame:
     """(kmer, n): all k-mers of A, C, G, T, a k-mer and its reverse complement as one if ``both_strands``.
 
-    A k-mer always has the same minimizer, so runs dealt by it are taken apart and counted where they arrive: one shuffle,
-    of a row a run instead of a row a word. Runs of a common word are counted before by each batch.
+    For k from 2 to ``MOST``. A k-mer always has the same minimizer, so runs dealt by it are taken apart and counted as
+    numbers where they arrive: one shuffle, of eight bytes a run. Null and empty texts have no k-mer.
     """
-    dealt = runs(records, seq, k, both_strands).repartition("minimizer")
-    words = dealt.select("minimizer", "times", F.explode(F.transform(F.sequence(F.lit(1), F.length("run") - k + 1), lambda i: F.substring(F.col("run"), i, F.lit(k)))).alias("kmer"))
+    if not 2 <= k <= MOST:
+        raise ValueError(f"runs hold words of 2 to {MOST} bases, not {k}")
+    dealt = runs(records, seq, k, both_strands).repartition("bucket").select("bucket", "times", F.explode("runs").alias("run"))
+    size = dealt.withColumn("more", F.expr(f"cast((length(bin(run)) - 1) / 2 as int) - {k}"))
+    words = size.select("bucket", "times", F.explode(F.expr(f"transform(sequence(0, more), i -> shiftright(run, 2 * i) & {(1 << 2 * k) - 1}L)")).alias("word"))
     if both_strands:
-        words = words.withColumn("kmer", canonical("kmer"))
-    return words.groupBy("minimizer", "kmer").agg(F.sum("times").alias("n")).select("kmer", "n")
+        words = turned(words, "word", k, "other").select("bucket", "times", F.least("word", "other").alias("word"))
+    n = words.groupBy("bucket", "word").agg(F.sum("times").alias("n"))
+    return n.select(F.translate(F.lpad(F.conv(F.col("word").cast("string"), 10, 4), k, "0"), "0123", "ACGT").alias("kmer"), "n")

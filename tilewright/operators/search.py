@@ -90,8 +90,8 @@ def site_lists(hits: DataFrame) -> DataFrame:
 def kmer_table(records: DataFrame, seq: str, k: int, both_strands: bool = True, only: DataFrame | None = None) -> DataFrame:
     """(kmer, n) over all records; with ``only`` (kmer), the others are dropped before they are counted.
 
-    Words of up to ``kmers.FEW`` bases are so few that each task counts them before they are moved; longer ones travel
-    in runs. With ``only`` what is left is moved, so words are made apart.
+    Words of up to ``kmers.FEW`` bases are so few that each task counts them before they are moved; those of up to
+    ``kmers.MOST`` travel in packed runs; longer ones, and what ``only`` leaves, are moved one by one.
     """
     if only is None and kmers.FEW < k <= kmers.MOST:
         return kmers.counts(records, seq, k, both_strands)
