@@ -130,7 +130,8 @@ def counts(records: DataFrame, seq: str, k: int, both_strands: bool = True) -> D
         raise ValueError(f"runs hold words of 2 to {MOST} bases, not {k}")
     dealt = runs(records, seq, k, both_strands).repartition("bucket").select("bucket", "times", F.explode("runs").alias("run"))
     size = dealt.withColumn("more", F.expr(f"cast((length(bin(run)) - 1) / 2 as int) - {k}"))
-    words = size.select("bucket", "times", F.explode(F.expr(f"transform(sequence(0, more), i -> shiftright(run, 2 * i) & {(1 << 2 * k) - 1}L)")).alias("word"))
+    words = size.select("bucket", "times", "run", F.explode(F.sequence(F.lit(0), F.col("more"))).alias("i"))
+    words = words.select("bucket", "times", F.expr(f"shiftright(run, 2 * i) & {(1 << 2 * k) - 1}L").alias("word"))
     if both_strands:
         words = turned(words, "word", k, "other").select("bucket", "times", F.least("word", "other").alias("word"))
     n = words.groupBy("bucket", "word").agg(F.sum("times").alias("n"))
