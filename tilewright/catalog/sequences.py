@@ -11,7 +11,7 @@ from ..functions import barcodes, folding, thermo
 from ..functions import sequence as S
 from ..operators import windows as W
 from ..plans.expression import Typed, compile_expression
-from .base import PARTS, Tables, long, parts, query, rc_sql, six
+from .base import PARTS, Tables, dealt_parts, long, parts, query, rc_sql, six
 
 
 @query("b1_sliding_windows", f"""
@@ -208,24 +208,24 @@ def f10(t: Tables) -> DataFrame:
 @query("f11_f13_stem_score")
 def f11(t: Tables) -> DataFrame:
     """A stand-in for folding energies, under a name of its own."""
-    return parts(t).select("p_partkey", long(thermo.stem_score("seq"), "stem_score"))
+    return dealt_parts(t).select("p_partkey", long(thermo.stem_score("seq"), "stem_score"))
 
 
 @query("f11_fold_score")
 def f11_fold(t: Tables) -> DataFrame:
     """Checked against all structures in the tests."""
-    return parts(t).select("p_partkey", folding.fold_score("seq").alias("fold_score"))
+    return dealt_parts(t).select("p_partkey", folding.fold_score("seq").alias("fold_score"))
 
 
 @query("f13_blocks")
 def f13_blocks(t: Tables) -> DataFrame:
     """Checked against all structures in the tests."""
-    return parts(t).select("p_partkey", folding.blocks("seq", 10).cast("long").alias("blocks"))
+    return dealt_parts(t).select("p_partkey", folding.blocks("seq", 10).cast("long").alias("blocks"))
 
 
 @query("f12_self_match", f"SELECT p_partkey, count(*) FILTER (WHERE substr(seq, CAST(i AS INT) + 1, 4) = substr({rc_sql('seq')}, CAST(j AS INT) + 1, 4) AND i + j + 2 <> length(seq)) AS n FROM {PARTS}, generate_series(0, 28) a(i), generate_series(0, 28) b(j) GROUP BY p_partkey")
 def f12(t: Tables) -> DataFrame:
-    return parts(t).select("p_partkey", long(S.self_match("seq"), "n"))
+    return dealt_parts(t).select("p_partkey", long(S.self_match("seq"), "n"))
 
 
 @query("f14_f15_differences", f"""
