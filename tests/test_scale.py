@@ -73,3 +73,9 @@ def test_long_rows_are_dealt(spark, tables):
 
     for name in ("f11_fold_score", "f13_blocks", "f11_f13_stem_score", "f12_self_match"):
         assert "REPARTITION_BY_NUM" in _plan(base.QUERIES[name](spark, tables)), name
+
+
+def test_a_gapped_site_needs_several_seeds(spark):
+    """A chance seed of 10 bases is no reason to extend: a site of 31 bases holds three."""
+    row = spark.range(1).select(*[alignment.least_seeds(F.lit(n), F.lit(k)).alias(f"a{n}") for n, k in ((31, 10), (41, 10), (24, 22))]).first()
+    assert (row.a31, row.a41, row.a24) == (3, 1, 2)
