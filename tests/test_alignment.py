@@ -100,3 +100,25 @@ def test_short_queries_and_empty_tables(spark):
     assert A.local_sites(short, t, "q", "name", "s").count() == 0  # a whole match of 21 bases scores too little
     assert A.local_sites(short.limit(0), t, "q", "name", "s").count() == 0
     assert A.local_sites(short, t.limit(0), "q", "name", "s").count() == 0
+
+
+def test_regions_without_the_words_of_a_site_are_not_extended():
+    """Rows with up to six changes, gaps and N: none that reaches the score is left out, and of chance regions nearly all are."""
+    rng, bases = np.random.default_rng(3), np.frombuffer(b"ACGT", np.uint8)
+    for n in (18, 31, 41, 60):
+        least = A.LEAST + A.LEAST_LOG * np.log(n)
+        reach = A.WIDTH - 1 + 2 * max(int((2 * n - 5 - least) // 3), 0) + n
+        q, r = rng.choice(bases, (2000, n)), rng.choice(bases, (2000, reach))
+        for i in range(1000):
+            x, at = list(q[i]), int(rng.integers(0, reach - n + 1))
+            for _ in range(rng.integers(0, 7)):
+                j = int(rng.integers(0, len(x)))
+                x[j : j + 1] = [[int(rng.choice(bases))], [], [x[j], int(rng.choice(bases))], [ord("N")]][rng.integers(0, 4 if i % 4 == 0 else 3)]
+            x = np.array(x[: reach - at], np.uint8)
+            r[i, at : at + len(x)] = x
+        may = A.may_reach(q, r)
+        score, _, _ = A.extend(q, r)
+        assert not ((score >= least) & ~may).any(), n
+        assert n == 18 or (score[:1000] >= least).sum() > 100
+        if n in (31, 41):
+            assert may[1000:].mean() < 0.01
