@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import cut, free_name, shuffle_partitions
+from .session import cut, free_name, lean, shuffle_partitions
 from .vectors import SPACED, chunks, lower_ascii, mix, row_bounds, span_hashes, words
 
 WIDTH = 5
@@ -50,6 +50,9 @@ FIRST_RUNS = 8
 RUN_BLOCK = 4096
 PAIRS_AT_ONCE = 200_000
 SIGNATURES_PER_TASK = 3_000_000
+#: Bits of a signature that are compared, beyond those that number all of them: chance meetings cost a comparison each, no
+#: result, and stay a share of the signatures. No more than SIG_BYTES hold.
+SPARE_BITS, SIG_BYTES = 13, 6
 BROADCAST_ROWS = 500_000  # of about 40 bytes each
 
 
@@ -179,23 +182,34 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(sigs), np.concatenate(owners)
 
 
-def _packed(sets: list[np.ndarray], keys: list[int], n: int) -> pa.RecordBatch:
-    """Signatures by range of their hash: a row a range, with 40 bits of each signature, and its class's place among the
-    names of the classes that have any there."""
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """Numbers byte by byte, the lowest of all first: bytes that are mostly zero stand together, which the shuffle compresses."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _from_planes(blob: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(blob) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(blob, np.uint8).reshape(width, -1).T
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
+def _packed(sets: list[np.ndarray], keys: list[int], n: int, bits: int) -> pa.RecordBatch:
+    """Signatures by range of their hash: a row a range, with the first bits of each signature in ascending order as
+    distances, about three bytes each, and its class's place among the names of the classes that have any there."""
     sig, own = signatures(sets)
-    part = ((sig >> np.uint64(40)) * np.uint64(n) >> np.uint64(24)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    sig, own, part = sig[order], own[order].astype("<u2"), part[order]
-    low, high = sig.astype("<u4"), (sig >> np.uint64(32)).astype(np.uint8)
+    sig >>= np.uint64(64 - bits)
+    order = np.argsort(sig)
+    sig, own = sig[order], own[order]
+    part = ((sig >> np.uint64(bits - 24)) * np.uint64(n) >> np.uint64(24)).astype(np.int64)
     numbers, begin = np.unique(part, return_index=True)
     end = np.append(begin[1:], len(part))
     keys_ = np.array(keys, "<i8")
-    cols: list[list[bytes]] = [[], [], [], []]
+    cols: list[list[bytes]] = [[], [], []]
     for a, b in zip(begin, end, strict=True):
         there, place = np.unique(own[a:b], return_inverse=True)
-        for c, x in zip(cols, (low[a:b], high[a:b], place.astype("<u2"), keys_[there]), strict=True):
-            c.append(x.tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(numbers.astype(np.int32)), *(pa.array(c, pa.binary()) for c in cols)], ["part", "low", "high", "own", "names"])
+        for c, x in zip(cols, (_planes(np.diff(sig[a:b], prepend=np.uint64(0)), SIG_BYTES), _planes(place, 2), keys_[there].tobytes()), strict=True):
+            c.append(x)
+    return pa.RecordBatch.from_arrays([pa.array(numbers.astype(np.int32)), *(pa.array(c, pa.binary()) for c in cols)], ["part", "sigs", "own", "names"])
 
 
 def _candidates(sig: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
@@ -250,11 +264,11 @@ def document_sets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
             sets = shingle_sets(batch.column(2))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())], [key, "hash", "n_shingles", "set_key", "sketch"])
 
-    return docs.select(key, F.xxhash64(text).alias("hash"), text).mapInArrow(run, f"`{key}` {kind}, hash long, n_shingles long, set_key long, sketch binary")
+    return docs.select(key, F.xxhash64(text).alias("hash"), text).mapInArrow(lean(run), f"`{key}` {kind}, hash long, n_shingles long, set_key long, sketch binary")
 
 
-def candidates(docs: DataFrame, tasks: int, text: str = "text") -> DataFrame:
-    """(kind, a, b) of classes that share a signature, as ``_candidates`` gives them for each range."""
+def candidates(docs: DataFrame, tasks: int, text: str = "text", bits: int = 8 * SIG_BYTES) -> DataFrame:
+    """(kind, a, b) of classes that share the first bits of a signature, as ``_candidates`` gives them for each range."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
@@ -266,11 +280,10 @@ def candidates(docs: DataFrame, tasks: int, text: str = "text") -> DataFrame:
                         sets[k] = s
                         size += len(s) + 20
                 if size > 300_000 or len(sets) > 50_000:
-                    yield _packed(list(sets.values()), list(sets), tasks)
+                    yield _packed(list(sets.values()), list(sets), tasks, bits)
                     sets, size = {}, 0
         if sets:
-            yield _packed(list(sets.values()), list(sets), tasks)
-        pa.default_memory_pool().release_unused()  # the worker lives on for later stages
+            yield _packed(list(sets.values()), list(sets), tasks, bits)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_part: dict[int, list[tuple[bytes, ...]]] = {}
@@ -279,18 +292,16 @@ def candidates(docs: DataFrame, tasks: int, text: str = "text") -> DataFrame:
                 by_part.setdefault(part, []).append(tuple(blobs))
         for part in sorted(by_part):
             blobs = by_part.pop(part)
-            sig = np.frombuffer(b"".join(x[0] for x in blobs), "<u4").astype(np.uint64)
-            sig |= np.frombuffer(b"".join(x[1] for x in blobs), np.uint8).astype(np.uint64) << np.uint64(32)
-            key = np.concatenate([np.frombuffer(x[3], "<i8")[np.frombuffer(x[2], "<u2")] for x in blobs])
+            sig = np.concatenate([np.cumsum(_from_planes(x[0], SIG_BYTES), dtype=np.uint64) for x in blobs])
+            key = np.concatenate([np.frombuffer(x[2], "<i8")[_from_planes(x[1], 2).astype(np.int64)] for x in blobs])
             del blobs
             out = _candidates(sig, key)
             del sig, key
             for a in range(0, out.num_rows, 50_000):
                 yield out.slice(a, 50_000)
-        pa.default_memory_pool().release_unused()
 
-    packed = docs.select(text).mapInArrow(emit, "part int, low binary, high binary, own binary, names binary")
-    return packed.repartitionById(tasks, "part").mapInArrow(meet, "kind int, a long, b long")
+    packed = docs.select(text).mapInArrow(lean(emit), "part int, sigs binary, own binary, names binary")
+    return packed.repartitionById(tasks, "part").mapInArrow(lean(meet), "kind int, a long, b long")
 
 
 def _verified(pairs: DataFrame, info: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -348,9 +359,9 @@ def _verified(pairs: DataFrame, info: DataFrame, docs: DataFrame, key: str, text
                         found.append((a, k))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
-    sets = rows.mapInArrow(send, "set_key long, a long, block int, role int, items binary")
+    sets = rows.mapInArrow(lean(send), "set_key long, a long, block int, role int, items binary")
     met = sets.repartition(shuffle_partitions(spark), "a", "block").sortWithinPartitions("a", "block", "role")
-    return met.mapInArrow(run, "a long, b long").distinct()
+    return met.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -393,7 +404,7 @@ def _plausible(pairs: DataFrame, info: DataFrame) -> DataFrame:
             ok = _alike(batch.column(3).to_pylist() + batch.column(4).to_pylist(), n, n + len(n), batch.column(2).to_numpy())
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(lean(run), "a long, b long")
 
 
 def _stray_pairs(t: pa.Table, most: int | None) -> pa.RecordBatch:
@@ -480,7 +491,7 @@ def _crossing(runs: DataFrame, known: DataFrame, info: DataFrame, most: int | No
         if rest:
             yield _stray_pairs(pa.Table.from_batches(rest), most)
 
-    return rows.mapInArrow(pairs, "a long, b long").distinct()
+    return rows.mapInArrow(lean(pairs), "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -489,7 +500,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     rows = cut(document_sets(docs, key, text))
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     tasks = max(shuffle_partitions(spark), -(-total // SIGNATURES_PER_TASK))
-    found = cut(candidates(docs, tasks, text))
+    bits = min(max(total.bit_length() + SPARE_BITS, 32), 8 * SIG_BYTES)
+    found = cut(candidates(docs, tasks, text, bits))
     pairs = cut(found.where("kind = 0").select("a", "b").distinct())
     runs = cut(found.where("kind = 1").select("a", "b").distinct())
     classes = rows.where("set_key is not null").groupBy("set_key").agg(F.min(key).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .session import lean
 from .vectors import byte_class, chunks, lower_ascii
 
 DIMS = 1 << 13
@@ -144,10 +145,10 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int =
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(at, pa.binary()), pa.array(val, pa.binary())], ["l", "x", "at", "val"])
 
     seen = np.zeros(DIMS + 1, np.int64)
-    for r in some.select("t").mapInArrow(document_counts, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+    for r in some.select("t").mapInArrow(lean(document_counts), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
         seen[r["at"]] = r["n"]
     drawn = some.where(below({k: max(x) for k, x in copies.items()})).dropDuplicates(["l", "x"])
-    got = drawn.select("t", "l", "x").mapInArrow(sparse, "l string, x long, at binary, val binary").toArrow().sort_by([("l", "ascending"), ("x", "ascending")])
+    got = drawn.select("t", "l", "x").mapInArrow(lean(sparse), "l string, x long, at binary, val binary").toArrow().sort_by([("l", "ascending"), ("x", "ascending")])
     names = np.array(got.column("l").to_pylist(), object)
 
     def column(name: str, kind: str, rows: np.ndarray) -> list[np.ndarray]:
@@ -218,7 +219,7 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text", prefix: st
                 [*(batch.schema.names[i] for i in kept), *names],
             )
 
-    return df.withColumn(lettered, has_letter(F.col(text))).mapInArrow(run, schema)
+    return df.withColumn(lettered, has_letter(F.col(text))).mapInArrow(lean(run), schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .session import lean
 from .vectors import byte_class, chunks
 
 KINDS = ("email", "ip", "card", "phone")
@@ -321,7 +322,7 @@ def fit(docs: DataFrame, text: str = "text", most: int = MOST_TRAINING_TEXTS) ->
     edge = some.select("h").orderBy("h").limit(most).agg(F.max("h")).first()[0]
     if edge is None:
         return train([])
-    rows = some.where(F.col("h") <= F.lit(edge)).dropDuplicates(["h"]).select("t").mapInArrow(windows, "w string").collect()
+    rows = some.where(F.col("h") <= F.lit(edge)).dropDuplicates(["h"]).select("t").mapInArrow(lean(windows), "w string").collect()
     return train(sorted(r["w"] for r in rows))
 
 
@@ -356,7 +357,7 @@ def find_pii(df: DataFrame, model: Field, text: str = "text", key: str = "doc_id
             kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [key, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "n_spans"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long")
+    return df.select(key, text).mapInArrow(lean(run), f"`{key}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long")
 
 
 def redact(df: DataFrame, model: Field, text: str = "text") -> DataFrame:
@@ -379,4 +380,4 @@ def redact(df: DataFrame, model: Field, text: str = "text") -> DataFrame:
             new = [t if t is None or not _TRIGGER.search(t) else clean(t) for t in batch.column(i).to_pylist()]
             yield batch.set_column(i, batch.schema.field(i), pa.array(new, batch.schema.field(i).type))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship as ship_package
 from ..session import table
 
-__all__ = ["cut", "free_name", "shared_dir", "ship", "shuffle_partitions", "table"]
+__all__ = ["cut", "free_name", "lean", "shared_dir", "ship", "shuffle_partitions", "table"]
 
 
 #: Rows of an Arrow batch: whole texts go to Python workers, so the default of 10,000 would hold much at once.
@@ -57,6 +60,24 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Return a worker's freed memory to the system: it lives on for later stages, beside other workers and the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, after which a task's memory is given back."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 def free_name(df: DataFrame, *wanted: str) -> list[str]:
     """Names like ``wanted`` that no column of ``df`` has (Spark's names ignore case)."""
     taken = {c.lower() for c in df.columns}
