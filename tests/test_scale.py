@@ -1,5 +1,6 @@
 """Steps whose cost must grow with their input: what is dealt over tasks, and what must not pass the driver."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -79,3 +80,26 @@ def test_a_gapped_site_needs_several_seeds(spark):
     """A chance seed of 10 bases is no reason to extend: a site of 31 bases holds three."""
     row = spark.range(1).select(*[alignment.least_seeds(F.lit(n), F.lit(k)).alias(f"a{n}") for n, k in ((31, 10), (41, 10), (24, 22))]).first()
     assert (row.a31, row.a41, row.a24) == (3, 1, 2)
+
+
+def test_heuristic_sites_move_the_bases_they_compare(spark):
+    """Beyond the seeds' join no record travels whole; scores are those of a plain pass, also where a record ends early."""
+    draw = random.Random(7)
+    base = "".join(draw.choice("ACGT") for _ in range(400))
+    changed = [base[a : a + n] for a, n in ((0, 32), (100, 45), (368, 32))] + [base[50:66] + "A" + base[67:90], base[380:] + "ACGTACGTACGT" * 2]
+    recs = [("a_1", base), ("b_1", base[40:130] + "NN" + base[200:260]), ("c_1", base[385:])]
+    df = search.heuristic_sites(spark.createDataFrame([(x,) for x in changed], "q string"), spark.createDataFrame(recs, "r string, seq string"), "q", "r", "seq")
+    want = set()
+    for q in changed:
+        for name, text in recs:
+            ats = {s - i for i in range(0, len(q) - 11, 4) for s in range(len(text) - 11) if q[i : i + 12] == text[s : s + 12]}
+            for at in (x for x in ats if x >= 0):
+                now = best = 0
+                for i, x in enumerate(q):
+                    now = max(0, now + (2 if text[at + i : at + i + 1] == x else -6))
+                    best = max(best, now)
+                if best >= 20 + 8 * math.log(len(q)):
+                    want.add((q, name, at, best))
+    assert {tuple(x) for x in df.collect()} == want and len(want) >= 5
+    dealt = [x for x in _plan(df).splitlines() if "Exchange hashpartitioning(query" in x]
+    assert dealt and not [x for x in dealt if "seq#" in x]
