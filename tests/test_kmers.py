@@ -64,3 +64,10 @@ def test_windows_and_minimizers():
     assert kmers.windows(codes[:3], 5).size == 0
     turned = kmers.minimizers(3 - codes[::-1], 18, 9, True)[::-1]
     assert (turned == kmers.minimizers(codes, 18, 9, True)).all()
+
+
+def test_runs_are_dealt_to_tasks_that_can_count_them(spark):
+    """Runs hold many times their bytes in words, so tasks are not put together by these; and words are not moved again."""
+    df = kmers.counts(spark.createDataFrame([("ACGT" * 40,)], "s string"), "s", 24)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
