@@ -103,3 +103,31 @@ def test_heuristic_sites_move_the_bases_they_compare(spark):
     assert {tuple(x) for x in df.collect()} == want and len(want) >= 5
     dealt = [x for x in _plan(df).splitlines() if "Exchange hashpartitioning(query" in x]
     assert dealt and not [x for x in dealt if "seq#" in x]
+
+
+def test_shared_short_words_are_counted_by_block(spark, monkeypatch):
+    """Several blocks on both sides, repeated and null names, other letters, texts without a word; no join by words."""
+    monkeypatch.setattr(search, "BLOCK", 40)
+    monkeypatch.setattr(search, "FACING", 25)
+    draw = random.Random(3)
+    text = lambda: "".join(draw.choice("ACGTN") for _ in range(draw.randrange(1, 24)))
+    ts = [(i % 17, text()) for i in range(30)] + [(None, "ACGTACGT"), (50, None), (51, "NNNN")]
+    rs = [(f"r_{i % 25}", text()) for i in range(40)] + [(None, "ACGTACGT"), ("none", "A")]
+
+    def words(rows):
+        out = {}
+        for name, s in rows:
+            out.setdefault(name, set()).update(s[i : i + 3] for i in range(len(s or "") - 2) if "N" not in s[i : i + 3])
+        return out
+
+    a, b = words(ts), words(rs)
+    for least in (1, 3):
+        want = {(t, r, round(len(x & y) / len(x), 9)) for t, x in a.items() if t is not None and x for r, y in b.items() if len(x & y) >= least}
+        got = search.shared_kmers(spark.createDataFrame(ts, "t long, s string"), spark.createDataFrame(rs, "r string, s string"), "t", "s", "r", "s", 3, least=least)
+        assert "Join" not in _plan(got)
+        rows = got.collect()
+        assert {(x.target, x.record, round(x.share, 9)) for x in rows} == want and len(rows) == len(want)
+        long = search.shared_kmers(spark.createDataFrame(ts, "t long, s string"), spark.createDataFrame(rs, "r string, s string"), "t", "s", "r", "s", 9, least=least).collect()
+        assert all(x.share > 0 for x in long)
+    empty = search.shared_kmers(spark.createDataFrame([], "t long, s string"), spark.createDataFrame(rs, "r string, s string"), "t", "s", "r", "s", 3)
+    assert empty.count() == 0
