@@ -131,3 +131,36 @@ def test_shared_short_words_are_counted_by_block(spark, monkeypatch):
         assert all(x.share > 0 for x in long)
     empty = search.shared_kmers(spark.createDataFrame([], "t long, s string"), spark.createDataFrame(rs, "r string, s string"), "t", "s", "r", "s", 3)
     assert empty.count() == 0
+
+
+def test_lists_on_their_way_to_python_are_not_null(spark):
+    """A null list costs as much as the rows of its batch before it; oligos with one site must come with an empty list."""
+    from tilewright.operators import selection
+
+    rows = [("t", i, 10 * i + 1, 10 * i + 8, "AAA" if i in (1, 4) else f"o{i}") for i in range(6)]
+    df = spark.createDataFrame(rows, "g string, row_id long, s long, e long, o string")
+    seen = []
+    plain = type(df).mapInArrow
+
+    def watched(self, *given, **more):
+        seen.append(self.where("sites_ is null").count())
+        return plain(self, *given, **more)
+
+    type(df).mapInArrow = watched
+    try:
+        got = selection.remove_overlap_sites(df, ["g"], "s", "e", ["o"], report=True).orderBy("s").collect()
+    finally:
+        type(df).mapInArrow = plain
+    assert seen == [0]
+    assert [(x.row_id, x.n_sites, x.oligo_sites) for x in got] == [(0, 1, "1-8"), (1, 2, "11-18;41-48"), (2, 1, "21-28"), (3, 1, "31-38"), (5, 1, "51-58")]
+
+
+def test_a_design_is_made_once_before_it_is_sorted(spark):
+    """A global sort samples what it sorts, so the steps before it would run twice."""
+    from tilewright.catalog import relations
+    from tilewright.plans import protocol
+
+    out = protocol.run(relations.PROTOCOL, spark.createDataFrame([("a", "ACGTTGCAAGCTTCGAGGCTAACGTTGACCAT")], "target string, seq string"))
+    plan = _plan(out)
+    assert plan.count("Exchange rangepartitioning") == 1 and "MapInArrow" not in plan and "Window" not in plan
+    assert out.count() > 0
