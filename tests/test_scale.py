@@ -164,3 +164,13 @@ def test_a_design_is_made_once_before_it_is_sorted(spark):
     plan = _plan(out)
     assert plan.count("Exchange rangepartitioning") == 1 and "MapInArrow" not in plan and "Window" not in plan
     assert out.count() > 0
+
+
+def test_spliced_sequences_are_dealt_before_their_windows(spark):
+    """Sequences are few bytes, which adaptive execution would give to one task with all work on their windows."""
+    from tilewright.plans import extraction
+
+    whole = spark.createDataFrame([("a", "t", "ACGTACGT", [("x", 0, 8)])], "target string, transcript_id string, seq string, parts array<struct<name:string,a:int,b:int>>")
+    w = extraction._spliced_windows(whole, 4, 4, 2)
+    assert [x for x in _plan(w).splitlines() if "hashpartitioning(target" in x and "REPARTITION_BY_NUM" in x]
+    assert sorted(x.target_region for x in w.collect()) == ["ACGT", "ACGT", "GTAC"]
