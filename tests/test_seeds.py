@@ -77,6 +77,20 @@ def test_index_stays_in_place(spark, made):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
+def test_buckets_follow_the_bases(spark, made, monkeypatch):
+    """Larger records make more buckets, not larger ones; queries are dealt to as many, and find the same."""
+    queries, records = made
+    monkeypatch.setattr(seeds, "BUCKET_PLACES", 200, raising=False)
+    index = seeds.write_index(spark.createDataFrame([*records, ("null", None)], "name string, s string"), "name", "s", 10)
+    want = -(-sum(len(s) for _, s in records) // 200)
+    assert want > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {x.data_type for x in spark.sql(f"DESCRIBE EXTENDED {index.name}_places").collect() if x.col_name == "Num Buckets"} == {str(want)}
+    hits = seeds.indexed_sites(spark.createDataFrame([(q,) for q in queries], "q string"), index, "q", 2, "both")
+    assert {tuple(x) for x in hits.collect()} == brute(queries, records, 2, "both")
+    assert "hashpartitioning(seed" in (plan := hits._jdf.queryExecution().executedPlan().toString()) and f", {want})" in plan
+    seeds.drop(index)
+
+
 def test_index_of_nothing(spark):
     empty = spark.createDataFrame([], "name string, s string")
     index = seeds.write_index(empty, "name", "s")
