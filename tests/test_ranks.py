@@ -28,6 +28,26 @@ def test_equal_to_numpy_by_group(spark, accuracy):
         assert got[g][1] is None if not v else np.allclose(got[g][1], np.quantile(v, POINTS), rtol=1e-12, atol=0)
 
 
+@pytest.mark.parametrize("most", [0, 100])
+def test_large_groups_are_no_task_of_their_own(spark, monkeypatch, most):
+    """Rows are not dealt by group: they meet its windows where they are, or (many groups) counted and salted; the same values."""
+    monkeypatch.setattr(ranks, "BROADCAST_ROWS", most, raising=False)
+    data = grouped(3000, np.random.default_rng(6))
+    out = ranks.linear_quantiles(spark.createDataFrame(data, "g string, v double").repartition(7), F.col("v"), POINTS, ["g"], accuracy=300)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joins = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x and "Inner" in x]
+        got = {x["g"]: (x["n_"], x["q_"]) for x in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert len(joins) == 1 and ("BroadcastHashJoin" if most else "SortMergeJoin") in joins[0] and ("salt_" in joins[0]) == (not most)
+    for g in {k for k, _ in data}:
+        v = [x for k, x in data if k == g and x is not None]
+        assert got[g][0] == len(v)
+        assert got[g][1] is None if not v else np.allclose(got[g][1], np.quantile(v, POINTS), rtol=1e-12, atol=0)
+
+
 def test_windows_are_narrow(spark):
     """Of 200,000 rows the second pass sorts a few for each point, and the values are exact."""
     n = 200_000

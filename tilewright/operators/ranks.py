@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import kept
+
 #: One in so many ranks is how far a sketch may be off; a window then holds a few of so many rows.
 ACCURACY = 100_000
+#: Groups, of some hundred bytes each, whose windows every task gets; with more of them the rows are dealt by group and salt.
+BROADCAST_ROWS, SALTS = 100_000, 32
 
 
 def linear_quantiles(df: DataFrame, value: Column, points: tuple[float, ...], by: list[str] = (), beside: list[Column] = (), accuracy: int = ACCURACY) -> DataFrame:
@@ -16,7 +20,9 @@ def linear_quantiles(df: DataFrame, value: Column, points: tuple[float, ...], by
     no more than ``accuracy`` rows: its ends); ``beside`` holds further aggregates of x_, the value, in the same pass. Second pass: rows below a
     window are counted, rows within it counted by value, both before the shuffle; running sums then find the ranks. So no
     state grows with the distinct values: the sketch is bounded, and a window sorts at most six in ``accuracy`` of a group's
-    rows, as a stream. Null values are left out; a group of nulls has a null q_, and NaN counts as the largest value.
+    rows, as a stream. Groups are computed and counted first: rows stay where they are and get the windows of few groups;
+    with many groups equal values are counted and dealt over salts, so that no large group is one task's. Null values are
+    left out; a group of nulls has a null q_, and NaN counts as the largest value.
     """
     by = list(by)
     x = df.select(*[F.col(c) for c in by], value.cast("double").alias("x_"))
@@ -33,16 +39,23 @@ def linear_quantiles(df: DataFrame, value: Column, points: tuple[float, ...], by
         return F.struct(F.lit(i).alias("i"), rank.alias("rank"), low.alias("low"), high.alias("high"))
 
     first = first.withColumn("w_", F.array(*[window(i, p) for i, p in enumerate(points)])).drop("s_", "low_", "high_")
+    if by:
+        first = kept(first)
+    few = not by or first.count() <= BROADCAST_ROWS
     keys = [f"g{i}_" for i in range(len(by))]
     marks = first.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], "w_")
-    rows = x.where("x_ is not null").select(*by, "x_")
+    rows = x.where("x_ is not null").select(*by, "x_", F.lit(1).alias("k_"))
     same = F.lit(True)
+    if not few:
+        rows = rows.groupBy(*by, "x_").agg(F.sum("k_").alias("k_")).withColumn("salt_", F.pmod(F.xxhash64("x_"), F.lit(SALTS)).cast("int"))
+        marks = marks.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        same = rows["salt_"] == marks["salt_"]
     for c, k in zip(by, keys, strict=True):
         same = same & rows[c].eqNullSafe(marks[k])
-    met = rows.join(marks, same) if by else rows.crossJoin(F.broadcast(marks))  # without groups: one row
-    met = met.select(*[F.col(k) for k in keys], "x_", F.explode(F.filter("w_", lambda w: F.col("x_") <= w["high"])).alias("w"))
+    met = rows.join(F.broadcast(marks) if few else marks, same) if by else rows.crossJoin(F.broadcast(marks))  # without groups: one row
+    met = met.select(*[F.col(k) for k in keys], "x_", "k_", F.explode(F.filter("w_", lambda w: F.col("x_") <= w["high"])).alias("w"))
     inside = F.when(F.col("x_") >= F.col("w.low"), F.col("x_"))
-    counts = met.groupBy(*keys, F.col("w.i").alias("i"), F.col("w.rank").alias("rank"), inside.alias("v")).agg(F.count("*").alias("c"))
+    counts = met.groupBy(*keys, F.col("w.i").alias("i"), F.col("w.rank").alias("rank"), inside.alias("v")).agg(F.sum("k_").alias("c"))
     upto = F.sum("c").over(Window.partitionBy(*keys, "i").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = counts.withColumn("upto", upto).where("v is not null")
     below, above = F.floor("rank"), F.ceil("rank")
