@@ -174,3 +174,20 @@ def test_spliced_sequences_are_dealt_before_their_windows(spark):
     w = extraction._spliced_windows(whole, 4, 4, 2)
     assert [x for x in _plan(w).splitlines() if "hashpartitioning(target" in x and "REPARTITION_BY_NUM" in x]
     assert sorted(x.target_region for x in w.collect()) == ["ACGT", "ACGT", "GTAC"]
+
+
+def test_tasks_follow_the_rows(spark, tables, monkeypatch, as_rows):
+    """Line items of a task stay as many when the table grows; they are not sorted by key before they are dealt."""
+    from tilewright import session
+    from tilewright.catalog import base, relations
+
+    whole = as_rows(base.QUERIES["j12_w11_result_check"](spark, tables).toPandas())
+    monkeypatch.setattr(session, "ROWS", 500, raising=False)
+    n = -(-base.Tables(spark, tables).lineitem.count() // 500)
+    df = base.QUERIES["j12_w11_result_check"](spark, tables)
+    plan = _plan(df).splitlines()
+    assert n > 4 and len([x for x in plan if f", {n}), REPARTITION_BY_NUM" in x]) == 2 and not [x for x in plan if "ENSURE_REQUIREMENTS" in x]
+    assert as_rows(df.toPandas()) == whole
+    lines = _plan(relations.days(base.Tables(spark, tables))).splitlines()
+    first = next(i for i, x in enumerate(lines) if "REPARTITION_BY_NUM" in x)
+    assert [x for x in lines[:first] if "Aggregate" in x] and not [x for x in lines[first:] if "Aggregate" in x or "Sort" in x]

@@ -87,8 +87,13 @@ def neighbour_gaps(df: DataFrame, group: str, start: str, end: str) -> DataFrame
     return df.withColumn("gap", F.col(start) - F.lag(end).over(w) - 1)
 
 
-def result_check(df: DataFrame, group: str, start: str, end: str, oligo: str, ranges: dict[str, tuple[float, float]]) -> DataFrame:
-    """Per group: rows, distinct oligos, least gap, span, and rows outside each column's range."""
+def result_check(df: DataFrame, group: str, start: str, end: str, oligo: str, ranges: dict[str, tuple[float, float]], tasks: int | None = None) -> DataFrame:
+    """Per group: rows, distinct oligos, least gap, span, and rows outside each column's range.
+
+    A task sorts its groups' rows and holds their distinct oligos; ``tasks`` is how many the groups are dealt over, if not
+    as the session does.
+    """
+    df = df.repartition(tasks, group) if tasks else df
     g = neighbour_gaps(df, group, start, end)
     bad = [F.count_if(~F.coalesce(F.col(c).between(*r), F.lit(False))).alias(f"{c}_outside") for c, r in ranges.items()]
     return g.groupBy(group).agg(F.count("*").alias("n"), F.countDistinct(oligo).alias("distinct_oligos"), F.min("gap").alias("min_gap"), (F.max(end) - F.min(start) + 1).alias("span"), *bad)
