@@ -191,3 +191,21 @@ def test_tasks_follow_the_rows(spark, tables, monkeypatch, as_rows):
     lines = _plan(relations.days(base.Tables(spark, tables))).splitlines()
     first = next(i for i, x in enumerate(lines) if "REPARTITION_BY_NUM" in x)
     assert [x for x in lines[:first] if "Aggregate" in x] and not [x for x in lines[first:] if "Aggregate" in x or "Sort" in x]
+
+
+def test_dealt_rows_stay_dealt_above_a_shuffle_of_the_same_keys(spark):
+    """Spark lets a shuffle below stand for an equal one above it, and puts the few bytes of that one together again."""
+    from tilewright import session
+
+    few = spark.createDataFrame([("a", 1), ("b", 2)], "k string, n int").groupBy("k").agg(F.sum("n").alias("n"))
+    assert [x for x in _plan(session.spread(few, "k")).splitlines() if "hashpartitioning(k" in x and "REPARTITION_BY_NUM" in x]
+
+
+def test_temperatures_are_made_once_a_row(spark):
+    """A filter between two bounds reads the column that was made, and does not make it again."""
+    from tilewright.functions import thermo
+
+    df = spark.createDataFrame([("ACGTACGTACGTTGCA",), ("AC",), (None,)], "s string")
+    for tm in (thermo.tm_primer("s"), thermo.tm_padlock("s"), thermo.tm_miner("s"), thermo.tm_merfish("s")):
+        plan = _plan(df.withColumn("tm", tm).where("tm >= 1 and tm <= 90"))
+        assert plan.count("ArrowEvalPython") == 1 and "RLIKE" not in plan and "aggregate(" not in plan
