@@ -122,3 +122,16 @@ def test_regions_without_the_words_of_a_site_are_not_extended():
         assert n == 18 or (score[:1000] >= least).sum() > 100
         if n in (31, 41):
             assert may[1000:].mean() < 0.01
+
+
+def test_long_sure_runs_are_looked_up_by_few_long_seeds(spark):
+    """A site of 31 bases holds a run of 14, so every second word of 13 will do; seeds travel as numbers, queries once a row."""
+    row = spark.range(1).select(*[A.sure_run(F.lit(n)).alias(f"a{n}") for n in (21, 24, 31, 41)]).first()
+    assert (row.a21, row.a24, row.a31, row.a41) == (None, 23, 14, 8)
+    r = random.Random(5)
+    text = "".join(r.choice("ACGT") for _ in range(64))
+    cut = spark.createDataFrame([(text[:14] + text[15:32],), (text[20:34] + "ACGT"["CGTA".index(text[34])] + text[35:51],)], "q string")
+    df = A.local_sites(cut, spark.createDataFrame([("a_1", text)], "name string, s string"), "q", "name", "s")
+    seeds = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(seed#" in x]
+    assert len(seeds) == 2 and all("L, " in x.partition("seed#")[2][:10] for x in seeds)
+    assert {(x.start0, x.end0, x.score) for x in df.collect()} == {(0, 32, 54), (20, 51, 54)}
