@@ -209,3 +209,25 @@ def test_temperatures_are_made_once_a_row(spark):
     for tm in (thermo.tm_primer("s"), thermo.tm_padlock("s"), thermo.tm_miner("s"), thermo.tm_merfish("s")):
         plan = _plan(df.withColumn("tm", tm).where("tm >= 1 and tm <= 90"))
         assert plan.count("ArrowEvalPython") == 1 and "RLIKE" not in plan and "aggregate(" not in plan
+
+
+def test_queries_and_genes_hit_are_not_broadcast(spark):
+    """A plan takes them for as few bytes as the small table that they are made of, and the driver would hold all of them."""
+    from tilewright.plans import similarity
+
+    q, r = _inputs(spark)
+    df = q.withColumn("target", F.lit("g"))
+    genes = spark.createDataFrame([("g", "G", "protein_coding")], "gene string, label string, biotype string")
+    out = similarity.add(df, "hits", {"type": "mapped_genes", "strand": "sense"}, "q", {"records": r.withColumn("record", F.lit("g_1")), "genes": genes}, df, {})
+    assert not [x for x in _plan(out).splitlines() if "BroadcastHashJoin" in x and ("query#" in x or "gene#" in x or "q#" in x)]
+    assert {x.hits for x in out.collect()} == {1}
+
+
+def test_words_are_compared_as_numbers(spark):
+    """Seeds and words of up to 31 bases travel as numbers; what has other letters as text."""
+    q, r = _inputs(spark)
+    plan = _plan(search.mismatch_sites(q, r, "q", "record", "seq", 2, "both"))
+    assert [x for x in _keyed_by(plan, "Exchange", "hashpartitioning(seed#") if "L, " in x.partition("seed#")[2][:10]]
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning(frame" in x]
+    found = search.mismatch_sites(q, r, "q", "record", "seq", 0, "both").collect()
+    assert {x.query for x in found if x.strand == "+"} == {x.q for x in q.collect()}
