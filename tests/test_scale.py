@@ -231,3 +231,12 @@ def test_words_are_compared_as_numbers(spark):
     assert not [x for x in plan.splitlines() if "Exchange hashpartitioning(frame" in x]
     found = search.mismatch_sites(q, r, "q", "record", "seq", 0, "both").collect()
     assert {x.query for x in found if x.strand == "+"} == {x.q for x in q.collect()}
+
+
+def test_short_words_travel_in_two_bytes(spark):
+    """Words of a cell are most of what is copied to the cells; the first and last of eight bases fit too."""
+    rows = [("a", "A" * 9 + "C"), ("b", "T" * 9)]
+    df = spark.createDataFrame(rows, "name string, s string")
+    got = search.shared_kmers(df, df, "name", "s", "name", "s", 8)
+    assert "as smallint)" in _plan(got)
+    assert {(x.target, x.record, x.share) for x in got.collect()} == {("a", "a", 1.0), ("b", "b", 1.0)}
